@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import language, mixing, packing, quality
+from skirmish.llm import language, lm, mixing, neighbours, packing, quality, warc
+from skirmish.llm.common import shared_dir
 
 #: The tokenizers' files; a parameter of the operators that use them.
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +29,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("train", F.coalesce(fold() != 1, F.lit(True)))
+    scored = lm.score(docs, tokenizer_path("piece_bpe_32k.model"))
+    held_out = F.coalesce(fold() == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=0)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -38,6 +48,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold(), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, manifest, payloads=False).drop("url")
+
+
+OP6_SQL = """
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER same THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
+"""
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = quality.fit_lines(docs, table(spark, sf_dir, "labels"))
@@ -49,5 +77,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_harmonic_packing, op4_language_id, op8_quality_rules, op9_mixing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_lattice_lm, op3_harmonic_packing, op4_language_id, op6_warc, op7_neighbours, op8_quality_rules, op9_mixing)}
+ORACLES: dict[str, str] = {"op6_warc": OP6_SQL}
