@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from skirmish.llm.common import text_slices
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Chunks whose ids a worker remembers; it forgets all of them when there are more.
-CACHE_ENTRIES = 400_000
+#: Chunks whose ids a worker remembers. When there are more, it keeps those of up to SHORT characters, which are the frequent ones.
+CACHE_ENTRIES, SHORT = 500_000, 8
 #: Sequence ids: the partition's number above these bits, the worker's own count below.
 LOCAL_BITS = 40
 
@@ -32,6 +34,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.widths = np.zeros(max(names.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        self.widths[list(names.values())] = list(map(len, names))
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -47,20 +52,43 @@ class Encoder:
                 out.append(" " + part)
         return out
 
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks, those that begin with a blank and a non-blank joined to one text: a pre-token ends before each."""
+        joined = [c for c in chunks if len(c) > 1 and c[0] == " " and not c[1].isspace()]
+        for i in range(0, len(joined), 5000):
+            some = joined[i : i + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(c.encode()) for c in some), np.int64, len(some)))
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+            data, begin = ids.tobytes(), 0
+            for c, end in zip(some, (4 * cuts).tolist(), strict=True):
+                self.known[c] = data[begin:end]
+                begin = end
+        rest = [c for c in chunks if c not in self.known]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[c] = np.array(e.ids, "<u4").tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        missing = list({c for chunks in cut for c in chunks if c not in self.known})
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known = {}
-            missing = list({c for chunks in cut for c in chunks})
-        for i in range(0, len(missing), 2000):
-            some = missing[i : i + 2000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+        wanted = {c for chunks in cut for c in chunks}
+        if len(self.known) + len(wanted) > CACHE_ENTRIES:
+            short = {c: x for c, x in self.known.items() if len(c) <= SHORT}
+            self.known = short if len(short) < CACHE_ENTRIES // 2 else {}
+        self.learn([c for c in wanted if c not in self.known])
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker; it keeps what it knows from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def dyadic(length: int, capacity: int) -> list[int]:
     """Cut a length into whole capacities and then falling powers of two."""
     whole, rest = divmod(length, capacity)
@@ -135,9 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     tail = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from skirmish.llm.common import text_slices
-
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         bins = Bins(capacity, TaskContext.get().partitionId() << LOCAL_BITS, cut)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
