@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import language, lm, mixing, neighbours, packing, quality, warc
+from skirmish.llm import language, lm, mixing, neighbours, packing, quality, similarity, warc
 from skirmish.llm.common import shared_dir
 
 #: The tokenizers' files; a parameter of the operators that use them.
@@ -77,5 +77,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_lattice_lm, op3_harmonic_packing, op4_language_id, op6_warc, op7_neighbours, op8_quality_rules, op9_mixing)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.join(table(spark, sf_dir, "documents"), percent=80, words=5)
+
+
+QUERIES = {f.__name__: f for f in (op2_lattice_lm, op3_harmonic_packing, op4_language_id, op6_warc, op7_neighbours, op8_quality_rules, op9_mixing, op10_jaccard_join)}
 ORACLES: dict[str, str] = {"op6_warc": OP6_SQL}
