@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import language, lm, mixing, neighbours, packing, quality, similarity, warc
+from skirmish.llm import language, lm, mixing, neighbours, packing, pii, quality, repeats, similarity, warc
 from skirmish.llm.common import shared_dir
 
 #: The tokenizers' files; a parameter of the operators that use them.
@@ -29,6 +29,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: The key of the queries' pseudonyms; a real run takes its own.
+PII_KEY = "example-key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("train", F.coalesce(fold() != 1, F.lit(True)))
     scored = lm.score(docs, tokenizer_path("piece_bpe_32k.model"))
@@ -48,6 +56,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold(), F.lit(1)) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = warc.write(table(spark, sf_dir, "pages"), folder)
@@ -81,5 +95,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.join(table(spark, sf_dir, "documents"), percent=80, words=5)
 
 
-QUERIES = {f.__name__: f for f in (op2_lattice_lm, op3_harmonic_packing, op4_language_id, op6_warc, op7_neighbours, op8_quality_rules, op9_mixing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_lattice_lm, op3_harmonic_packing, op4_language_id, op5_repeats, op6_warc, op7_neighbours, op8_quality_rules, op9_mixing, op10_jaccard_join)}
 ORACLES: dict[str, str] = {"op6_warc": OP6_SQL}
