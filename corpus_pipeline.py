@@ -1,8 +1,59 @@
-"""The corpus pipeline (stages follow)."""
+"""A corpus pipeline of five stages, each on all that the one before kept."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skirmish.llm import mixing, packing, pii, quality, similarity
+from skirmish.llm.common import staged
+from skirmish.llm.queries import PII_KEY, table, tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are mostly content lines."""
+    return quality.keep(docs, quality.fit_lines(docs, table(spark, sf_dir, "labels")))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies: the one with the smallest doc_id. Rows with a null doc_id stay."""
+    found = similarity.join(docs)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(left.filter("doc_id is null"))
+
+
+def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal numbers replaced."""
+    return pii.pseudonymise(docs, PII_KEY)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, a row for each copy."""
+    return mixing.take(docs, mixing.mix(docs))
+
+
+def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as pieces of sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("pii_pseudonyms", pii_pseudonyms),
+    ("source_mixing", source_mixing),
+    ("harmonic_packing", harmonic_packing),
+]
+#: The line labels of the first stage have no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stage's result written as a table and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
