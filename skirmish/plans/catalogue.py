@@ -1,14 +1,16 @@
-"""The registry of relational queries and their SQL twins."""
+"""All queries of the contest engine. Importing the modules registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from skirmish.plans import evaluations, matching, models, rates, readmodels, records, sequences
+from skirmish.plans.registry import ORACLES, QUERIES
+
+MODULES = (evaluations, matching, models, rates, readmodels, records, sequences)
 
 
 def queries() -> dict:
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracles() -> dict:
-    return ORACLES
+    return dict(ORACLES)
