@@ -14,8 +14,9 @@ from skirmish.llm.common import _BASE, MIX1, MIX2, Words, mix64, staged, text_sl
 from skirmish.llm.graph import components
 
 WORDS, PERCENT = 5, 80
-#: Fragments of the global order in which overlaps are counted apart, and rows of one task of a count by shingle.
-FRAGMENTS, TASK_ROWS = 4, 1 << 20
+#: Fragments of the global order in which overlaps are counted apart, rows of one task of a count by shingle, and rounds in
+#: which lists meet one of their sets before what is left is compared pair by pair.
+FRAGMENTS, TASK_ROWS, STARS = 4, 1 << 20, 3
 
 
 def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -183,9 +184,10 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
        of the smaller in it. Rows whose prefix shares less with all others link with nothing and are done.
     2. Equal sets form one class. Of the rest, shingles found once are dropped, the others ordered by frequency, and the
        rarest 20 % of each set are its prefix. Sets that link share a shingle in it.
-    3. The smallest set in a prefix shingle's list is compared with the others (each set with the one it meets most), and
-       links give components. 4. What then shares a prefix shingle and is in different components is compared pair by pair;
-       pairs within a component are not, as they couldn't change it.
+    3. The set of a prefix shingle's list with the fewest shingles of its own is compared with the others (each set with the
+       one it meets most), and links give components; lists with several components do so again. 4. What then shares a prefix shingle and is in different components is compared pair by pair, but
+       for sets that share too little with all of a component together. Pairs within one are not compared, as they
+       couldn't change it.
     """
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     signature = staged(plain.mapInArrow(_signatures(percent, words), "doc_id long, n long, s1 long, s2 long, prefix array<long>"), "join-signatures")
@@ -217,26 +219,67 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
 
     short = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.size("shared"))
     prefix = ordered.withColumn("take", short.cast("int")).filter("take > 0")
-    lists = staged(prefix.select("doc_id", "n", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("h")), "join-lists")
-    fits = F.col("small") * 100 >= F.col("n") * percent
-
-    first = lists.groupBy("h").agg(F.min(F.struct("n", "doc_id")).alias("first"))
-    met = lists.join(first, "h").select("doc_id", "n", F.col("first.doc_id").alias("x"), F.col("first.n").alias("small")).filter(fits & (F.col("x") != F.col("doc_id")))
-    best = met.groupBy("doc_id", "x").agg(F.count("*").alias("k")).groupBy(F.col("doc_id").alias("y")).agg(F.max_by("x", F.struct("k", "x")).alias("x"))
-    links = staged(verified(best, ordered, percent), "join-links")
-    part = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # own: the set's shingles that no other has; s: how many it has from this one on, which bounds the overlap with a set that
+    # has none of those before.
+    lists = prefix.select("doc_id", "n", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("at", "h"))
+    lists = lists.select("doc_id", "n", "h", (F.col("n") - F.col("size")).alias("own"), (F.col("size") - F.col("at")).cast("long").alias("s"))
+    lists = staged(lists, "join-lists")
+
+    def possible(n1, s1, n2, s2):
+        """Whether two sets can link, by their sizes and by how many shingles they have from their first common one on."""
+        most = F.least(s1, s2)
+        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (most * 100 >= (n1 + n2 - most) * percent)
+
+    shares = F.col("n") - F.col("own")
+    links, part = None, None
+    for _ in range(STARS):
+        # Each list's most common component sends its set with the fewest shingles of its own to meet the rest of the list.
+        rows = lists.withColumn("component", F.col("doc_id")) if part is None else lists.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        if part is not None:
+            sizes = rows.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+            rows = staged(rows.join(sizes, "h"), "join-rows")
+        mine_ = F.struct("own", "n", "doc_id")
+        first = rows.groupBy("h").agg(F.min(mine_ if part is None else F.when(F.col("component") == F.col("largest"), mine_)).alias("first"))
+        met = rows.join(first, "h").filter((F.col("first.doc_id") != F.col("doc_id")) & possible(F.col("n"), shares, F.col("first.n"), F.col("first.n") - F.col("first.own")))
+        met = met if part is None else met.filter("component <> largest")
+        best = met.groupBy("doc_id", F.col("first.doc_id").alias("x")).agg(F.count("*").alias("k")).groupBy(F.col("doc_id").alias("y")).agg(F.max_by("x", F.struct("k", "x")).alias("x"))
+        new = staged(verified(best, ordered, percent), "join-links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        part = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     # What is left: lists that hold several components, each list's largest against the others and these among themselves.
-    labelled = lists.join(part.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = labelled.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("component", "k").alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    if part is None:
+        part = components(lists.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
+    labelled = staged(lists.join(part.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "join-labelled")
+    sizes = labelled.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = staged(labelled.join(sizes, "h"), "join-mixed")
-    one = mixed.filter("component <> largest").select("h", F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    two = mixed.select("h", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    sized = (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent) & (F.col("c1") != F.col("c2"))
-    cross = one.join(two, "h").filter(sized).select(F.least("d1", "d2").alias("x"), F.greatest("d1", "d2").alias("y")).distinct()
+    one = mixed.filter("component <> largest").select("h", F.col("doc_id").alias("x"), F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("component").alias("c1"))
+    met = mixed.groupBy("h", F.col("component").alias("c2")).agg(F.max("s").alias("s2"), F.min("n").alias("low"), F.max("n").alias("high"))
+
+    def reachable(most):
+        """Whether a set can link with one of a component, whose smallest has `low` shingles, if they share at most `most`."""
+        return most * 100 >= (F.col("n1") + F.greatest("low", most) - most) * percent
+
+    goal = one.join(met, "h").filter((F.col("c1") != F.col("c2")) & (F.col("high") * 100 >= F.col("n1") * percent) & (F.col("n1") * 100 >= F.col("low") * percent) & reachable(F.least("s1", "s2")))
+    goal = staged(goal.groupBy("x", "n1", "c2").agg(F.min("low").alias("low")), "join-goals")
+    # A set shares with any member of a component at most the shingles that the component has at all.
+    token = F.explode("shared").alias("token")
+    has = ordered.join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c2", F.coalesce("component", "doc_id"))
+    has = has.join(goal.select("c2").distinct(), "c2", "left_semi").select("c2", token).distinct()
+    asks = goal.join(ordered.select(F.col("doc_id").alias("x"), "shared"), "x").select("x", "c2", "n1", "low", token)
+    open_ = asks.join(has, ["c2", "token"]).groupBy("x", "c2", "n1", "low").agg(F.count("*").alias("most")).filter(reachable(F.col("most")))
+    open_ = staged(open_.select("x", "c2"), "join-open")
+
+    two = mixed.select("h", F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("component").alias("c2"))
+    able = possible(F.col("n1"), F.col("s1"), F.col("n2"), F.col("s2"))
+    cross = one.join(open_, "x").join(two, ["h", "c2"]).filter(able).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = staged(verified(cross, ordered, percent), "join-links")
-    edges = links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    final = components(edges) if not more.isEmpty() else part
+    final = part
+    if not more.isEmpty():
+        links = more if links is None else links.union(more)
+        final = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = mine.join(staged(named, "join-named"), ["n", "s1", "s2"], "left")
