@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,11 @@ FORMS = {
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in FORMS.values())
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: a lambda's argument is bound, a repeated expression within a lambda is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _hex_int(text: Column, start: Column | int, size: int) -> Column:
@@ -31,13 +37,10 @@ def _shift(text: Column, digest: Column) -> Column:
     """Each character of text moved within its alphabet by the number that stands at its place in a hash of 128 hex digits."""
 
     def one(i: Column) -> Column:
-        c = text.substr(i, F.lit(1))
+        code = F.ascii(text.substr(i, F.lit(1)))
         step = _hex_int(digest, F.pmod((i - 1) * 4, F.lit(128)) + 1, 4)
-        out = c
-        for kind in _ALPHABETS:
-            at = F.call_function("locate", c, F.lit(kind))
-            out = F.when(at > 0, F.lit(kind).substr((F.pmod(at - 1 + step, F.lit(len(kind))) + 1).cast("int"), F.lit(1))).otherwise(out)
-        return out
+        moved = lambda c, first, size: F.char(F.pmod(c - first + step, F.lit(size)) + first)
+        return _let(code, lambda c: F.when(c.between(48, 57), moved(c, 48, 10)).when(c.between(97, 122), moved(c, 97, 26)).when(c.between(65, 90), moved(c, 65, 26)).otherwise(F.char(c)))
 
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise(text)
 
@@ -48,14 +51,18 @@ def cipher(value: Column, key: str, tweak: Column | str) -> Column:
     An unbalanced Feistel network: odd rounds move the left half by a hash of the right, even rounds the right by the left.
     """
     tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
-    half = F.floor(F.length(value) / 2).cast("int")
-    start = F.struct(value.substr(F.lit(1), half).alias("l"), value.substr(half + 1, F.length(value)).alias("r"))
+
+    def halves(v: Column) -> Column:
+        half = F.floor(F.length(v) / 2).cast("int")
+        return F.struct(v.substr(F.lit(1), half).alias("l"), v.substr(half + 1, F.length(v)).alias("r"))
+
+    start = _let(value, halves)
 
     def turn(s: Column, i: Column) -> Column:
         odd = i % 2 == 1
         digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), F.when(odd, s["r"]).otherwise(s["l"])).cast("binary"), 512)
-        moved = _shift(F.when(odd, s["l"]).otherwise(s["r"]), digest)
-        return F.struct(F.when(odd, moved).otherwise(s["l"]).alias("l"), F.when(odd, s["r"]).otherwise(moved).alias("r"))
+        moved = _let(digest, lambda d: _shift(F.when(odd, s["l"]).otherwise(s["r"]), d))
+        return _let(moved, lambda x: F.struct(F.when(odd, x).otherwise(s["l"]).alias("l"), F.when(odd, s["r"]).otherwise(x).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
@@ -87,8 +94,10 @@ def luhn_sum(digits: Column) -> Column:
 
 def mod97(text: Column) -> Column:
     """An IBAN's remainder: the first four characters moved to the end, letters as 10 to 35, modulo 97."""
-    turned = F.concat(text.substr(F.lit(5), F.length(text)), text.substr(F.lit(1), F.lit(4)))
+    return _let(F.concat(text.substr(F.lit(5), F.length(text)), text.substr(F.lit(1), F.lit(4))), _mod97)
 
+
+def _mod97(turned: Column) -> Column:
     def add(total: Column, i: Column) -> Column:
         c = turned.substr(i, F.lit(1))
         letter = F.ascii(c) - 55
@@ -100,62 +109,81 @@ def mod97(text: Column) -> Column:
 def refill(form: Column, characters: Column) -> Column:
     """form with its letters and digits replaced, in order, by characters; what stands between stays."""
 
-    def put(s: Column, i: Column) -> Column:
-        c = form.substr(i, F.lit(1))
-        plain = c.rlike("[A-Za-z0-9]")
-        return F.struct(F.concat(s["out"], F.when(plain, characters.substr(s["k"], F.lit(1))).otherwise(c)).alias("out"), (s["k"] + plain.cast("int")).alias("k"))
+    def fill(new: Column) -> Column:
+        def put(s: Column, i: Column) -> Column:
+            c = form.substr(i, F.lit(1))
+            plain = c.rlike("[A-Za-z0-9]")
+            return F.struct(F.concat(s["out"], F.when(plain, new.substr(s["k"], F.lit(1))).otherwise(c)).alias("out"), (s["k"] + plain.cast("int")).alias("k"))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(form)), start, put, lambda s: s["out"])
 
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(form)), start, put, lambda s: s["out"])
+    return _let(characters, fill)
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    body = cipher(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(luhn_sum(digits) % 10 == 0, refill(m, F.concat(body, check))).otherwise(m)
+    def with_check(body: Column) -> Column:
+        return F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+
+    def new(digits: Column) -> Column:
+        body = cipher(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
+        return F.when(luhn_sum(digits) % 10 == 0, refill(m, _let(body, with_check))).otherwise(m)
+
+    return _let(F.regexp_replace(m, "[^0-9]", ""), new)
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = F.replace(m, F.lit(" "), F.lit(""))
-    land, body = plain.substr(F.lit(1), F.lit(2)), cipher(plain.substr(F.lit(5), F.length(plain)), key, "iban")
-    check = F.lpad((98 - mod97(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0")
-    return F.when((mod97(plain) == 1) & F.length(plain).between(15, 34), refill(m, F.concat(land, check, body))).otherwise(m)
+    def new(plain: Column) -> Column:
+        land = plain.substr(F.lit(1), F.lit(2))
+        with_check = lambda body: F.concat(land, F.lpad((98 - mod97(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
+        valid = (mod97(plain) == 1) & F.length(plain).between(15, 34)
+        return F.when(valid, refill(m, _let(cipher(plain.substr(F.lit(5), F.length(plain)), key, "iban"), with_check))).otherwise(m)
+
+    return _let(F.replace(m, F.lit(" "), F.lit("")), new)
 
 
 def _ip(m: Column, key: str) -> Column:
-    part = lambda i: F.element_at(F.split(m, r"\."), i).cast("long")
-    number = ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
-    valid = F.lit(True)
-    for i in range(1, 5):
-        valid = valid & (part(i) < 256) & (F.element_at(F.split(m, r"\."), i) == part(i).cast("string"))
-    new = cipher_number(number, 32, key, "ip")
-    octet = lambda k: F.pmod(F.floor(new / (1 << k)), F.lit(256)).cast("string")
-    return F.when(valid, F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))).otherwise(m)
+    def new(parts: Column) -> Column:
+        part = lambda i: F.element_at(parts, i).cast("long")
+        number = ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
+        valid = F.lit(True)
+        for i in range(1, 5):
+            valid = valid & (part(i) < 256) & (F.element_at(parts, i) == part(i).cast("string"))
+        octets = lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / (1 << k)), F.lit(256)).cast("string") for k in (24, 16, 8, 0)])
+        return F.when(valid, _let(cipher_number(number, 32, key, "ip"), octets)).otherwise(m)
+
+    return _let(F.split(m, r"\."), new)
 
 
 def _ssn(m: Column, key: str) -> Column:
     """Permuted until it is valid again (cycle walking); the start is valid, so the walk ends in the valid numbers."""
     valid = lambda x: ~x.rlike("^(000|666|9..)") & ~x.rlike("^...00") & ~x.rlike("0000$")
-    plain = F.replace(m, F.lit("-"), F.lit(""))
-    # A sixth of all numbers is invalid: 24 steps fail once in 10 ** 18; such a number would keep its last valid form.
+    # An eighth of all numbers is invalid: 24 steps fail once in 10 ** 21.
     step = lambda s, i: F.when((i > 1) & valid(s), s).otherwise(cipher(s, key, "ssn"))
-    return F.when(valid(plain), refill(m, F.aggregate(F.sequence(F.lit(1), F.lit(24)), plain, step))).otherwise(m)
+    walk = lambda plain: F.when(valid(plain), refill(m, F.aggregate(F.sequence(F.lit(1), F.lit(24)), plain, step))).otherwise(m)
+    return _let(F.replace(m, F.lit("-"), F.lit("")), walk)
 
 
 def _phone(m: Column, key: str) -> Column:
     """North American numbers: area and exchange begin with 2 to 9, and so does the pseudonym."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    ten = F.right(digits, F.lit(10))
-    lead = digits.substr(F.lit(1), F.length(digits) - 10)
-    first = lambda i: ten.substr(F.lit(i), F.lit(1)).cast("long") - 2
-    rest = F.concat(ten.substr(F.lit(2), F.lit(2)), ten.substr(F.lit(5), F.lit(6)))
-    # The two leading digits are a number of 6 bits, moved by a hash of the rest; the rest is permuted after that.
-    moved = cipher(rest, key, "phone")
-    pair = cipher_number(first(1) * 8 + first(4), 6, key, F.concat(F.lit("phone"), moved))
-    lead_digit = lambda x: (x + 2).cast("long").cast("string")
-    new = F.concat(lead_digit(F.floor(pair / 8)), moved.substr(F.lit(1), F.lit(2)), lead_digit(F.pmod(pair, F.lit(8))), moved.substr(F.lit(3), F.lit(6)))
-    return F.when((first(1) >= 0) & (first(4) >= 0), refill(m, F.concat(lead, new))).otherwise(m)
+
+    def new(digits: Column) -> Column:
+        lead = digits.substr(F.lit(1), F.length(digits) - 10)
+        return _let(F.right(digits, F.lit(10)), lambda ten: number(lead, ten))
+
+    def number(lead: Column, ten: Column) -> Column:
+        first = lambda i: ten.substr(F.lit(i), F.lit(1)).cast("long") - 2
+        rest = F.concat(ten.substr(F.lit(2), F.lit(2)), ten.substr(F.lit(5), F.lit(6)))
+        digit = lambda x: (x + 2).cast("long").cast("string")
+
+        # The two leading digits are a number of 6 bits, moved by a hash of the rest, which is permuted before.
+        def both(moved: Column) -> Column:
+            pair = cipher_number(first(1) * 8 + first(4), 6, key, F.concat(F.lit("phone"), moved))
+            return _let(pair, lambda x: F.concat(lead, digit(F.floor(x / 8)), moved.substr(F.lit(1), F.lit(2)), digit(F.pmod(x, F.lit(8))), moved.substr(F.lit(3), F.lit(6))))
+
+        return F.when((first(1) >= 0) & (first(4) >= 0), refill(m, _let(cipher(rest, key, "phone"), both))).otherwise(m)
+
+    return _let(F.regexp_replace(m, "[^0-9]", ""), new)
 
 
 def _date(m: Column, key: str, iso: bool) -> Column:
@@ -170,21 +198,23 @@ def _date(m: Column, key: str, iso: bool) -> Column:
         month_first = (part(3, 1) == "/") & (part(1, 2).cast("int") <= 12)
         day = F.concat_ws("-", part(7, 4), F.when(month_first, part(1, 2)).otherwise(part(4, 2)), F.when(month_first, part(4, 2)).otherwise(part(1, 2)))
         same, order = part(3, 1) == part(6, 1), "ddMMyyyy"
-    date = day.try_cast("date")
-    days = F.datediff(date, epoch).cast("long")
-    new = F.date_add(epoch, (F.floor(days / 65536) * 65536 + cipher_number(F.pmod(days, F.lit(65536)), 16, key, "date")).cast("int"))
-    text = F.date_format(new, order)
-    if not iso:
-        # A pseudonym keeps month first where its own text reads that way again, so that equal dates meet in one reading.
-        text = F.when(month_first, F.date_format(new, "MMddyyyy")).otherwise(text)
-    return F.when(same & (F.year(date) >= 1600) & (F.year(date) < 2400), refill(m, text)).otherwise(m)
+
+    def text(new: Column) -> Column:
+        plain = F.date_format(new, order)
+        return plain if iso else F.when(month_first, F.date_format(new, "MMddyyyy")).otherwise(plain)
+
+    def moved(date: Column) -> Column:
+        days = F.datediff(date, epoch).cast("long")
+        new = F.date_add(epoch, (F.floor(days / 65536) * 65536 + cipher_number(F.pmod(days, F.lit(65536)), 16, key, "date")).cast("int"))
+        return F.when(same & (F.year(date) >= 1600) & (F.year(date) < 2400), refill(m, _let(new, text))).otherwise(m)
+
+    return _let(day.try_cast("date"), moved)
 
 
 def _mail(m: Column, key: str) -> Column:
     """The name before the @ is permuted (in lower case, so that spellings stay linked); the domain stays."""
     name = F.lower(F.substring_index(m, "@", 1))
-    plain = F.regexp_replace(name, "[^a-z0-9]", "")
-    return F.concat(refill(name, cipher(plain, key, "mail")), F.lit("@"), F.substring_index(m, "@", -1))
+    return _let(name, lambda n: F.concat(refill(n, cipher(F.regexp_replace(n, "[^a-z0-9]", ""), key, "mail")), F.lit("@"), F.substring_index(m, "@", -1)))
 
 
 def pseudonym(m: Column, key: str) -> Column:
