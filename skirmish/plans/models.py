@@ -1 +1,134 @@
+"""Fitted and simulated models. Most have no SQL form; tests hold them against plain loops."""
 
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from skirmish.functions import exprs as X
+from skirmish.operators import ratings, simulate
+from skirmish.operators.evaluation import scores
+from skirmish.plans.contest import CONTEST, FORECAST, TEAMS, Tables, with_
+from skirmish.plans.registry import query
+
+
+def series(t: Tables) -> DataFrame:
+    """Finished contests as series: a, b, score of a, weight."""
+    won = F.col("side0_win").cast("double")
+    return t.finished().select("contest_id", "ts", "version", F.col("family").alias("family"), "group_id", F.col("side0_team").alias("a"), F.col("side1_team").alias("b"), won.alias("score"), X.information(F.lit(2), F.lit(1)).alias("weight"))
+
+
+@query()
+def elo_walkforward(t: Tables) -> DataFrame:
+    return ratings.walk_forward(series(t), [m for m in ratings.arena() if m["model"] == "elo_k24"], ["family"])
+
+
+@query()
+def team_arena(t: Tables) -> DataFrame:
+    """Scores of 21 rating models, each walking the contests of a year in order."""
+    return ratings.walk_forward(series(t), None, ["family"]).groupBy("model").agg(*scores())
+
+
+@query()
+def arena_selection(t: Tables) -> DataFrame:
+    """The best model of each family and of all, by log loss and then Brier score."""
+    table = team_arena(t).withColumn("kind", F.regexp_extract("model", "^[a-z]+", 0))
+    best = lambda g: g.agg(F.min_by("model", F.struct("log_loss", "brier")).alias("model"), F.min("log_loss").alias("log_loss"))
+    return best(table.groupBy("kind")).unionByName(best(table.groupBy(F.lit("all").alias("kind"))))
+
+
+@query()
+def batch_bt(t: Tables) -> DataFrame:
+    return ratings.bradley_terry(series(t), 1_000_000_000, half_life_days=365.0, group="family")
+
+
+def _pairs(t: Tables) -> DataFrame:
+    rows = t.forecast().join(t.contest().select("contest_id", "family", "side0_team", "side1_team"), "contest_id")
+    p = F.when(F.col("side0_team") < F.col("side1_team"), F.col("p")).otherwise(1 - F.col("p"))
+    return rows.groupBy("family", F.least("side0_team", "side1_team").alias("a"), F.greatest("side0_team", "side1_team").alias("b")).agg(F.avg(p).alias("p"))
+
+
+@query()
+def online_bt(t: Tables) -> DataFrame:
+    played = series(t).select("family", "a", "b", F.col("score").alias("won"), X.evidence_weight(F.lit(2), F.lit(1)).alias("weight"))
+    return ratings.online_update(_pairs(t), played, "family")
+
+
+@query()
+def influence_trace(t: Tables) -> DataFrame:
+    """What each of a year's twelve latest results adds to the pairs' probabilities."""
+    rows = series(t).select("contest_id", "ts", "family", "a", "b", F.col("score").alias("won"), "weight")
+    last = Window.partitionBy("family").orderBy(F.desc("ts"), F.desc("contest_id"))
+    w = rows.withColumn("r", F.row_number().over(last)).filter("r <= 12")
+    return ratings.leave_one_out(_pairs(t), w.select("family", "contest_id", "a", "b", "won", "weight"), "family", "contest_id")
+
+
+@query(with_(CONTEST, TEAMS, FORECAST, body="""SELECT version, count(*)::DOUBLE AS xx_0_0, round(sum(p), 4) AS xx_0_1, round(sum(p * p), 4) AS xx_1_1, sum(y)::DOUBLE AS xy_0, round(sum(p * y), 4) AS xy_1 FROM forecast GROUP BY ALL"""))
+def normal_sums(t: Tables) -> DataFrame:
+    rows = t.forecast().withColumn("one", F.lit(1.0))
+    got = ratings.normal_equations(rows, ["p"], "y", "one", "version")
+    return got.select("version", "xx_0_0", F.round("xx_0_1", 4).alias("xx_0_1"), F.round("xx_1_1", 4).alias("xx_1_1"), F.col("xy_0").cast("double").alias("xy_0"), F.round("xy_1", 4).alias("xy_1"))
+
+
+@query()
+def ridge_transition(t: Tables) -> DataFrame:
+    """Ridge coefficients of a quarter's change on the one before, for four penalties, from one pass of sums."""
+    from skirmish.plans.sequences import version_transition_diff
+
+    rows = version_transition_diff(t).withColumn("w", F.col("games").cast("double")).na.drop()
+    row = ratings.normal_equations(rows.withColumn("x", F.col("games_change").cast("double")), ["x"], "rate_change", "w").first()
+    out = [(lam, *map(float, ratings.solve_ridge(row, 1, lam))) for lam in (0.1, 1.0, 10.0, 100.0)]
+    return t.spark.createDataFrame(out, "penalty double, constant double, slope double")
+
+
+@query()
+def live_map_irls(t: Tables) -> DataFrame:
+    """Coefficients of the live model: prior logit, lead and lead by time, without constant (sides are symmetric)."""
+    rows = t.live().join(t.forecast().select(F.col("contest_id").alias("event_id"), "p", "y"), "event_id")
+    g = (F.col("lead") - 20) / 10
+    x = rows.select("y", X.logit(F.col("p")).alias("z"), g.alias("g"), (g * ((F.col("t") % 600) / 600)).alias("gt"))
+    beta = ratings.fit_logistic(x.cache(), ["z", "g", "gt"], "y")
+    return t.spark.createDataFrame([("z", float(beta[0])), ("g", float(beta[1])), ("gt", float(beta[2]))], "feature string, beta double")
+
+
+@query()
+def combiner_fit(t: Tables) -> DataFrame:
+    """A frozen logistic combiner of two forecasts: the teams' rates and the home side's rate."""
+    from skirmish.plans.sequences import side_prior
+
+    rows = t.forecast().join(side_prior(t).select("contest_id", F.col("p").alias("q")), "contest_id")
+    x = rows.select("y", X.logit(F.col("p")).alias("team"), X.logit(F.col("q")).alias("side"))
+    beta = ratings.fit_logistic(x.cache(), ["team", "side"], "y", ridge=2.0)
+    return t.spark.createDataFrame([("team", float(beta[0])), ("side", float(beta[1]))], "feature string, beta double")
+
+
+def _tournament(t: Tables, known: dict | None = None) -> simulate.Tournament:
+    """The 16 teams with most contests, rated by shrunken rates."""
+    top = t.team_rows().groupBy("team").agg(F.count("*").alias("n"), X.shrunk(F.sum("won"), F.count("*")).alias("r")).orderBy(F.desc("n"), "team").limit(16).toPandas()
+    z = np.log(top["r"] / (1 - top["r"])).to_numpy()
+    p = 1 / (1 + np.exp(-4 * (z[:, None] - z[None, :])))
+    return simulate.Tournament(p, noise=0.1, form=0.2, known=known)
+
+
+@query()
+def simulate_tournament(t: Tables) -> DataFrame:
+    got = simulate.simulate(t.spark, _tournament(t), 0, 2000, 7)
+    return got.withColumn("share", 100 * F.col("n") / 2000)
+
+
+@query()
+def adaptive_simulation(t: Tables) -> DataFrame:
+    _, history = simulate.simulate_adaptive(t.spark, _tournament(t), 500, 1000, 3000, 2.0, 2, 7)
+    return t.spark.createDataFrame(pd.DataFrame(history).astype(float), "iterations double, delta double, margin double")
+
+
+@query()
+def conditional_branches(t: Tables) -> DataFrame:
+    """The same streams with one pair's result fixed either way."""
+    out = None
+    for w in (0, 1):
+        got = simulate.simulate(t.spark, _tournament(t, {(0, 1): w}), 0, 500, 7).withColumn("branch", F.lit(w))
+        out = got if out is None else out.unionByName(got)
+    return out
