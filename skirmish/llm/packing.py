@@ -6,6 +6,7 @@ bin is filled by counting alone. Workers fill the bins of their own partition: n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,14 @@ from skirmish.llm.common import text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Chunks whose ids a worker remembers. When there are more, it keeps those of up to SHORT characters, which are the frequent ones.
-CACHE_ENTRIES, SHORT = 500_000, 8
+CACHE_ENTRIES, SHORT = 1_000_000, 7
 #: Sequence ids: the partition's number above these bits, the worker's own count below.
 LOCAL_BITS = 40
 
+#: A blank that no non-blank follows, and the blanks at which a text is cut. What either takes for a blank may be more than
+#: what the tokenizer does: then a text is cut at fewer places.
+_OPEN_BLANK, _CUT = re.compile(r" (?=\s|$)"), re.compile(r" (?=\S)")
+
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
@@ -41,42 +46,38 @@ class Encoder:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]] if parts[0] else []
-        for part in parts[1:]:
-            if part and not part[0].isspace():
-                out.append(" " + part)
-            elif out:
-                out[-1] += " " + part
-            else:
-                out.append(" " + part)
-        return out
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks, those that begin with a blank and a non-blank joined to one text: a pre-token ends before each."""
-        joined = [c for c in chunks if len(c) > 1 and c[0] == " " and not c[1].isspace()]
-        for i in range(0, len(joined), 5000):
-            some = joined[i : i + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(c.encode()) for c in some), np.int64, len(some)))
-            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+        """Parts of a text that are encoded apart: the first, and then each one's rest behind the blank that begins it."""
+        if not _OPEN_BLANK.search(text):
+            return text.split(" ")
+        return _CUT.split(text)
+
+    def learn(self, rests: list[str]) -> None:
+        """Encode what follows a blank, joined to one text: a pre-token ends before each such blank."""
+        for i in range(0, len(rests), 5000):
+            some = rests[i : i + 5000]
+            joined = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            sizes = [len(c) + 1 for c in some] if joined.isascii() else [len(c.encode()) + 1 for c in some]
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(sizes)) + 1
             data, begin = ids.tobytes(), 0
             for c, end in zip(some, (4 * cuts).tolist(), strict=True):
                 self.known[c] = data[begin:end]
                 begin = end
-        rest = [c for c in chunks if c not in self.known]
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        wanted = {c for chunks in cut for c in chunks}
-        if len(self.known) + len(wanted) > CACHE_ENTRIES:
+        heads = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)]
+        wanted: set[str] = set()
+        for chunks in cut:
+            wanted.update(chunks[1:])
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > CACHE_ENTRIES:
             short = {c: x for c, x in self.known.items() if len(c) <= SHORT}
             self.known = short if len(short) < CACHE_ENTRIES // 2 else {}
-        self.learn([c for c in wanted if c not in self.known])
+            new = wanted.difference(self.known)
+        self.learn(list(new))
         get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        return [head + b"".join(map(get, chunks[1:])) for head, chunks in zip(heads, cut, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
