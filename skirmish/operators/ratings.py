@@ -67,13 +67,13 @@ def walk_forward(series: DataFrame, models: list[dict] | None = None, keys: list
     ts and contest_id; it must fit a task. Without keys a model walks all series, as its state demands.
     """
     models, keys = models or arena(), keys or []
-    config = series.sparkSession.createDataFrame(pd.DataFrame(models))
+    config = series.sparkSession.createDataFrame(pd.DataFrame(models).rename(columns={"family": "kind"}))
     crossed = series.select(*SERIES, *keys).join(F.broadcast(config))  # a row a model: 21
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "contest_id"], kind="stable")
         m = rows.iloc[0]
-        return pd.DataFrame({"model": m["model"], **{k: rows[k] for k in keys}, "contest_id": rows["contest_id"], "ts": rows["ts"], "y": rows["score"], "p": walk(rows, m["family"], m["step"], m["half_life"], m["extra"])})
+        return pd.DataFrame({"model": m["model"], **{k: rows[k] for k in keys}, "contest_id": rows["contest_id"], "ts": rows["ts"], "y": rows["score"], "p": walk(rows, m["kind"], m["step"], m["half_life"], m["extra"])})
 
     extra = "".join(f", {k} {series.schema[k].dataType.simpleString()}" for k in keys)
     return crossed.groupBy("model", *keys).applyInPandas(run, f"model string{extra}, contest_id long, ts long, y double, p double")
