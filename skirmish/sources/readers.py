@@ -20,8 +20,8 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def rejected(rows: DataFrame) -> DataFrame:
-    """How many rows didn't parse, by file."""
-    return rows.select("_file", CORRUPT).cache().filter(F.col(CORRUPT).isNotNull()).groupBy("_file").agg(F.count("*").alias("rejected"))
+    """How many rows didn't parse, by file. rows get cached: Spark doesn't scan files for the corrupt column alone."""
+    return rows.cache().groupBy("_file").agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("rejected")).filter("rejected > 0")
 
 
 def by_precedence(sources: list[DataFrame], keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -44,7 +44,8 @@ def nest(rows: DataFrame, keys: list[str], fields: list[str], order: list[str],
 def payload(column: str, element: str, roots: tuple[str, ...] = ("data", "rows", "results", "positions")) -> Column:
     """The rows of a payload that is an array itself or holds it under one of several names."""
     inner = [F.from_json(F.col(column), f"{r} array<{element}>")[r] for r in roots]
-    return F.coalesce(F.from_json(F.col(column), f"array<{element}>"), *inner)
+    whole = F.when(F.ltrim(column).startswith("["), F.from_json(F.col(column), f"array<{element}>"))  # an object would be read as one row
+    return F.coalesce(whole, *inner)
 
 
 def timeline(dim: DataFrame, ts: str, since: int, until: int) -> DataFrame:
