@@ -282,6 +282,10 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
         final = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    nameless = mine.filter("doc_id is null and n > 0").select("n", "s1", "s2")
+    if not nameless.isEmpty():  # the only other row with such a row's text is no class yet
+        firsts = mine.filter("doc_id is not null").join(nameless.distinct(), ["n", "s1", "s2"], "left_semi").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("component_id"))
+        named = named.union(firsts.join(classes, ["n", "s1", "s2"], "left_anti").select("n", "s1", "s2", "component_id"))
     out = mine.join(staged(named, "join-named"), ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
