@@ -28,7 +28,7 @@ _POSITION = np.uint64((1 << 24) - 1)
 
 class Anchors:
     """The anchors of a batch of texts: for each run of windows with one anchor, the anchor's position `at`, the first and last
-    window's start, the gram's hash h and the hash g of all bytes that the windows cover."""
+    window's start, the gram's hash h and the hash g of all bytes that the windows cover. A text has the same runs in any batch."""
 
     def __init__(self, texts: list[str | None]):
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
@@ -45,7 +45,9 @@ class Anchors:
         self.at, self.first, self.last, self.h, self.g = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
 
     def _chunk(self, valid: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
-        """Windows that start in a..b."""
+        """Runs of windows that begin in a..b, whole: a run has PLACES windows at most, and one that began before a is not taken."""
+        begin, end = a, b
+        a, b = max(a - 1, 0), min(b + PLACES, len(self.data))
         data = self.data[a : b + LENGTH]
         up, down = _powers(len(data) + 1)
         prefix = np.zeros(len(data) + 1, np.uint64)
@@ -66,7 +68,7 @@ class Anchors:
         new = np.append(True, (anchor[1:] != anchor[:-1]) | (on[1:] != on[:-1]))
         first = np.flatnonzero(new)
         last = np.append(first[1:], n) - 1
-        keep = on[first]
+        keep = on[first] & (first >= begin - a) & (first < end - a)
         first, last = first[keep], last[keep]
         at = anchor[first]
         size = (last + LENGTH - first).astype(np.uint64)
@@ -185,6 +187,8 @@ def find(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     x["g"].append(s.g[i])
                     x["offset"].append(s.at[i] - s.first[i])
                     x["context"].append(s.data[s.first[i] : s.last[i] + LENGTH].tobytes())
+        if todo:
+            raise RuntimeError(f"{len(todo)} contexts of a block are not in its texts")
         as_long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
         return pa.table({"h": as_long(x["h"]), "g": as_long(x["g"]), "offset": pa.array(np.array(x["offset"], np.int32)), "context": pa.array(x["context"], pa.binary())})
 

@@ -61,6 +61,17 @@ def test_chunks_of_a_long_text(spark, monkeypatch):
     assert starts(got) == starts(want)
 
 
+def test_cuts_leave_no_trace(monkeypatch):
+    """A text has the same contexts wherever chunks and slices are cut."""
+    texts = [t for _, t in planted()] + [prose(1000 + i, 90, 10**6) for i in range(60)]
+    runs = lambda x: sorted(zip(x.h.tolist(), x.g.tolist(), (x.last - x.first).tolist(), strict=True))
+    want = runs(repeats.Anchors(texts))
+    for chunk in (7, 101, 333):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        assert runs(repeats.Anchors(texts)) == want
+        assert sorted(r for a in range(0, len(texts), 3) for r in runs(repeats.Anchors(texts[a : a + 3]))) == want
+
+
 def test_multikey_sort():
     r = np.random.default_rng(1)
     rows = r.integers(97, 100, (300, 21)).astype(np.uint8)
