@@ -10,18 +10,30 @@ from pyspark.sql import functions as F
 #: Feistel rounds (an even number).
 ROUNDS = 8
 
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN = "(?:" + "|".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+
 # The forms that are looked for; the first that fits at a place counts.
 FORMS = {
     "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "iso_date": r"(?<![\d.-])\d{4}[-/]\d{2}[-/]\d{2}(?![\d-])",
     "day_date": r"(?<![\d./-])\d{2}[./]\d{2}[./]\d{4}(?![\d/])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d(])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
 }
-PATTERN = "|".join(f"(?:{p})" for p in FORMS.values())
+# More groups of digits, up to one where another form begins. Possessive: Java matches it without recursion, however long.
+_MORE = rf"(?:[ -](?!{'|'.join(f'(?:{p})' for p in FORMS.values())})\d+)*+"
+# What an IBAN or a card number may be a part of; the parts are checked. Codes without a known length take what may belong to them.
+FORMS["iban"] = rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?(?!{_IBAN})[A-Z0-9]{{4}}){{2,7}}(?: ?(?!{_IBAN})[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]){_MORE})"
+FORMS["card"] = rf"(?<![\d.])(?=\d(?:[ -]?\d){{12}})\d+{_MORE}"
+#: Card numbers as they are printed.
+CARD = r"^[ -]?(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})$"
+PATTERN = "|".join(f"(?:{FORMS[p]})" for p in ("mail", "iban", "iso_date", "day_date", "ip", "ssn", "phone", "card"))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -121,25 +133,59 @@ def refill(form: Column, characters: Column) -> Column:
     return _let(characters, fill)
 
 
-def _card(m: Column, key: str) -> Column:
+def _cards(m: Column, key: str) -> Column:
+    """m with the card numbers among its groups replaced: valid runs of whole groups of 13 to 19 digits, from the left.
+
+    Runs as cards are printed (CARD) come before others, and longer ones before shorter.
+    """
+    plain = lambda text: F.regexp_replace(text, "[ -]", "")
+    run = lambda groups, i, n: F.array_join(F.slice(groups, i, n), "")
+    valid = lambda digits: F.when(digits.rlike("^[0-9]{13,19}$"), luhn_sum(digits) % 10 == 0).otherwise(False)
+
     def with_check(body: Column) -> Column:
         return F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
 
-    def new(digits: Column) -> Column:
-        body = cipher(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
-        return F.when(luhn_sum(digits) % 10 == 0, refill(m, _let(body, with_check))).otherwise(m)
+    def new(text: Column) -> Column:
+        return refill(text, _let(plain(text), lambda d: _let(cipher(d.substr(F.lit(1), F.length(d) - 1), key, "card"), with_check)))
 
-    return _let(F.regexp_replace(m, "[^0-9]", ""), new)
+    def scan(groups: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            # How many groups from i on are a number: as printed, or else with none in them that is printed so; or 0.
+            sizes = lambda i: F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i + 1))
+            fits = lambda i: lambda n: _let(plain(run(groups, i, n)), valid)
+            printed = lambda i: lambda n: F.when(run(groups, i, n).rlike(CARD), fits(i)(n)).otherwise(False)
+            clear = lambda n: ~F.exists(F.sequence(i, i + n - 1), lambda k: F.exists(sizes(k), printed(k)))
+            other = lambda n: F.when(fits(i)(n), clear(n)).otherwise(False)
+            longest = F.coalesce(F.array_max(F.filter(sizes(i), printed(i))), F.array_max(F.filter(sizes(i), other)), F.lit(0))
+            put = lambda n: F.struct(F.concat(s["out"], F.when(n > 0, new(run(groups, i, n))).otherwise(F.element_at(groups, i))).alias("out"), (i + F.greatest(n, F.lit(1))).alias("next"))
+            return F.when(i < s["next"], s).otherwise(_let(longest, put))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+        return F.when(F.size(groups) > 0, F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda s: s["out"])).otherwise("")
+
+    return _let(F.regexp_extract_all(m, F.lit("[ -]?[A-Za-z0-9]+"), F.lit(0)), scan)
 
 
 def _iban(m: Column, key: str) -> Column:
-    def new(plain: Column) -> Column:
-        land = plain.substr(F.lit(1), F.lit(2))
-        with_check = lambda body: F.concat(land, F.lpad((98 - mod97(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
-        valid = (mod97(plain) == 1) & F.length(plain).between(15, 34)
-        return F.when(valid, refill(m, _let(cipher(plain.substr(F.lit(5), F.length(plain)), key, "iban"), with_check))).otherwise(m)
+    """The longest valid run of groups from the first on; the groups after it may be card numbers."""
+
+    def new(text: Column) -> Column:
+        def fill(plain: Column) -> Column:
+            land = plain.substr(F.lit(1), F.lit(2))
+            with_check = lambda body: F.concat(land, F.lpad((98 - mod97(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
+            return refill(text, _let(cipher(plain.substr(F.lit(5), F.length(plain)), key, "iban"), with_check))
+
+        return _let(F.replace(text, F.lit(" "), F.lit("")), fill)
+
+    def cut(groups: Column) -> Column:
+        head = lambda n: F.array_join(F.slice(groups, 1, n), "")
+        valid = lambda plain: F.when(plain.rlike("^[A-Z0-9]{15,34}$"), mod97(plain) == 1).otherwise(False)
+        sizes = F.sequence(F.lit(1), F.least(F.lit(9), F.size(groups)))
+        longest = F.coalesce(F.array_max(F.filter(sizes, lambda n: _let(F.replace(head(n), F.lit(" "), F.lit("")), valid))), F.lit(0))
+        rest = lambda n: F.array_join(F.slice(groups, n + 1, F.size(groups)), "")
+        return _let(longest, lambda n: F.concat(F.when(n > 0, new(head(n))).otherwise(""), _cards(rest(n), key)))
 
-    return _let(F.replace(m, F.lit(" "), F.lit("")), new)
+    return _let(F.regexp_extract_all(m, F.lit("[ -]?[A-Z0-9]+"), F.lit(0)), cut)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -228,7 +274,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(is_form("ip"), _ip(m, key))
         .when(is_form("ssn"), _ssn(m, key))
         .when(is_form("phone"), _phone(m, key))
-        .otherwise(_card(m, key))
+        .otherwise(_cards(m, key))
     )
 
 
@@ -238,7 +284,8 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     Card numbers (Luhn), IBANs (remainder 97), dates (calendar), IPv4 addresses, US social security numbers and North
     American phone numbers are checked, and permuted within the valid ones of their form under the key; separators, lengths
     and check digits fit. In mail addresses letters and digits of the name are permuted. Equal values get equal pseudonyms in
-    every document, in whatever spacing; different values of a form get different ones. Invalid numbers stay.
+    every document, in whatever spacing; different values of a form get different ones. Invalid numbers stay. Card numbers and
+    IBANs are found beside other groups of digits or capitals too (expiry date, CVV, year, currency), at the groups' borders.
 
     Null text stays null, empty text empty; ties don't occur; repeated rows get equal texts; an empty table stays empty. Whole
     texts are searched. Texts without a digit or @ skip the search. No shuffle.

@@ -74,6 +74,21 @@ def test_invalid_values_and_plain_texts_stay(spark):
     assert masked(spark, *texts) == texts
 
 
+def test_numbers_beside_other_groups(spark):
+    """A valid number is found beside an expiry date, CVV, year, currency or bank name, and those stay."""
+    number, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    card, account, ssn, date = masked(spark, number, iban, "123-45-6789", "2024-02-29")
+    beside = ["{} 12/27", "2024 {}", "{} 123", "12/27 {}", "27 {} 123 x", "{} 12.50", "1 2 {} 3 4", "ID12 {}", "QX12 {} 12/27", "12 {} {} 7", "AB12 {} {}"]
+    assert masked(spark, *[x.replace("{}", number) for x in beside]) == [x.replace("{}", card) for x in beside]
+    plain = card.replace(" ", "")
+    assert masked(spark, "4111111111111111 123", "2024 4111-1111-1111-1111") == [f"{plain} 123", f"2024 {card.replace(' ', '-')}"]
+    around = ["{} EUR", "{} BANK", "{} BANKING AG", "IBAN {} 2024", "NR12 {}", "{} 12 EUR", "{} EUR {} USD"]
+    assert masked(spark, *[x.replace("{}", iban) for x in around]) == [x.replace("{}", account) for x in around]
+    assert masked(spark, f"{iban} {number}", f"{number} 123-45-6789", f"{number} 2024-02-29", f"{number} {iban}") == [f"{account} {card}", f"{card} {ssn}", f"{card} {date}", f"{card} {account}"]
+    long = "1 " * 30_000 + "1"
+    assert len(masked(spark, long)[0]) == len(long)
+
+
 def test_edges(spark):
     got = pii.pseudonymise(frame(spark, EDGES), KEY)
     assert got.columns == frame(spark, EDGES).columns
