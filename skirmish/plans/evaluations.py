@@ -201,7 +201,7 @@ def live_map_estimate(t: Tables) -> DataFrame:
   [list_sum(list(v[1])), list_sum(list(v[2])), list_sum(list(v[3])), list_sum(list(v[4])), list_sum(list(v[5])), list_sum(list(v[6])), list_sum(list(v[7])), list_sum(list(v[8]))] AS tot FROM e GROUP BY ALL)
   SELECT label, n, round(0.5 * (list_sum(list_transform(tot, lambda x: x * x)) - sq), 4) AS fm FROM s""")
 def fm_score(t: Tables) -> DataFrame:
-    """Pairwise interactions of all members of a class: half the difference of the squared sum and the sum of squares."""
+    """fm_score_all over the first eight components, as the query's SQL has it."""
     dims = range(1, 9)
     at = lambda d: F.element_at("embedding", d).cast("double")
     got = t.embeddings.groupBy("label").agg(F.count("*").alias("n"), *[F.sum(at(d)).alias(f"s{d}") for d in dims], *[F.sum(at(d) * at(d)).alias(f"q{d}") for d in dims])
@@ -209,6 +209,17 @@ def fm_score(t: Tables) -> DataFrame:
     return got.select("label", "n", F.round(0.5 * total, 4).alias("fm"))
 
 
+@query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), s AS (SELECT label, d, sum(x) AS s, sum(x * x) AS q FROM e GROUP BY ALL),
+  f AS (SELECT label, round(0.5 * sum(s * s - q), 4) AS fm FROM s GROUP BY ALL), c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY ALL)
+  SELECT c.label, n, fm FROM c LEFT JOIN f ON c.label IS NOT DISTINCT FROM f.label""")
+def fm_score_all(t: Tables) -> DataFrame:
+    """Pairwise interactions of all members of a class: half the difference of the squared sum and the sum of squares, over all components."""
+    x = t.embeddings.select("label", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
+    sums = x.groupBy("label", "d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    fm = sums.groupBy(F.col("label").alias("of")).agg(F.round(0.5 * F.sum(F.col("s") * F.col("s") - F.col("q")), 4).alias("fm"))
+    return t.embeddings.groupBy("label").agg(F.count("*").alias("n")).join(fm, F.col("label").eqNullSafe(F.col("of")), "left").select("label", "n", "fm")
+
+
 @query(with_(*ALL, body="SELECT group_id, round(stddev_samp(r) * 4, 6) AS form_sd, count(*) AS teams FROM (SELECT group_id, side0_team, sum(y - p) / (count(*) + 8.0) AS r FROM forecast JOIN contest USING (contest_id, group_id) GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL"))
 def team_form_sd(t: Tables) -> DataFrame:
     rows = t.forecast().join(t.contest().select("contest_id", "side0_team"), "contest_id")

@@ -198,3 +198,12 @@ def test_entry_works_without_llm():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'entity_rates' in e.queries() and not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_fm_score_of_every_component(spark, sf):
+    from skirmish.plans import catalogue
+
+    e = pd.read_parquet(f"{sf}/embeddings.parquet")
+    for r in catalogue.queries()["fm_score_all"](spark, sf).collect():
+        v = np.stack(e[e["label"] == r.label]["embedding"]).astype(float)
+        assert r.n == len(v) and abs(r.fm - 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())) < 1e-3
