@@ -143,19 +143,24 @@ def online_update(pairs: DataFrame, played: DataFrame, group: str, strength: flo
     return pairs.groupBy(group).cogroup(played.groupBy(group)).applyInPandas(run, f"{group} {kind}, a string, b string, p double")
 
 
-def leave_one_out(pairs: DataFrame, played: DataFrame, group: str, result_id: str, strength: float = 0.4) -> DataFrame:
-    """Influence of each result: the pair's probability with all results less that without this one."""
+def leave_one_out(pairs: DataFrame, played: DataFrame, group: str, result_id: str, strength: float = 0.4, parts: int = 8) -> DataFrame:
+    """Influence of each result: the pair's probability with all results less that without this one.
+
+    A group's refits are dealt to `parts` tasks, each of which has all its results.
+    """
+    spread = lambda df: df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = played.withColumn("_home", F.pmod(F.xxhash64(result_id), F.lit(parts)).cast("int"))
 
     def run(base: pd.DataFrame, results: pd.DataFrame) -> pd.DataFrame:
         base = base[[group, "a", "b", "p"]]
         whole, out = update_live(base, results, strength), []
-        for i in results.index:
+        for i in results.index[results["_home"] == results["_part"]]:
             without = update_live(base, results.drop(i), strength)
             out.append(whole.assign(**{result_id: results.at[i, result_id], "influence": whole["p"] - without["p"]}))
         return pd.concat(out)[[group, result_id, "a", "b", "influence"]] if out else pd.DataFrame(columns=[group, result_id, "a", "b", "influence"])
 
     kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((pairs, group), (played, result_id))]
-    return pairs.groupBy(group).cogroup(played.groupBy(group)).applyInPandas(run, f"{', '.join(kinds)}, a string, b string, influence double")
+    return spread(pairs).groupBy(group, "_part").cogroup(spread(dealt).groupBy(group, "_part")).applyInPandas(run, f"{', '.join(kinds)}, a string, b string, influence double")
 
 
 def normal_equations(df: DataFrame, features: list[str], y: str, w: str, group: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions import exprs as X
@@ -58,11 +58,11 @@ def online_bt(t: Tables) -> DataFrame:
 
 @query()
 def influence_trace(t: Tables) -> DataFrame:
-    """What each of a year's twelve latest results adds to the pairs' probabilities."""
-    rows = series(t).select("contest_id", "ts", "family", "a", "b", F.col("score").alias("won"), "weight")
-    last = Window.partitionBy("family").orderBy(F.desc("ts"), F.desc("contest_id"))
-    w = rows.withColumn("r", F.row_number().over(last)).filter("r <= 12")
-    return ratings.leave_one_out(_pairs(t), w.select("family", "contest_id", "a", "b", "won", "weight"), "family", "contest_id")
+    """What each result of a tournament (a group's contests of a month) adds to the pairs' probabilities of its year."""
+    month = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM")
+    rows = series(t).withColumn("tournament", F.concat_ws("|", "group_id", month)).select("tournament", "family", "contest_id", "a", "b", F.col("score").alias("won"), "weight")
+    pairs = rows.select("tournament", "family").distinct().join(_pairs(t), "family").select(F.col("tournament").alias("tournament"), "a", "b", "p")  # a new column: rows has the old one
+    return ratings.leave_one_out(pairs, rows.drop("family"), "tournament", "contest_id")
 
 
 @query(with_(CONTEST, TEAMS, FORECAST, body="""SELECT version, count(*)::DOUBLE AS xx_0_0, round(sum(p), 4) AS xx_0_1, round(sum(p * p), 4) AS xx_1_1, sum(y)::DOUBLE AS xy_0, round(sum(p * y), 4) AS xy_1 FROM forecast GROUP BY ALL"""))

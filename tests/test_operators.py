@@ -200,6 +200,24 @@ def test_entry_works_without_llm():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
 
 
+def test_influence_of_every_result(spark, sf):
+    """Every finished contest is left out once, and against all other results of its tournament."""
+    from skirmish.operators import ratings
+    from skirmish.plans import catalogue
+    from skirmish.plans.contest import Tables
+
+    got = catalogue.queries()["influence_trace"](spark, sf).groupBy("contest_id").count().collect()
+    want = {r.contest_id for r in Tables(spark, sf).finished().select("contest_id").collect()}
+    assert {r.contest_id for r in got} == want and len({r["count"] for r in got}) <= 7  # the pairs of each year
+    base = pd.DataFrame({"g": 1, "a": ["x", "x", "y"], "b": ["y", "z", "z"], "p": [0.5, 0.6, 0.7]})
+    played = pd.DataFrame({"g": 1, "id": range(20), "a": ["x", "y"] * 10, "b": ["z"] * 20, "won": [1.0, 0.0, 0.0, 1.0] * 5, "weight": 0.7})
+    rows = ratings.leave_one_out(spark.createDataFrame(base), spark.createDataFrame(played), "g", "id").toPandas()
+    whole = ratings.update_live(base, played, 0.4)
+    for i in range(20):
+        mine = rows[rows["id"] == i].sort_values(["a", "b"])["influence"].to_numpy()
+        assert np.allclose(mine, (whole["p"] - ratings.update_live(base, played.drop(i), 0.4)["p"]).to_numpy())
+
+
 def test_fm_score_of_every_component(spark, sf):
     from skirmish.plans import catalogue
 
