@@ -23,6 +23,8 @@ LENGTH, GRAM = 200, 100
 PLACES = LENGTH - GRAM + 1
 #: Text of a block, window positions worked on at once, and contexts of a bucket.
 BLOCK_BYTES, CHUNK, BUCKET = 8 << 20, 1 << 20, 1 << 15
+#: Parts of the contexts of a common window.
+SALTS = 64
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -145,6 +147,29 @@ def _live(t: pa.Table) -> pa.Table:
     return t.append_column("full", pa.array((total_g[of_g] > 1)[live])).append_column("several", pa.array((kinds[of_h] > 1)[live]))
 
 
+def crowded_bits(contexts: DataFrame) -> DataFrame:
+    """h, g, bits of repeated_windows for contexts h, g, offset, context of common grams: windows are compared by MD5.
+
+    Windows are counted with partial sums, and their counts are dealt back by SALTS, so no task holds a gram or a window's contexts.
+    """
+    salt = F.pmod(F.xxhash64("g"), F.lit(SALTS)).cast("int")
+    least = F.greatest(F.lit(0), F.lit(LENGTH) - (F.octet_length("context") - F.col("offset")))
+    windows = contexts.select("h", "g", "offset", "context", F.explode(F.sequence(least, F.col("offset"))).alias("d"))
+    windows = windows.select("h", "g", "d", salt.alias("salt"), F.unhex(F.md5(F.expr(f"substring(context, offset - d + 1, {LENGTH})"))).alias("window"))
+    twice = windows.groupBy("h", "d", "window").count().filter("count > 1").select("h", "d", "window", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of = windows.join(twice, ["h", "d", "window", "salt"]).groupBy("h", "g").agg(F.collect_set("d").alias("ds"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.zeros((b.num_rows, PLACES), bool)
+            for i, d in enumerate(b.column(2).to_pylist()):
+                bits[i, d] = True
+            packed = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], ["h", "g", "bits"])
+
+    return of.mapInArrow(pack, "h long, g long, bits binary")
+
+
 def find(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end: the bytes that repeated strings cover, in order), kept (the other bytes).
 
@@ -153,7 +178,7 @@ def find(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     Null or empty text, or one under LENGTH bytes: no spans. Null doc_id stays null; repeated rows are each other's copies.
     Empty table: no rows. Texts of any length are cut into chunks of windows. Grams and whole contexts are compared by two
-    64-bit hashes; contexts that differ somewhere are compared byte by byte.
+    64-bit hashes; contexts that differ somewhere are compared byte by byte, or by MD5 where a gram has over BUCKET of them.
     """
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     blocked, _ = in_blocks(plain, "doc_id", block_bytes)
@@ -206,9 +231,14 @@ def find(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             bits = np.packbits(repeated_windows(t["context"].to_pylist(), t["offset"].to_numpy().astype(np.int64)), axis=1)
             yield from pa.table({"h": t["h"], "g": t["g"], "bits": pa.array([x.tobytes() for x in bits], pa.binary())}).to_batches()
 
+    # Contexts of a gram that has more than a bucket of them have equal leading bytes: they are judged window by window instead.
+    mixed = staged(mixed.dropDuplicates(["h", "g"]), "repeats-distinct")
+    hot = staged(mixed.groupBy("h").count().filter(F.col("count") > BUCKET).select("h"), "repeats-hot")
+    crowded = mixed.join(hot, "h", "left_semi")
+    mixed = mixed.join(hot, "h", "left_anti")
     n = mixed.count()
     ranged = mixed.withColumn("leading", F.expr(f"substring(context, offset + 1, {GRAM})")).repartitionByRange(max(1, -(-n // BUCKET)), "leading")
-    judged = staged(ranged.select("h", "g", "offset", "context").mapInArrow(buckets, "h long, g long, bits binary"), "repeats-judged")
+    judged = staged(ranged.select("h", "g", "offset", "context").mapInArrow(buckets, "h long, g long, bits binary").unionByName(crowded_bits(crowded)), "repeats-judged")
 
     # A context that occurs twice is repeated as a whole; of the others, what its bucket says.
     partly = several.filter("not full").join(judged, ["h", "g"]).select("block", "h", "g", "bits")

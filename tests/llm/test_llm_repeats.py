@@ -72,6 +72,20 @@ def test_cuts_leave_no_trace(monkeypatch):
         assert sorted(r for a in range(0, len(texts), 3) for r in runs(repeats.Anchors(texts[a : a + 3]))) == want
 
 
+def test_common_passage_is_not_held_at_once(spark, monkeypatch):
+    """Grams with more contexts than a bucket has: the same spans, and no bucket gets them."""
+    judge = repeats.repeated_windows
+
+    def small(contexts, offset):
+        leading = Counter(c[o : o + repeats.GRAM] for c, o in zip(contexts, offset.tolist(), strict=True))
+        assert not leading or max(leading.values()) <= 3
+        return judge(contexts, offset)
+
+    monkeypatch.setattr(repeats, "BUCKET", 3)
+    monkeypatch.setattr(repeats, "repeated_windows", small)
+    assert found(repeats.find(frame(spark, planted()), 2000)) == brute(planted())
+
+
 def test_multikey_sort():
     r = np.random.default_rng(1)
     rows = r.integers(97, 100, (300, 21)).astype(np.uint8)
