@@ -90,12 +90,43 @@ def test_edges(spark):
     assert len(got) == len(EDGES)
     assert {(g.doc_id, g.n_shingles, g.component_id) for g in got if g.doc_id in (1, 2, 3, 4)} == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4)}
     assert [(g.n_shingles, g.component_id) for g in got if g.doc_id == 6] == [(36, 6), (36, 6)]
-    assert sorted((g.n_shingles, g.component_id) for g in got if g.doc_id is None) == [(0, None), (26, None)]
+    assert sorted((g.n_shingles, g.component_id is None) for g in got if g.doc_id is None) == [(0, True), (26, True)]
     assert similarity.join(frame(spark, [])).count() == 0
     with_null = similarity.join(frame(spark, [(None, prose(1, 30)), (4, prose(1, 30))])).collect()
     assert {g.component_id for g in with_null} == {4}
 
 
+def test_an_id_on_two_texts(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(6, a), (10, a), (6, b), (9, b + " two more"), (None, b), (None, prose(3, 30)), (None, prose(3, 30))]
+    got = sorted(((g.doc_id, g.n_shingles, g.component_id) for g in similarity.join(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(6, 56, 6), (10, 56, 6), (6, 56, 6), (9, 58, 6), (None, 56, 6), (None, 26, None), (None, 26, None)], key=repr)
+    kept = [(r.doc_id, r.text) for r in similarity.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(6, a), (6, b), (None, prose(3, 30))], key=repr)
+    both = [(6, a), (6, a + " more words"), (5, prose(4, 40)), (5, prose(4, 40)), (7, None), (7, None), (7, " ")]
+    assert sorted((r.doc_id for r in similarity.keep_one(frame(spark, both)).collect())) == [5, 6, 7, 7, 7]
+
+
+def test_a_hot_shingle(spark, monkeypatch):
+    """A passage in all texts, counted apart from the other shingles."""
+    passage = prose(5, 12, 3000)
+    rows = [(i, passage + " " + prose(100 + i // 2, 25, 3000)) for i in range(60)] + corpus()[60:90]
+    monkeypatch.setattr(similarity, "TASK_ROWS", 100)
+    sets = spark.createDataFrame([(i, 8, list(range(8))) for i in range(40)], "c long, n long, shingles array<long>")
+    assert similarity.hot_shingles(sets, 320, 20) == dict.fromkeys(range(8), 40)
+    assert found(similarity.join(frame(spark, rows))) == brute(rows)
+
+
+def test_fragments_are_cut_by_frequency(spark):
+    sets = {c: [h for h in range(1, 7) if c < 2**h] for c in range(40)}
+    rows = similarity.in_order(spark.createDataFrame([(c, len(h), h) for c, h in sets.items()], "c long, n long, shingles array<long>"), 200).collect()
+    for c, h in sets.items():
+        mine = sorted((r for r in rows if r.c == c), key=lambda r: r.f)
+        assert [x for r in mine for x in r.part] == h and all(r.n == r["size"] == len(h) for r in mine)
+        assert [r.before for r in mine] == [sum(len(q.part) for q in mine[:k]) for k in range(len(mine))]
+        assert all(r.f == min(40, 2**x).bit_length() - 2 for r in mine for x in r.part)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 200), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
