@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skirmish.llm import mixing, packing, pii, quality, similarity
 from skirmish.llm.common import staged
@@ -16,13 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    found = similarity.join(docs)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("_gone"), "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(left.filter("doc_id is null"))
+    """One document of each group of near-copies: that with the smallest doc_id (null last); see similarity.keep_one for ties and repeats."""
+    return similarity.keep_one(docs)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
