@@ -2,62 +2,98 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block of the index, and queries of a block.
-BLOCK, QUERY_BLOCK = 4096, 1024
-#: Projections, share of them in which a candidate must collide, first window and its growth, and the share of a block
-#: (plus k) that has to be verified before the windows stop growing.
-PROJECTIONS, THRESHOLD, WIDTH, GROWTH, VERIFY = 128, 0.6, 0.02, 1.25, 0.2
+#: Vectors of a block of the index, queries of a block, and of these how many have their windows looked up at once.
+BLOCK, QUERY_BLOCK, CHUNK = 16384, 2048, 64
+#: Projections, share of them in which a candidate must collide, first radius of the windows and its growth.
+PROJECTIONS, THRESHOLD, RADIUS, GROWTH = 128, 0.6, 0.25, 1.15
+#: Windows stop growing when a vector as near as the k-th best would collide this many standard deviations above the threshold.
+CERTAINTY = 0.5
 SEED = 7
 
 
+def reached(distance: float, radius: float) -> bool:
+    """Whether a unit vector at this distance from the query is a candidate at this radius, nearly for certain.
+
+    Its projections differ from the query's by a normal variable with this standard deviation.
+    """
+    p = math.erf(radius / (math.sqrt(2) * distance)) if distance > 0 else 1.0
+    return p - CERTAINTY * math.sqrt(p * (1 - p) / PROJECTIONS) >= THRESHOLD
+
+
 class Index:
-    """The projections of a block's unit vectors, each sorted."""
+    """A block's vectors and, for each projection, its sorted values and the rows in their order."""
 
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.vectors, self.ids = vectors, ids
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
-        values = (vectors / self.norms[:, None]) @ self.axes
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
-
-    def candidates(self, q: np.ndarray, least: int) -> np.ndarray:
-        """Rows that collide in enough projections, for the first window width at which there are at least `least`."""
-        at = (q / np.sqrt((q * q).sum())) @ self.axes
-        n, need = len(self.vectors), int(np.ceil(THRESHOLD * PROJECTIONS))
-        if least >= n:
-            return np.arange(n)
-        counts = np.zeros(n, np.int64)
-        low = high = None
-        width = WIDTH
-        while True:
-            a = np.array([np.searchsorted(self.sorted[:, p], at[p] - width, "left") for p in range(PROJECTIONS)])
-            b = np.array([np.searchsorted(self.sorted[:, p], at[p] + width, "right") for p in range(PROJECTIONS)])
-            new = []
-            for p in range(PROJECTIONS):  # only what the wider window adds
-                if low is None:
-                    new.append(self.order[a[p] : b[p], p])
-                else:
-                    new += [self.order[a[p] : low[p], p], self.order[high[p] : b[p], p]]
+        values = ((vectors / self.norms[:, None]) @ self.axes).T
+        self.order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, self.order, axis=1)
+
+    def windows(self, values: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first row and the row after the last of each window: by query, radius and projection."""
+        ends = [np.empty((len(values), len(radii), PROJECTIONS), np.int32) for _ in range(2)]
+        for p, s in enumerate(self.sorted):
+            ends[0][:, :, p] = s.searchsorted(values[:, p, None] - radii)
+            ends[1][:, :, p] = s.searchsorted(values[:, p, None] + radii, "right")
+        return ends[0], ends[1]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[list[tuple[float, int]], int]]:
+        """For each query with its id in own, the k best found, as (-score, id) in order, and how many vectors were verified.
+
+        Windows round the query's own value in each projection grow by GROWTH (virtual rehashing), the last one to everything.
+        Each round counts what they newly cover, and verifies the rows that now collide in THRESHOLD of the projections.
+        """
+        norms = np.sqrt((queries * queries).sum(1))
+        values = (queries / norms[:, None]) @ self.axes
+        widest = max(RADIUS, float(np.ptp(self.sorted)) + float(np.ptp(values)))
+        radii = RADIUS * GROWTH ** np.arange(math.ceil(math.log(widest / RADIUS, GROWTH)) + 1)
+        for i in range(0, len(queries), CHUNK):
+            low, high = self.windows(values[i : i + CHUNK], radii)
+            for j in range(len(low)):
+                yield self._one(queries[i + j], norms[i + j], own[i + j], k, radii, low[j].tolist(), high[j].tolist())
+
+    def _one(self, q: np.ndarray, norm: float, own: int, k: int, radii: np.ndarray, low: list[list[int]], high: list[list[int]]) -> tuple[list[tuple[float, int]], int]:
+        n, need = len(self.ids), math.ceil(THRESHOLD * PROJECTIONS)
+        counts, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+        best: list[tuple[float, int]] = []
+        verified, before_a, before_b = 0, low[0], low[0]
+        for radius, a, b in zip(radii, low, high, strict=True):
+            new = [o[i:j] for o, i, j in zip(self.order, a, before_a, strict=True) if i < j] + [o[i:j] for o, i, j in zip(self.order, before_b, b, strict=True) if i < j]
+            before_a, before_b = a, b
+            if not new:
+                continue
             counts += np.bincount(np.concatenate(new), minlength=n)
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= least:
-                return found
-            low, high, width = a, b, width * GROWTH
+            found = np.flatnonzero((counts >= need) & open_)
+            if len(found):
+                open_[found] = False
+                verified += len(found)
+                found = found[self.ids[found] != own]
+                score = (self.vectors[found] @ q) / (self.norms[found] * norm)
+                first = np.lexsort((self.ids[found], -score))[:k]
+                best = sorted([*best, *((-float(score[i]), int(self.ids[found[i]])) for i in first)])[:k]
+            if verified == n or (len(best) == k and reached(math.sqrt(max(0.0, 2 + 2 * best[-1][0])), radius)):
+                break
+        return best, verified
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """The k nearest found vectors of each query by cosine: query_id, rank, vec_id, score.
 
     vectors: vec_id, embedding; is_query: a condition on vec_id. All rows but the query's own (by vec_id) are candidates.
-    Blocks of the index by a hash of vec_id meet blocks of queries, and each pair of blocks gives its k best; a vector is
-    verified (cosine in double precision on the given numbers) when it collides with the query in THRESHOLD of the
-    projections, and windows widen until VERIFY of the block plus k vectors do. Score ties go to the smaller vec_id.
+    Blocks of the index by a hash of vec_id meet blocks of queries, and each pair of blocks gives its k best. A vector is
+    verified (cosine in double precision on the given numbers) when it lies in the query's window in THRESHOLD of the
+    projections; windows grow until a vector as near as the k-th best would be a candidate with CERTAINTY, so near neighbours
+    end a search early. Score ties go to the smaller vec_id.
 
     Rows take no part if vec_id is null, or the vector is null, empty or zero or has a null or non-finite component. Vectors
     meet only vectors of their own dimension. Repeated rows with one vec_id each count as candidates. With fewer than k
@@ -66,8 +102,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     v = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding")).filter("vec_id is not null and size(embedding) > 0")
     v = v.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     v = v.withColumn("dim", F.size("embedding"))
-    n = v.count()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-v.filter(is_query).count() // QUERY_BLOCK))
+    n, asked_n = v.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-asked_n // QUERY_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     hashed = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     data = v.withColumn("b", hashed(blocks)).withColumn("q", every(query_blocks))
@@ -76,13 +112,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     def meet(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(rows) and len(queries):
-            ids, index = rows["vec_id"].to_numpy(), Index(np.stack(rows["embedding"].to_numpy()))
-            for query_id, q in zip(queries["vec_id"], queries["embedding"], strict=True):
-                found = index.candidates(q, int(VERIFY * len(ids)) + k + 1)
-                found = found[ids[found] != query_id]
-                score = (index.vectors[found] @ q) / (index.norms[found] * np.sqrt((q * q).sum()))
-                best = np.lexsort((ids[found], -score))[:k]
-                out += [(query_id, int(ids[found[i]]), float(score[i])) for i in best]
+            index = Index(np.stack(rows["embedding"].to_numpy()), rows["vec_id"].to_numpy())
+            asked_ids = queries["vec_id"].to_numpy()
+            for query_id, (best, _) in zip(asked_ids, index.search(np.stack(queries["embedding"].to_numpy()), asked_ids, k), strict=True):
+                out += [(query_id, i, -s) for s, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     near = data.groupBy("dim", "b", "q").cogroup(asked.groupBy("dim", "b", "q")).applyInPandas(meet, "query_id long, vec_id long, score double")

@@ -46,10 +46,34 @@ def test_edges(spark):
     assert neighbours.search(frame(spark, [(0, [1.0])]), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_windows_widen_until_enough_collide():
+def test_windows_grow_until_the_kth_best_would_be_seen():
     r = np.random.default_rng(2)
-    index = neighbours.Index(r.standard_normal((300, 8)))
-    for least in (1, 20, 299):
-        found = index.candidates(index.vectors[0], least)
-        assert least <= len(found) == len(set(found.tolist())) and 0 in found
-    assert len(index.candidates(index.vectors[0], 1000)) == 300
+    vectors = r.standard_normal((3000, 32))
+    near = vectors[:8] + 0.01 * r.standard_normal((8, 32))
+    index = neighbours.Index(np.concatenate([vectors, near]), np.arange(3008))
+    for i, (best, verified) in enumerate(index.search(vectors[:8], np.arange(8), 1)):
+        assert best[0][1] == 3000 + i and verified < 30  # near neighbours end the search at the first windows
+    few = neighbours.Index(vectors[:4], np.arange(4))
+    assert [sorted(i for _, i in best) for best, _ in few.search(vectors[:2], np.arange(2), 5)] == [[1, 2, 3], [0, 2, 3]]
+    same = neighbours.Index(np.ones((50, 3)), np.arange(50))
+    assert [i for _, i in next(same.search(np.ones((1, 3)), np.array([0]), 5))[0]] == [1, 2, 3, 4, 5]
+    assert neighbours.reached(0.0, 0.1) and not neighbours.reached(1.4, 0.5) and neighbours.reached(1.0, 1.1)
+
+
+def test_recall_on_many_vectors_without_structure(spark):
+    """Far from every query, as in 64 dimensions at random: the hardest case."""
+    r = np.random.default_rng(3)
+    rows = r.standard_normal((30_000, 64))
+    ids = np.arange(len(rows))
+    index = [neighbours.Index(rows[b::2], ids[b::2]) for b in range(2)]
+    asked = ids[::500]
+    found = [list(x.search(rows[asked], asked, 5)) for x in index]
+    hit = verified = 0
+    unit = rows / np.sqrt((rows * rows).sum(1))[:, None]
+    for j, i in enumerate(asked):
+        score = unit @ unit[i]
+        score[i] = -2
+        got = sorted(found[0][j][0] + found[1][j][0])[:5]
+        hit += len({i for _, i in got} & set(np.argsort(-score)[:5].tolist()))
+        verified += found[0][j][1] + found[1][j][1]
+    assert hit >= 0.9 * 5 * len(asked) and verified < 0.2 * len(asked) * len(rows)
