@@ -19,9 +19,11 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh folder in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skirmish-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -44,6 +46,23 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """The staged tables of one job, so that those that nothing reads any more can go."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(staged(df, name))
+        return self.tables[-1]
+
+    def clear(self, *still_read: DataFrame) -> None:
+        for table in self.tables:
+            if not any(table is x for x in still_read):
+                drop_staged(table)
+        self.tables = [x for x in self.tables if any(x is y for y in still_read)]
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first().n or 0
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import duckdb
+import pytest
 
 from skirmish.llm import queries, warc
 
@@ -39,6 +40,26 @@ def test_payloads_round_trip_and_files_are_deterministic(spark, sf, tmp_path):
     assert len(got) == len(want) and not list(Path(tmp_path, "a").glob(".*.tmp"))
 
 
+def test_files_depend_on_the_rows_alone(spark, tmp_path):
+    """100,000 rows in two partitionings, cut by other range samples, give equal files."""
+    rows = spark.range(100_000).selectExpr("id * 7 % 100003 as page_id", "concat('http://x/', id) as url", "repeat(substr(sha2(string(id % 60000), 256), 1, 20), int(1 + id % 60000 % 11)) as html")
+    one = warc.write(rows.repartition(3), f"file://{tmp_path}/a", roll_bytes=200_000, shard_bytes=1_000_000)
+    two = warc.write(rows.repartition(11, "url"), f"file://{tmp_path}/b", roll_bytes=200_000, shard_bytes=1_000_000)
+    assert sorted(one.collect()) == sorted(two.collect()) and one.count() > 20
+    assert {p.name for p in Path(tmp_path, "a").glob("*.gz")} == {r.file for r in one.collect()}
+    first = [r.first_page for r in sorted(one.collect())]
+    assert first == sorted(first)
+    got = warc.read(spark, f"file://{tmp_path}/b", two, payloads=False)
+    assert got.count() == 100_000 and got.filter("record_type = 'revisit'").count() > 10_000
+
+
+def test_splitters_cut_by_bytes(spark):
+    rows = spark.createDataFrame([(i if i % 9 else None, f"{i:064d}", 100) for i in range(-50, 50)], "page_id long, digest string, bytes long")
+    cuts = warc.splitters(rows, 1000)
+    assert cuts == warc.splitters(rows.repartition(7), 1000) and len(cuts) == 9 and cuts == sorted(cuts)
+    assert warc.splitters(rows, 10_000) == [] == warc.splitters(rows.limit(0), 10)
+
+
 def test_only_files_of_the_manifest_count(spark, tmp_path):
     manifest = warc.write(pages(spark, [(1, "u", "a" * 300)]), f"file://{tmp_path}/w")
     Path(tmp_path, "w", "part-000009-00000.warc.gz").write_bytes(b"left by a lost attempt")
@@ -60,6 +81,15 @@ def test_edges(spark, tmp_path):
     assert empty.count() == 0 and warc.read(spark, f"file://{tmp_path}/e", empty).count() == 0
 
 
+def test_members_of_any_length():
+    parts = [b"a" * 10, b"", bytes(range(256)) * 400, b"z"]
+    data = b"".join(gzip.compress(p) for p in parts)
+    for step in (1, 7, 1 << 14):
+        assert list(warc.members(data, step)) == parts
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-3]))
+
+
 def test_a_record_is_a_gzip_member_with_headers():
     digest = hashlib.sha256(b"abc").hexdigest()
     text = gzip.decompress(warc.page_record(1, "http://x/", b"abc", digest, None))
