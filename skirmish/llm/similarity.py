@@ -122,9 +122,7 @@ def shared_counts(signatures: DataFrame, n_rows: int) -> DataFrame:
             hs, ds, ks = hs[new], ds[new], ks[new]
         same = hs[1:] == hs[:-1]
         twice = (np.append(False, same) | np.append(same, False) if len(hs) else np.zeros(0, bool)) & ks
-        ids, n = np.unique(np.concatenate([ds[twice], doc[settled]]), return_inverse=True)
-        total = np.bincount(n, weights=np.concatenate([np.ones(twice.sum()), times[settled]]), minlength=len(ids)).astype(np.int64)
-        return pa.table({"c": pa.array(ids, pa.int64()), "k": pa.array(total)})
+        return pa.table({"c": pa.array(np.concatenate([ds[twice], doc[settled]])), "k": pa.array(np.concatenate([np.ones(twice.sum(), np.int64), times[settled]]))})
 
     rows = signatures.select("c", "prefix").mapInArrow(spread, "h long, c long, times long")
     return _grouped(rows, _parts(rows, n_rows), "h", "c long, k long", count).groupBy("c").agg(F.sum("k").alias("shared"))
