@@ -52,9 +52,12 @@ class Scratch:
     def __init__(self) -> None:
         self.tables: list[DataFrame] = []
 
+    def add(self, table: DataFrame) -> DataFrame:
+        self.tables.append(table)
+        return table
+
     def staged(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(staged(df, name))
-        return self.tables[-1]
+        return self.add(staged(df, name))
 
     def clear(self, *still_read: DataFrame) -> None:
         for table in self.tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import staged
+from skirmish.llm.common import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,6 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node hooks to its smallest neighbour, chains are shortened twice, and edges are drawn anew
     between what is left. A star or clique goes in one round, a chain in logarithmically many.
     """
+    scratch = Scratch()
+    staged = scratch.staged
     left = staged(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna().distinct(), "cc-edges")
     labels = None
     while True:
@@ -33,5 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         to_a, to_b = (parent.select(F.col("node").alias(x), F.col("up").alias(f"{x}2")) for x in ("a", "b"))
         new = left.join(to_a, "a").join(to_b, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
         left = staged(new.filter("a <> b").distinct(), "cc-edges")
+        scratch.clear(left, labels)
         if left.isEmpty():
+            scratch.clear(labels)
             return labels

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import _BASE, MIX1, MIX2, Words, mix64, staged, text_slices
+from skirmish.llm.common import _BASE, MIX1, MIX2, Scratch, Words, mix64, staged, text_slices
 from skirmish.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -206,8 +206,9 @@ def verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     return overlap.filter(F.col("k") * 100 >= (F.col("nx") + F.col("ny") - F.col("k")) * percent).select("x", "y")
 
 
-def linked(ordered: DataFrame, percent: int) -> DataFrame | None:
+def linked(ordered: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
     """node, component: the components of the sets that link with another (None: no set does)."""
+    staged = scratch.staged
     need = F.floor((F.col("n") * percent + 99) / 100)
     take = F.col("n") - need + 1 - (F.col("n") - F.col("size"))
     # own: the set's shingles that no other has; s: how many it has from this one on, which bounds the overlap with a set that
@@ -249,7 +250,7 @@ def linked(ordered: DataFrame, percent: int) -> DataFrame | None:
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
-        part = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        part = scratch.add(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     # What is left: lists that hold several components, each list's largest against the others and these among themselves.
     rows = labelled(part)
@@ -279,7 +280,7 @@ def linked(ordered: DataFrame, percent: int) -> DataFrame | None:
     if more.isEmpty():
         return part
     links = more if links is None else links.union(more)
-    return components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return scratch.add(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
 
 def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -287,9 +288,13 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tupl
     doc_id of a row with it, rep: the row of the component to keep, component: the smallest doc_id of the component)."""
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     plain = plain.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    rows = staged(plain.mapInArrow(_signatures(percent, words), "doc_id long, t long, n long, c long, prefix array<long>"), "join-signatures")
-    n_rows = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    shared = shared_counts(rows.filter("n > 0"), n_rows)
+    scratch = Scratch()
+    staged = scratch.staged
+    full_rows = staged(plain.mapInArrow(_signatures(percent, words), "doc_id long, t long, n long, c long, prefix array<long>"), "join-signatures")
+    n_rows = full_rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    shared = staged(shared_counts(full_rows.filter("n > 0"), n_rows), "join-shared")
+    rows = staged(full_rows.drop("prefix"), "join-rows")
+    scratch.clear(shared, rows)
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")
     sets = staged(rows.filter("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("least"), F.min(row).alias("rep")), "join-classes")
     enough = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / 8))
@@ -311,14 +316,17 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tupl
         texts = staged(texts.dropDuplicates(["c"]), "join-sets")
     n_tokens = texts.agg(F.sum("n")).first()[0] or 0
     ordered = staged(in_order(texts, n_tokens), "join-fragments")
-    part = linked(ordered, percent)
+    scratch.clear(rows, sets, ordered)
+    part = linked(ordered, percent, scratch)
     if part is not None:
         sets = sets.join(part.select(F.col("node").alias("c"), "component"), "c", "left")
     sets = staged(sets.withColumn("group", F.coalesce("component", "c") if part is not None else F.col("c")).drop("component"), "join-groups")
     groups = sets.groupBy("group").agg(F.min("least").alias("component"), F.min("rep").alias("keep"), F.count("*").alias("sets"))
     several = staged(groups.filter("sets > 1").drop("sets"), "join-several")
     named = sets.join(several, "group", "left").select("c", F.when(F.col("keep").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"), F.coalesce("keep", "rep").alias("keep"))
-    return rows.drop("prefix"), staged(named, "join-named")
+    named = staged(named, "join-named")
+    scratch.clear(rows, named)
+    return rows, named
 
 
 def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
