@@ -71,9 +71,9 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 
 def in_blocks(docs: DataFrame, key: str, target_bytes: int, least: int = 1) -> tuple[DataFrame, int]:
-    """docs with a column `block`: rows hashed into blocks of about target_bytes of text, and the number of blocks."""
+    """docs with a column `block`: rows hashed (by key and text, so null keys spread) into blocks of about target_bytes of text, and the number of blocks."""
     n = max(least, -(-text_bytes(docs) // target_bytes))
-    return docs.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+    return docs.withColumn("block", F.pmod(F.xxhash64(key, "text"), F.lit(n)).cast("int")), n
 
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

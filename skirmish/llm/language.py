@@ -158,17 +158,20 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from the columns text and lang of docs (rows with a null in either are not used).
 
-    Document frequencies cover all rows. The regression is fitted to at most sample_docs rows, the first
-    in the order of a hash of the text; a fifth of them is held back for the temperature.
+    Document frequencies cover all rows. The regression is fitted to at most sample_docs different texts, the first in the
+    order of a hash of the text, whatever their copies; a fifth of them is held back for the temperature. Copies that disagree
+    take the least of their languages. Texts of any length, empty ones too, count whole; ties of probability go to the first
+    language by code point. Without a row with both columns (empty tables among them) the model knows `und` alone. Other
+    columns are ignored.
     """
     known = docs.select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).dropna()
     df, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1
     keys = known.select("text", "lang", F.xxhash64("text").alias("key"))
-    top = keys.select("key").orderBy("key").limit(sample_docs).agg(F.max("key").alias("k"), F.count("*").alias("n")).first()
+    top = keys.select("key").distinct().orderBy("key").limit(sample_docs).agg(F.max("key").alias("k"), F.count("*").alias("n")).first()
     if not top.n:
         return Model(["und"], np.zeros((BUCKETS, 1)), np.zeros(1))
-    some = keys.filter(F.col("key") <= top.k).dropDuplicates(["key"])
+    some = keys.filter(F.col("key") <= top.k).groupBy("key").agg(F.first("text").alias("text"), F.min("lang").alias("lang"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,20 +13,18 @@ from pyspark.sql import functions as F
 
 from skirmish.llm.common import Words, mix64, span_hashes, text_slices
 
-#: Most labelled documents that a model is fitted to, and lines in one training sequence (longer documents give several).
-SAMPLE_DOCS, SAMPLE_LINES = 2000, 64
+#: Most labelled documents that a model is fitted to, lines in one training sequence (longer documents give several), and most sequences.
+SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_SEQUENCES = 2000, 32, 800
 #: A document is kept if content lines hold at least this share of its words.
 CONTENT_SHARE = 0.5
 WINDOW = 8
-# Phrases that mark legal and licence lines.
-NOTICE = re.compile(rb"rights reserved|licen[cs]ed? |copyright|public domain|terms of use|privacy policy|cookie")
 SYMBOLS = b"#*$%&|<>"
 
 _SYMBOL, _UPPER, _LOWER, _DIGIT, _CONT = (np.zeros(256, bool) for _ in range(5))
 _SYMBOL[list(SYMBOLS)] = True
 _UPPER[65:91], _LOWER[97:123], _DIGIT[48:58], _CONT[128:192] = True, True, True, True
 
-FEATURES = ("bias", "words<3", "words<6", "words>=12", "symbols>0.1", "symbols>0.5", "upper>0.6", "repeats>0.3", "repeats>0.6", "repeated line", "notice", "digits>0.3", "shouts", "first", "last")
+FEATURES = ("bias", "words<3", "words<6", "words>=12", "symbols>0.1", "symbols>0.5", "upper>0.6", "repeats>0.3", "repeats>0.6", "repeated line", "digits>0.3", "shouts", "first", "last")
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_words long"
 
 
@@ -74,13 +71,9 @@ class Lines:
         key = mix64(self.of_word.astype(np.uint64)) ^ w.hashes()
         distinct = np.bincount(self.of_word[np.unique(key, return_index=True)[1]], minlength=len(a))
         repeats = 1 - distinct / n
-        notice = np.zeros(len(a), bool)
-        hits = np.array([m.start() for m in NOTICE.finditer(d.tobytes().lower())], np.int64)
-        if len(hits):
-            notice[np.searchsorted(a, hits, "right") - 1] = True
         first = np.append(True, self.doc[1:] != self.doc[:-1]) if len(a) else np.zeros(0, bool)
         last = np.append(self.doc[1:] != self.doc[:-1], True) if len(a) else np.zeros(0, bool)
-        columns = (np.ones(len(a), bool), n < 3, n < 6, n >= 12, symbols / n > 0.1, symbols / n > 0.5, upper > 0.6 * np.maximum(upper + lower, 1), (repeats > 0.3) & (n > 3), (repeats > 0.6) & (n > 3), self.repeated, notice, digits / size > 0.3, shouts / n > 0.5, first, last)
+        columns = (np.ones(len(a), bool), n < 3, n < 6, n >= 12, symbols / n > 0.1, symbols / n > 0.5, upper > 0.6 * np.maximum(upper + lower, 1), (repeats > 0.3) & (n > 3), (repeats > 0.6) & (n > 3), self.repeated, digits / size > 0.3, shouts / n > 0.5, first, last)
         return np.stack(columns, 1).astype(np.float64)
 
 
@@ -92,7 +85,7 @@ class Chain:
     step: np.ndarray  # 2 x 2
 
     @staticmethod
-    def fit(x: list[np.ndarray], y: list[np.ndarray], rounds: int = 200, rate: float = 0.1, l2: float = 1e-3) -> Chain:
+    def fit(x: list[np.ndarray], y: list[np.ndarray], rounds: int = 120, rate: float = 0.1, l2: float = 1e-3) -> Chain:
         """Adam on the conditional log-likelihood, with gradients from log-space forward and backward sums."""
         k, f = len(x), x[0].shape[1]
         longest = max(map(len, x))
@@ -148,12 +141,16 @@ class Chain:
         return label
 
 
-def fit_lines(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Chain:
-    """A chain fitted to at most sample_docs labelled documents, the first in the order of a hash of doc_id.
+def fit_lines(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sequences: int = SAMPLE_SEQUENCES) -> Chain:
+    """A chain fitted to at most sample_docs labelled documents and `sequences` runs of SAMPLE_LINES of their lines, the first in
+    the order of a hash.
 
-    Lines of documents with quality 1 count as content, but for repeated lines and legal notices; lines
-    of other documents count as boilerplate, but for those that have no sign of it. Without labelled
-    documents the chain calls every line content.
+    A line's training label is its document's quality (1 content, others boilerplate), as judged by people; it is no function of
+    the line's features, and good lines of poor documents are noise that the good documents outweigh. Several labels of one
+    document: the least counts. Repeated rows with one doc_id: their sequences each count. Labels or rows with null doc_id, null
+    labels and null texts take no part; blank lines neither; long texts give several sequences. Without a labelled line (empty
+    tables among them) the chain calls every line content. Sequences are fitted in one task, whose size the two bounds fix; only
+    the chain's weights come to the driver.
     """
     judged = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -162,23 +159,31 @@ def fit_lines(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = Lines(batch["text"].tolist())
-            x = got.features()
-            good = batch["quality"].to_numpy()[got.doc] == 1
-            signs = x[:, 4:13].any(1)
-            plain = ~(x[:, 9] + x[:, 10]).astype(bool)
-            y = np.where(good, plain, ~signs).astype(int)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[got.doc], "x": list(x.astype(np.float32)), "y": y})[got.n_words > 0]
-
-    got = texts.dropna().join(F.broadcast(some), "doc_id").mapInPandas(lines, "doc_id long, x array<float>, y int").toPandas()
-    if got.empty:
+            on = got.n_words > 0
+            x, doc = got.features()[on].astype(np.float32), got.doc[on]
+            within = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            begin = np.append(np.flatnonzero(within % SAMPLE_LINES == 0), len(doc))
+            good = batch["quality"].to_numpy() == 1
+            rows = [(int(batch["doc_id"].iloc[doc[a]]), int(within[a]), x[a:b].ravel(), int(good[doc[a]])) for a, b in zip(begin, begin[1:])]
+            yield pd.DataFrame(rows, columns=["doc_id", "line", "x", "good"])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            rows = pd.concat(held).sort_values(["doc_id", "line", "good"], kind="stable")
+            x = [np.asarray(v, float).reshape(-1, len(FEATURES)) for v in rows["x"]]
+            chain = Chain.fit(x, [np.full(len(v), g) for v, g in zip(x, rows["good"], strict=True)])
+            yield pd.DataFrame({"theta": [np.concatenate([chain.emit.ravel(), chain.step.ravel()])]})
+
+    runs = texts.dropna().join(F.broadcast(some), "doc_id").mapInPandas(lines, "doc_id long, line long, x array<float>, good int")
+    runs = runs.orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line", "x").limit(sequences)
+    found = runs.repartition(1).mapInPandas(fit, "theta array<double>").collect()
+    if not found:
         emit = np.zeros((len(FEATURES), 2))
         emit[0, 1] = 1
         return Chain(emit, np.zeros((2, 2)))
-    got = got.sort_values("doc_id", kind="stable")
-    x, y, doc = np.stack(got["x"].to_numpy()).astype(float), got["y"].to_numpy(), got["doc_id"].to_numpy()
-    within = pd.Series(np.arange(len(doc))).groupby(doc).cumcount().to_numpy()
-    begin = np.append(np.flatnonzero(within % SAMPLE_LINES == 0), len(doc))
-    return Chain.fit([x[a:b] for a, b in zip(begin, begin[1:])], [y[a:b] for a, b in zip(begin, begin[1:])])
+    theta = np.array(found[0].theta)
+    return Chain(theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2))
 
 
 def measure(texts: list[str | None], chain: Chain) -> dict[str, np.ndarray]:
@@ -231,7 +236,11 @@ def judge(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE) -
 
 
 def keep(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns, in one pass without a shuffle. docs has a column text."""
+    """The rows of docs that judge() keeps, with all their columns, in one pass without a shuffle.
+
+    docs has a column text; null, blank and short texts go, repeated rows are judged alike, long texts are read whole; other
+    columns, of whatever name, are carried. Empty table: no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

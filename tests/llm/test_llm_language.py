@@ -37,3 +37,12 @@ def test_one_or_no_language(spark):
     (got,) = language.identify(frame(spark, [(1, "some text")]), language.fit(frame(spark, [(1, "abc", "en"), (2, "abd", "en")]))).collect()
     assert got.lang_pred == "en"
     assert language.identify(frame(spark, [(1, "some text")]), language.fit(frame(spark, []))).first().lang_pred == "und"
+
+
+def test_copies_of_one_text_do_not_fill_the_sample(spark):
+    copies = spark.range(10_000).selectExpr("'the same text again' as text", "'en' as lang")
+    others = spark.createDataFrame([(f"ein anderer Satz {i}", "de") for i in range(40)] + [("the same text again", "aa")], "text string, lang string")
+    model = language.fit(copies.union(others), sample_docs=30)
+    assert model.classes == ["aa", "de"] or model.classes == ["de"]
+    model = language.fit(copies.union(others), sample_docs=50)
+    assert model.classes == ["aa", "de"]

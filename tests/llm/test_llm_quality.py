@@ -1,6 +1,7 @@
 """Counts against plain loops, Viterbi against all labellings."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 from llm_cases import EDGES, WORD, frame, prose
@@ -19,12 +20,13 @@ def brute(text):
             dup += line in seen
             seen.add(line)
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-    repeat = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)} if len(set(windows)) < len(windows) else set()
+    times = Counter(windows)
+    repeat = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(8)}
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(repeat), len(words) < 20 or 100 * len(repeat) > 30 * len(words)
 
 
 def test_counts(spark, sf):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if len(r.text or "") < 20_000]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     rows = docs + [(1000 + i, t) for i, t in enumerate(["a\na\n\n\na", "a b c d e f g h " * 4, " # $\n# $", "x", prose(1, 30) + "\n" + prose(1, 30), "ä|ö"])]
     chain = quality.Chain(np.zeros((len(quality.FEATURES), 2)), np.zeros((2, 2)))
     got = sorted((r.doc_id, *(r[n] for n in NAMES)) for r in quality.judge(frame(spark, rows), chain).collect())
@@ -63,6 +65,43 @@ def test_query_keeps_clean_documents_and_drops_boilerplate(spark, sf):
     assert sum(got[i].kept for i in fine) >= 0.98 * len(fine) > 0
 
 
+def marked(text, chain):
+    """content words of a text by plain loops: features of each line, then Viterbi."""
+    lines, out = (text or "").split("\n"), 0
+    with_words = Counter(x for x in lines if WORD.search(x))
+    score = []
+    for i, line in enumerate(lines):
+        words, size = WORD.findall(line), max(len(line.encode()), 1)
+        n = max(len(words), 1)
+        upper, lower = (sum(a <= c <= b for c in line) for a, b in ("AZ", "az"))
+        repeats = 1 - len(set(words)) / n
+        symbols = sum(c in "#*$%&|<>" for c in line)
+        x = [1, n < 3, n < 6, n >= 12, symbols / n > 0.1, symbols / n > 0.5, upper > 0.6 * max(upper + lower, 1), repeats > 0.3 and n > 3, repeats > 0.6 and n > 3, with_words[line] > 1, sum("0" <= c <= "9" for c in line) / size > 0.3, line.count("!") / n > 0.5, i == 0, i == len(lines) - 1]
+        score.append([sum(a * b for a, b in zip(x, chain.emit[:, c], strict=True)) for c in (0, 1)])
+    best, back = [score[0]], []
+    for now in score[1:]:
+        reach = [[best[-1][a] + chain.step[a, c] for a in (0, 1)] for c in (0, 1)]
+        back.append([r.index(max(r)) for r in reach])
+        best.append([max(r) + e for r, e in zip(reach, now, strict=True)])
+    label = [best[-1].index(max(best[-1]))]
+    for step in reversed(back):
+        label.append(step[label[-1]])
+    for line, y in zip(lines, reversed(label), strict=True):
+        out += len(WORD.findall(line)) * y
+    return out
+
+
+def test_query_equals_plain_loops(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chain = quality.fit_lines(docs, labels)
+    want = []
+    for r in docs.collect():
+        counts = brute(r.text)
+        want.append((r.doc_id, *counts, not counts[5] and 2 * marked(r.text, chain) >= counts[0]))
+    got = queries.op8_quality_rules(spark, sf).select("doc_id", *NAMES, "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_edges(spark):
     docs, labels = frame(spark, EDGES), spark.createDataFrame([(6, 1), (None, 0), (5, None)], "doc_id long, quality int")
     chain = quality.fit_lines(docs, labels)
