@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.functions.exprs import epoch, logit, shrunk, sigmoid
-from skirmish.operators.windows import before
+from skirmish.operators.windows import earlier_sums
 
 
 class Tables:
@@ -63,9 +63,8 @@ class Tables:
 
     def forecast(self) -> DataFrame:
         """Leakage-free forecasts of finished contests: contest_id, ts, group_id, version, y, p, from both teams' earlier rates."""
-        w = before(["team"], ["ts", "contest_id"])
-        strength = logit(shrunk(F.coalesce(F.sum("won").over(w), F.lit(0)), F.count("won").over(w), 0.5, 8.0), 0.001)
-        rated = self.team_rows().withColumn("strength", strength)
+        rows = earlier_sums(self.team_rows(), ["team"], "ts", "contest_id", {"wins": F.col("won"), "games": F.lit(1)})
+        rated = rows.withColumn("strength", logit(shrunk(F.col("wins"), F.col("games"), 0.5, 8.0), 0.001))
         signed = F.when(F.col("side") == 0, F.col("strength")).otherwise(-F.col("strength"))
         both = rated.groupBy("contest_id", "ts", "group_id", "version").agg(F.sum(signed).alias("gap"), F.max(F.when(F.col("side") == 0, F.col("won"))).alias("y"))
         return both.select("contest_id", "ts", "group_id", "version", "y", sigmoid(F.col("gap")).alias("p"))

@@ -73,13 +73,11 @@ def _tempered(p: str, temperature: str) -> str:
 @query(with_(*ALL, body=f"""SELECT k, round(temperature, 6) AS temperature, round(avg({LOSS}), 6) AS log_loss FROM (SELECT k, temperature, y, {_tempered('q', 'temperature')} AS p FROM (
   SELECT y, p AS q, k, 0.55 * pow(4 / 0.55, k / 80.0) AS temperature FROM forecast, (SELECT unnest(range(0, 81)) AS k))) GROUP BY ALL"""))
 def temperature_grid(t: Tables) -> DataFrame:
-    """Log loss at 81 temperatures, aggregated in one pass over the rows."""
-    y, z = F.col("y"), X.logit(F.col("p"))
-    per = []
-    for k in range(81):
-        temp = 0.55 * (4 / 0.55) ** (k / 80)
-        per.append(F.struct(F.lit(k).cast("long").alias("k"), F.round(F.lit(temp), 6).alias("temperature"), F.round(F.avg(X.log_loss(y, X.sigmoid(z / temp))), 6).alias("log_loss")))
-    return t.forecast().agg(F.array(*per).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    """Log loss at 81 temperatures: each row meets them in its own task, and 81 partial sums a task are shuffled."""
+    temp = F.lit(0.55) * F.pow(F.lit(4 / 0.55), F.col("k") / 80.0)
+    rows = t.forecast().select("y", X.logit(F.col("p")).alias("z"), F.explode(F.sequence(F.lit(0), F.lit(80)).cast("array<long>")).alias("k"))
+    loss = F.round(F.avg(X.log_loss(F.col("y"), X.sigmoid(F.col("z") / temp))), 6)
+    return rows.groupBy("k").agg(loss.alias("log_loss")).select("k", F.round(temp, 6).alias("temperature"), "log_loss")
 
 
 @query(with_(*ALL, body=f"""SELECT arg_min(k, (loss, k)) AS best, round(min(loss), 6) AS log_loss FROM (SELECT k, avg({LOSS}) AS loss FROM (SELECT k, y, {_tempered('q', '(0.6 + 0.1 * k)')} AS p FROM (

@@ -1,14 +1,12 @@
-"""Fitted and simulated models. Most have no SQL form; tests hold them against plain loops."""
+"""Fitted models. Most have no SQL form; tests hold them against plain loops."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions import exprs as X
-from skirmish.operators import ratings, simulate
+from skirmish.operators import ratings
 from skirmish.operators.evaluation import scores
 from skirmish.plans.contest import CONTEST, FORECAST, TEAMS, Tables, with_
 from skirmish.plans.registry import query
@@ -102,33 +100,3 @@ def combiner_fit(t: Tables) -> DataFrame:
     x = rows.select("y", X.logit(F.col("p")).alias("team"), X.logit(F.col("q")).alias("side"))
     beta = ratings.fit_logistic(x.cache(), ["team", "side"], "y", ridge=2.0)
     return t.spark.createDataFrame([("team", float(beta[0])), ("side", float(beta[1]))], "feature string, beta double")
-
-
-def _tournament(t: Tables, known: dict | None = None) -> simulate.Tournament:
-    """The 16 teams with most contests, rated by shrunken rates."""
-    top = t.team_rows().groupBy("team").agg(F.count("*").alias("n"), X.shrunk(F.sum("won"), F.count("*")).alias("r")).orderBy(F.desc("n"), "team").limit(16).toPandas()
-    z = np.log(top["r"] / (1 - top["r"])).to_numpy()
-    p = 1 / (1 + np.exp(-4 * (z[:, None] - z[None, :])))
-    return simulate.Tournament(p, noise=0.1, form=0.2, known=known)
-
-
-@query()
-def simulate_tournament(t: Tables) -> DataFrame:
-    got = simulate.simulate(t.spark, _tournament(t), 0, 2000, 7)
-    return got.withColumn("share", 100 * F.col("n") / 2000)
-
-
-@query()
-def adaptive_simulation(t: Tables) -> DataFrame:
-    _, history = simulate.simulate_adaptive(t.spark, _tournament(t), 500, 1000, 3000, 2.0, 2, 7)
-    return t.spark.createDataFrame(pd.DataFrame(history).astype(float), "iterations double, delta double, margin double")
-
-
-@query()
-def conditional_branches(t: Tables) -> DataFrame:
-    """The same streams with one pair's result fixed either way."""
-    out = None
-    for w in (0, 1):
-        got = simulate.simulate(t.spark, _tournament(t, {(0, 1): w}), 0, 500, 7).withColumn("branch", F.lit(w))
-        out = got if out is None else out.unionByName(got)
-    return out

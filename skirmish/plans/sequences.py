@@ -59,11 +59,11 @@ def series_in_progress(t: Tables) -> DataFrame:
     return series(t).select("match_id", "session", best_of.alias("best_of"), (F.greatest("wins", F.col("maps") - F.col("wins")) >= needed).alias("complete"))
 
 
-@query(with_(CONTEST, ENTITIES, body="""SELECT contest_id, side, entity, prior_games, prior_wins, round((prior_wins + 9.0) / (prior_games + 18.0), 6) AS rate FROM (
+@query(with_(CONTEST, ENTITIES, body="""SELECT contest_id, side, entity, prior_games, prior_wins, (prior_wins + 9)::DOUBLE / (prior_games + 18)::DOUBLE AS rate FROM (
   SELECT contest_id, side, entity, count(won) OVER w AS prior_games, coalesce(sum(won) OVER w, 0)::BIGINT AS prior_wins FROM appearances WINDOW w AS (PARTITION BY entity ORDER BY ts, contest_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def prefix_rates(t: Tables) -> DataFrame:
     rows = prefix_counts(t.appearances(), ["entity"], ["ts", "contest_id", "side"], "won")
-    return rows.select("contest_id", "side", "entity", "prior_games", "prior_wins", F.round(shrunk(F.col("prior_wins"), F.col("prior_games"), 0.5, 18.0), 6).alias("rate"))
+    return rows.select("contest_id", "side", "entity", "prior_games", "prior_wins", shrunk(F.col("prior_wins"), F.col("prior_games"), 0.5, 18.0).alias("rate"))
 
 
 @query(with_(CONTEST, ENTITIES, body="""SELECT contest_id, side, entity, round(coalesce(sum(u) OVER w, 0) * pow(0.72, age), 5) AS games, round(coalesce(sum(u * won) OVER w, 0) * pow(0.72, age), 5) AS wins FROM (
@@ -131,9 +131,15 @@ def chronological_split(t: Tables) -> DataFrame:
 @query(with_(CONTEST, body="""SELECT a.f AS test_fold, count(*) AS train_rows, max(b.ts) AS train_until FROM (SELECT DISTINCT f FROM (SELECT ntile(5) OVER (ORDER BY ts, contest_id) AS f FROM finished)) a
   JOIN (SELECT ts, ntile(5) OVER (ORDER BY ts, contest_id) AS f FROM finished) b ON b.f < a.f GROUP BY ALL"""))
 def expanding_folds(t: Tables) -> DataFrame:
-    """For each fold in time, how much lies before it: running sums over the folds, not a join of rows."""
-    rows = t.finished().select("ts", F.ntile(5).over(Window.partitionBy(F.lit(0)).orderBy("ts", "contest_id")).alias("f"))
-    folds = rows.groupBy("f").agg(F.count("*").alias("n"), F.max("ts").alias("until"))
+    """For each fold in time, how much lies before it. Ranks come from counts of days, so no task sorts all rows; folds are summed, not joined."""
+    rows = t.finished().select("ts", "contest_id", F.floor(F.col("ts") / 86400).alias("day"))
+    days = rows.groupBy("day").agg(F.count("*").alias("k"))
+    order = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select("day", F.coalesce(F.sum("k").over(order), F.lit(0)).alias("start"), F.sum("k").over(Window.partitionBy(F.lit(0))).alias("all"))
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("day").orderBy("ts", "contest_id")) - 1
+    small, rest = F.floor(F.col("all") / 5), F.col("all") % 5  # the first folds have one row more
+    fold = F.when(rank < rest * (small + 1), F.floor(rank / (small + 1))).otherwise(rest + F.floor((rank - rest * (small + 1)) / F.greatest(small, F.lit(1))))
+    folds = rows.join(starts, "day").select("ts", (fold + 1).alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.max("ts").alias("until"))
     w = Window.partitionBy(F.lit(0)).orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
     return folds.select(F.col("f").alias("test_fold"), F.sum("n").over(w).alias("train_rows"), F.max("until").over(w).alias("train_until")).filter("train_rows is not null")
 

@@ -78,7 +78,7 @@ RETAINED = StructType([StructField("match_id", LongType()), StructField("t", Lon
 
 
 class Grace(StatefulProcessor):
-    """Keeps a match that vanished for a while: a processing-time timer reports it once as retained, and then forgets it."""
+    """Keeps a match that vanished for a while: when the watermark is past its grace, an event-time timer reports it as expired and forgets it."""
 
     def __init__(self, seconds: int = 120):
         self.seconds = seconds
@@ -90,9 +90,9 @@ class Grace(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         t = max([int(b["t"].max()) for b in rows] + ([self.state.get()[0]] if self.state.exists() else []))
         self.state.update((t,))
-        for timer in self.handle.listTimers():
+        for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.seconds)
+        self.handle.registerTimer(1000 * (t + self.seconds))
         yield pd.DataFrame({"match_id": [key[0]], "t": [t], "retained": ["fresh"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -104,5 +104,12 @@ class Grace(StatefulProcessor):
         pass
 
 
-def with_grace(stream: DataFrame, seconds: int = 120) -> DataFrame:
-    return stream.groupBy("match_id").transformWithStateInPandas(Grace(seconds), RETAINED, "Update", "ProcessingTime")
+def with_grace(stream: DataFrame, seconds: int = 120, delay: str = "0 seconds") -> DataFrame:
+    """match_id, t, retained (fresh, or expired once grace is over in event time). stream: match_id, t in seconds."""
+    timed = stream.withColumn("_at", F.timestamp_seconds("t")).withWatermark("_at", delay)
+    return timed.groupBy("match_id").transformWithStateInPandas(Grace(seconds), RETAINED, "Update", "EventTime")
+
+
+def overlay(stream: DataFrame, state: DataFrame, key: str, running: Column) -> DataFrame:
+    """Live rows of the map being played, with the columns of a materialised read model: a stream joined to a static table."""
+    return stream.filter(running).join(state, key, "left")
