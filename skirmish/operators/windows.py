@@ -39,16 +39,19 @@ def sessionize_global(df: DataFrame, same: list[str], ts: str, tie: str, gap: in
     return islands(df, keys or ["_all"], [ts, tie], ~F.coalesce(agree, F.lit(False)), name) if keys else islands(df.withColumn("_all", F.lit(0)), ["_all"], [ts, tie], ~F.coalesce(agree, F.lit(False)), name).drop("_all")
 
 
-def earlier_sums(df: DataFrame, keys: list[str], ts: str, unit: str, values: dict[str, Column], cell: int = 86400) -> DataFrame:
+def earlier_sums(df: DataFrame, keys: list[str], ts: str, unit: str, values: dict[str, Column], cell: int = 86400, source: DataFrame | None = None) -> DataFrame:
     """df with the sums of values over all rows of the key that come before the row's unit (a contest, say) in the order of ts and unit.
 
     Two levels: totals of each key and cell of time are summed along the few cells; within a cell the rows are. So no task holds
     all rows of a frequent key, only those of one of its cells. Rows of the same unit don't count. keys may be empty, and have no nulls.
+    source: the same rows without columns added since, for the totals, so that steps in a row don't plan each other twice.
     """
-    rows = df.withColumn("_cell", F.floor(F.col(ts) / cell))
-    for name, v in values.items():
-        rows = rows.withColumn(f"_v_{name}", v)
-    cells = rows.groupBy(*keys, "_cell").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values])
+
+    def valued(x: DataFrame) -> DataFrame:
+        return x.withColumns({"_cell": F.floor(F.col(ts) / cell)} | {f"_v_{name}": v for name, v in values.items()})
+
+    rows = valued(df)
+    cells = (rows if source is None else valued(source)).groupBy(*keys, "_cell").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values])
     along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(*keys, "_cell", *[F.coalesce(F.sum(f"_s_{name}").over(along), F.lit(0)).alias(f"_b_{name}") for name in values])
     through = Window.partitionBy(*keys, "_cell").orderBy(ts, unit)  # rows of the same unit are peers

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.operators.joins import upsert
@@ -45,3 +47,58 @@ def manifest(df: DataFrame, by: str, time: str) -> DataFrame:
     """Counts and time range of each part, with a checksum of its rows that doesn't depend on their order."""
     row = F.xxhash64(*df.columns).bitwiseAND(0xFFFFFFFF)
     return df.groupBy(by).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), F.sum(row).alias("checksum"))
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, which is any that Spark can write to, and the path for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def load(tables: dict[str, DataFrame], path: str) -> int:
+    """All tables as one new version of path, or none of them: they are written aside, and one rename makes them current.
+
+    A parent with its children, or a mart of several tables that is reloaded. Readers of the version before are not disturbed; a
+    load that fails leaves nothing that `current` sees. Returns the version's number. One writer at a time.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = (_versions(spark, path) or [0])[-1] + 1
+    aside = f"{path}/_loading-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{aside}/{name}")
+    fs, source = _folder(spark, aside)
+    if not fs.rename(source, _folder(spark, f"{path}/version={version:08d}")[1]):
+        raise OSError(f"version {version} of {path} was made by someone else")
+    return version
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, at = _folder(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def current(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the newest version that load() has finished."""
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]:08d}/{name}")
+
+
+def replace_children(parents: DataFrame, children: DataFrame, new_parents: DataFrame, new_children: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Both tables with the new parents put in: an old parent with the key goes, and all its old children do."""
+    keys = new_parents.select(key).distinct()
+    return {"parents": parents.join(keys, key, "left_anti").unionByName(new_parents), "children": children.join(keys, key, "left_anti").unionByName(new_children)}
+
+
+def verified_checkpoint(df: DataFrame, path: str, keys: list[str], required: list[str], expected: int) -> DataFrame:
+    """df written to path, and the manifest of its files (file, bytes, sha256), if it has the expected number of rows, no key twice and
+    no null in the required columns; else ValueError, and nothing is written. The manifest is written last, beside the data."""
+    row = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
+    missing = sum(row[c] for c in required)
+    twice = df.groupBy(*keys).count().filter("count > 1").count()
+    if row.n != expected or missing or twice:
+        raise ValueError(f"checkpoint refused: {row.n} of {expected} rows, {twice} keys more than once, {missing} values missing")
+    df.write.mode("errorifexists").parquet(f"{path}/data")
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/data")
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    found.write.mode("errorifexists").parquet(f"{path}/manifest")
+    return df.sparkSession.read.parquet(f"{path}/manifest")

@@ -159,6 +159,77 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sinks.manifest(low, "v", "id").first().n == 2
 
 
+def test_every_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    sinks.artifact(rows, str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").glob("*.json"))) == 1
+    sinks.lines(rows, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
+    for kind in ("x", "y"):
+        sinks.append(rows, str(tmp_path / "audit"), kind)
+    audit = {(r.kind, r.payload) for r in spark.read.parquet(str(tmp_path / "audit")).collect()}
+    assert audit == {(k, p) for k in "xy" for p in ('{"id":1,"v":"a"}', '{"id":2}')}
+    old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "id int, version int, v string")
+    old.write.parquet(str(tmp_path / "old"))
+    sinks.merge(str(tmp_path / "old"), spark.createDataFrame([(1, 2, "c"), (2, 4, "over"), (3, 1, "d")], old.schema), ["id"], "version", str(tmp_path / "merged"))
+    assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "merged")).collect()} == {(1, "c"), (2, "over"), (3, "d")}  # new rows win
+
+
+def test_load_is_whole_or_nothing(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    parents, children = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "id int, child int")
+    assert sinks.load({"parents": parents, "children": children}, path) == 1
+    new = sinks.replace_children(sinks.current(spark, path, "parents"), sinks.current(spark, path, "children"), spark.createDataFrame([(1, "z")], parents.schema), spark.createDataFrame([(1, 12)], children.schema), "id")
+    assert sinks.load(new, path) == 2
+    assert {tuple(r) for r in sinks.current(spark, path, "parents").collect()} == {(1, "z"), (2, "b")}
+    assert {tuple(r) for r in sinks.current(spark, path, "children").collect()} == {(1, 12), (2, 20)}
+    broken = children.withColumn("child", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.load({"parents": parents, "children": broken}, path)
+    assert sinks.current(spark, path, "parents").filter("v = 'z'").count() == 1
+
+
+def test_verified_checkpoint(spark, tmp_path):
+    import hashlib
+
+    rows = spark.createDataFrame([(1, 0.5), (2, 0.7)], "id int, p double")
+    for bad, expected in ((rows, 3), (rows.union(rows), 4), (rows.withColumn("p", F.when(F.col("id") == 1, F.col("p"))), 2)):
+        with pytest.raises(ValueError):
+            sinks.verified_checkpoint(bad, str(tmp_path / "c"), ["id"], ["p"], expected)
+        assert not (tmp_path / "c").exists()
+    got = sinks.verified_checkpoint(rows, str(tmp_path / "c"), ["id"], ["p"], 2).collect()
+    assert got and all(hashlib.sha256((tmp_path / "c/data" / r.file).read_bytes()).hexdigest() == r.sha256 for r in got)
+
+
+def test_earlier_sums_equal_a_loop(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.randrange(3), r.randrange(400_000), r.randrange(2)) for i in range(120)]
+    rows += [(i, k, t, w) for i, _, t, w in rows[:40] for k in (0, 1)]  # several rows of one unit, some with its key
+    df = spark.createDataFrame(rows, "unit int, k int, ts int, won int")
+    for keys in (["k"], []):
+        got = sorted(tuple(x) for x in windows.earlier_sums(df, keys, "ts", "unit", {"w": F.col("won"), "n": F.lit(1)}).collect())
+        mine = lambda a, b, keys=keys: (not keys or a[1] == b[1]) and (b[2], b[0]) < (a[2], a[0])
+        assert got == sorted((*a, sum(b[3] for b in rows if mine(a, b)), sum(1 for b in rows if mine(a, b))) for a in rows)
+
+
+def test_online_combiner_equals_a_loop():
+    from skirmish.plans import draft
+
+    r = np.random.default_rng(1)
+    rows = pd.DataFrame(r.normal(size=(130, 8)), columns=list(draft.FEATURES)).assign(group_id="g", contest_id=range(130), ts=r.permutation(130), y=r.integers(0, 2, 130))
+    w, want = list(draft.WEIGHTS), {}
+    for i, (_, x) in enumerate(rows.sort_values("ts").iterrows()):
+        z = sum(a * x[n] for a, n in zip(w, draft.FEATURES, strict=True))
+        p = 1 / (1 + np.exp(-max(-12, min(12, z))))
+        w = [min(2.5, max(0, a - 0.045 / (1 + i / 350) ** 0.5 * ((p - x.y) * x[n] + 0.002 * a))) for a, n in zip(w, draft.FEATURES, strict=True)]
+        if i >= 100:
+            want[x.contest_id] = p
+    got = draft.learn_online(rows).set_index("contest_id")["p"].to_dict()
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, 10, "h"), (1, 20, "h"), (2, 5, "q")], "match_id long, t long, hash string")
     rows.write.parquet(str(tmp_path / "in"))
