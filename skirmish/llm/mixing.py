@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.llm.common import WORD, staged
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: fl
         docs.select(
             docs["doc_id"].cast("long").alias("doc_id"),
             docs["source"].cast("string").alias("source"),
-            F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            words_of(docs["text"]).alias("size"),
         ),
         "mix-sizes",
     )
@@ -108,8 +108,20 @@ def boundary(ranked: DataFrame) -> DataFrame:
     return both.select(F.col("s").alias("source"), F.coalesce(F.col("last.rank_key"), F.col("low")).alias("last_key"), F.when(F.col("last").isNull(), F.lit(-(1 << 63))).otherwise(F.col("last.doc_id")).alias("last_id"))
 
 
+def words_of(text: Column) -> Column:
+    """A document's size: its number of words (null: 0)."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes its doc_id. mixed: the result of mix(docs)."""
-    copies = mixed.select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).groupBy("_mix_id").agg(F.max("_mix_copies").alias("_mix_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_mix_id")))
-    return joined.filter("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies"))).drop("_mix_id", "_mix_copies", "_mix_copy")
+    """The rows of docs, each as often as the mix takes it. mixed: the result of mix(docs).
+
+    Rows are found by doc_id (null too), source and size, so a doc_id on several texts has the copies of each; repeated rows each
+    have theirs. Texts of any length and null texts stay whole; other columns, of whatever name, are carried. Empty tables: no rows.
+    """
+    keys = ["doc_id", "source", "size"]
+    copies = mixed.groupBy(*[F.col(k).alias(f"_mix_{k}") for k in keys]).agg(F.max("copies").alias("_mix_copies"))
+    mine = {"doc_id": docs["doc_id"].cast("long"), "source": docs["source"].cast("string"), "size": words_of(docs["text"])}
+    found = [mine[k].eqNullSafe(copies[f"_mix_{k}"]) for k in keys]
+    joined = docs.join(copies.filter("_mix_copies > 0"), found[0] & found[1] & found[2])
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies"))).drop(*[f"_mix_{k}" for k in [*keys, "copies", "copy"]])

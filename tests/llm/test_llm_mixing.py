@@ -90,3 +90,15 @@ def test_edges(spark):
     (one,) = mixing.mix(frame(spark, [(1, "a b c", None, None)])).collect()
     assert one.target == 4.5 and one.taken in (3, 6)
     assert all(g.target == 0 for g in mixing.mix(frame(spark, [(1, "", None, "x"), (2, None, None, "y")])).collect())
+
+
+def test_take_tells_texts_of_one_id_apart(spark):
+    rows = [(1, prose(1, 30), "en", "a"), (1, prose(2, 50), "en", "a"), (1, prose(3, 30), "en", "b"), (None, prose(4, 9), "en", None), (None, None, "en", None)]
+    docs = frame(spark, rows)
+    mixed = mixing.mix(docs)
+    planned = {(r.source, r.size): r.copies for r in mixed.collect()}
+    got = defaultdict(int)
+    taken = mixing.take(docs, mixed)
+    for r in taken.collect():
+        got[r.source, len(WORD.findall(r.text or ""))] += 1
+    assert taken.columns == docs.columns and dict(got) == {k: n for k, n in planned.items() if n}
