@@ -10,7 +10,7 @@ from skirmish.llm.queries import PII_KEY, table, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are mostly content lines."""
+    """Documents that pass the base rules and are mostly content lines; see quality.keep. Null, blank and short texts go."""
     return quality.keep(docs, quality.fit_lines(docs, table(spark, sf_dir, "labels")))
 
 
@@ -20,17 +20,17 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal numbers replaced."""
+    """All documents, personal numbers replaced; null texts stay null, repeated rows each stay. See pii.pseudonymise."""
     return pii.pseudonymise(docs, PII_KEY)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, a row for each copy."""
+    """The documents of the mix, a row for each copy; documents without words have none. See mixing.mix and mixing.take."""
     return mixing.take(docs, mixing.mix(docs))
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as pieces of sequences of 1024 tokens."""
+    """The mix as pieces of sequences of 1024 tokens, each copy for itself; a null text is its end token. See packing.pack."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -46,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's result written as a table and read again."""
+    """All stages over documents, each stage's result written as a table and read again. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
