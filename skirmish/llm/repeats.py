@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.llm.common import _SPREAD, MIX1, MIX2, _powers, in_blocks, mix64, staged, text_slices
-from skirmish.llm.similarity import _grouped
+from skirmish.llm.similarity import _grouped, _parts
 
 LENGTH, GRAM = 200, 100
 #: Places of an anchor in a window.
@@ -197,7 +197,7 @@ def find(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     found = blocked.select("text", "block").mapInArrow(grams, "h long, g long, block int, times int")
     n_bytes = blocked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    live = staged(_grouped(found, 2 * n_bytes // PLACES, "block int, h long, g long, full boolean, several boolean", _live), "repeats-live")
+    live = staged(_grouped(found, _parts(found, 2 * n_bytes // PLACES), "h", "block int, h long, g long, full boolean, several boolean", _live), "repeats-live")
 
     def contexts(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         x = {"h": [], "g": [], "offset": [], "context": []}

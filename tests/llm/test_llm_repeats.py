@@ -1,5 +1,6 @@
 """Repeated byte strings against a table of all of them."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from llm_cases import EDGES, frame, prose
 
-from skirmish.llm import repeats
+from skirmish.llm import queries, repeats
 
 LENGTH = repeats.LENGTH
 
@@ -86,6 +87,24 @@ def test_common_passage_is_not_held_at_once(spark, monkeypatch):
     assert found(repeats.find(frame(spark, planted()), 2000)) == brute(planted())
 
 
+def test_query_equals_counting_windows(spark, sf):
+    """Every window of every whole document counted, and the query's digests from it."""
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    n = repeats.LENGTH
+    times = Counter(hash(b[i : i + n]) for b in texts.values() for i in range(len(b) - n + 1))
+    want = []
+    for i, b in texts.items():
+        gone = np.zeros(len(b), bool)
+        for at in range(len(b) - n + 1):
+            if times[hash(b[at : at + n])] > 1:
+                gone[at : at + n] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    got = [tuple(r) for r in queries.op5_repeats(spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got) == sorted(want) and sum(r[2] for r in got) > 0
+
+
 def test_multikey_sort():
     r = np.random.default_rng(1)
     rows = r.integers(97, 100, (300, 21)).astype(np.uint8)
