@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skirmish.llm import mixing, packing, pii, quality, similarity
-from skirmish.llm.common import staged
+from skirmish.llm.common import drop_staged, staged
 from skirmish.llm.queries import PII_KEY, table, tokenizer_path
 
 
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stage's result written as a table and read again. An empty table gives no rows."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_staged(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
