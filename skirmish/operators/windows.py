@@ -26,17 +26,25 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, tie: str, gap: int, name
     return islands(df, keys, [ts, tie], F.coalesce(F.col(ts) - F.lag(ts).over(w) > gap, F.lit(True)), name)
 
 
-def sessionize_global(df: DataFrame, same: list[str], ts: str, tie: str, gap: int, scope: str | None = None, name: str = "session") -> DataFrame:
+def sessionize_global(df: DataFrame, same: list[str], ts: str, tie: str, gap: int, name: str = "session", cell: int = 86400) -> DataFrame:
     """Sessions that any other row in between ends: a row joins the one just before it in the whole order if `same` agree and the gap allows.
 
-    scope: a column whose values are never mixed, which keeps the order from being one task (None: one order for all rows).
+    The order is of all rows, but no task sorts them all: each cell of time hands its last row and its number of breaks to the next
+    ones. ts has no nulls.
     """
-    keys = [scope] if scope else []
-    w = Window.partitionBy(*keys).orderBy(ts, tie) if keys else Window.partitionBy(F.lit(0)).orderBy(ts, tie)
-    agree = F.col(ts) - F.lag(ts).over(w) <= gap
+    row = F.struct(ts, tie, *same)
+    rows = df.withColumn("_cell", F.floor(F.col(ts) / cell))
+    cells = Window.partitionBy(F.lit(0)).orderBy("_cell")  # a row a cell
+    ends = rows.groupBy("_cell").agg(F.max(row).alias("_end")).select("_cell", F.lag("_end").over(cells).alias("_handed"))
+    inside = Window.partitionBy("_cell").orderBy(ts, tie)
+    rows = rows.join(ends, "_cell").withColumn("_last", F.coalesce(F.lag(row).over(inside), F.col("_handed")))
+    agree = F.col(ts) - F.col(f"_last.{ts}") <= gap
     for c in same:
-        agree = agree & F.col(c).eqNullSafe(F.lag(c).over(w))
-    return islands(df, keys or ["_all"], [ts, tie], ~F.coalesce(agree, F.lit(False)), name) if keys else islands(df.withColumn("_all", F.lit(0)), ["_all"], [ts, tie], ~F.coalesce(agree, F.lit(False)), name).drop("_all")
+        agree = agree & F.col(c).eqNullSafe(F.col(f"_last.{c}"))
+    rows = rows.withColumn("_break", (~F.coalesce(agree, F.lit(False))).cast("int"))
+    starts = rows.groupBy("_cell").agg(F.sum("_break").alias("_breaks")).select("_cell", F.coalesce(F.sum("_breaks").over(cells.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    session = F.col("_start") + F.sum("_break").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(starts, "_cell").select(*df.columns, session.cast("long").alias(name))
 
 
 def earlier_sums(df: DataFrame, keys: list[str], ts: str, unit: str, values: dict[str, Column], cell: int = 86400, source: DataFrame | None = None) -> DataFrame:

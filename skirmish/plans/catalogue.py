@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skirmish.plans import draft, evaluations, inference, matching, models, normalise, rates, readmodels, records, sequences
+from skirmish.plans import draft, evaluations, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences
 from skirmish.plans.registry import ORACLES, QUERIES
 
-MODULES = (draft, evaluations, inference, matching, models, normalise, rates, readmodels, records, sequences)
+MODULES = (draft, evaluations, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences)
 
 
 def queries() -> dict:

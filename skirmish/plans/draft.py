@@ -105,7 +105,7 @@ def features(t: Tables) -> DataFrame:
     )
 
 
-@query(with_(*ALL, body=f"SELECT contest_id, y, {', '.join(f'round({n}, 5) AS {n}' for n in FEATURES)} FROM features"))
+@query(with_(*ALL, body=f"SELECT contest_id, y, {', '.join(f'coalesce(nullif(round({n}, 5), 0), 0) AS {n}' for n in FEATURES)} FROM features"))
 def draft_features(t: Tables) -> DataFrame:
     return features(t).select("contest_id", "y", *[F.round(n, 5).alias(n) for n in FEATURES])
 

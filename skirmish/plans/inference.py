@@ -15,7 +15,7 @@ BASE = (CONTEST, TEAMS, FORECAST)
 SYNERGY_SCALE, HALF_LIFE, HIGH, MEDIUM = 0.04, 45.0, 40.0, 15.0
 
 
-@query(with_(CONTEST, ENTITIES, body=f"""SELECT contest_id, side, count(*) AS pairs, count(coefficient) AS found, count(*) FILTER (WHERE fresh) AS fresh, round({SYNERGY_SCALE} * coalesce(sum(coefficient), 0), 6) AS value FROM (
+@query(with_(CONTEST, ENTITIES, body=f"""SELECT contest_id, side, count(*) AS pairs, count(coefficient) AS found, count(*) FILTER (WHERE fresh) AS fresh, coalesce(nullif(round({SYNERGY_SCALE} * coalesce(sum(coefficient), 0), 6), 0), 0) AS value FROM (
   SELECT a.contest_id, a.side, coalesce(x.c, y.c) AS coefficient, x.c IS NOT NULL AS fresh FROM appearances a JOIN appearances b ON a.contest_id = b.contest_id AND a.side = b.side AND a.entity < b.entity
   LEFT JOIN (SELECT low, high, c FROM pairs WHERE family = (SELECT max(family) FROM finished) AND n >= 2) x ON x.low = a.entity AND x.high = b.entity
   LEFT JOIN (SELECT low, high, sum(n * c) / sum(n) AS c FROM pairs WHERE family < (SELECT max(family) FROM finished) GROUP BY ALL HAVING sum(n) >= 3) y ON y.low = a.entity AND y.high = b.entity) GROUP BY ALL""").replace("\nSELECT contest_id, side, count(*) AS pairs", """,

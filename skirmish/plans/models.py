@@ -9,24 +9,28 @@ from skirmish.functions import exprs as X
 from skirmish.operators import ratings
 from skirmish.operators.evaluation import scores
 from skirmish.plans.contest import CONTEST, FORECAST, TEAMS, Tables, with_
+from skirmish.plans.meetings import pair_series
 from skirmish.plans.registry import query
 
 
 def series(t: Tables) -> DataFrame:
-    """Finished contests as series: a, b, score of a, weight."""
-    won = F.col("side0_win").cast("double")
-    return t.finished().select("contest_id", "ts", "version", F.col("family").alias("family"), "group_id", F.col("side0_team").alias("a"), F.col("side1_team").alias("b"), won.alias("score"), X.information(F.lit(2), F.lit(1)).alias("weight"))
+    """Finished contests as series: a pair's contests of a group in a month. a, b, score of a (1, 0, or a half for a tie), weight.
+
+    Their number is bounded by teams, groups and months, whatever the number of contests, so all of them fit a task.
+    """
+    score = F.when(F.col("wins") > F.col("losses"), 1.0).when(F.col("wins") < F.col("losses"), 0.0).otherwise(0.5)
+    return pair_series(t).select("contest_id", "ts", "family", "group_id", "a", "b", score.alias("score"), X.information(F.col("wins"), F.col("losses")).alias("weight"), "wins", "losses")
 
 
 @query()
 def elo_walkforward(t: Tables) -> DataFrame:
-    return ratings.walk_forward(series(t), [m for m in ratings.arena() if m["model"] == "elo_k24"], ["family"])
+    return ratings.walk_forward(series(t), [m for m in ratings.arena() if m["model"] == "elo_k24"])
 
 
 @query()
 def team_arena(t: Tables) -> DataFrame:
-    """Scores of 21 rating models, each walking the contests of a year in order."""
-    return ratings.walk_forward(series(t), None, ["family"]).groupBy("model").agg(*scores())
+    """Scores of 21 rating models, each walking all decided series in order."""
+    return ratings.walk_forward(series(t).filter("score <> 0.5")).groupBy("model").agg(*scores())
 
 
 @query()
@@ -50,7 +54,7 @@ def _pairs(t: Tables) -> DataFrame:
 
 @query()
 def online_bt(t: Tables) -> DataFrame:
-    played = series(t).select("family", "a", "b", F.col("score").alias("won"), X.evidence_weight(F.lit(2), F.lit(1)).alias("weight"))
+    played = series(t).select("family", "a", "b", F.col("score").alias("won"), X.evidence_weight(F.greatest("wins", "losses"), F.least("wins", "losses")).alias("weight"))
     return ratings.online_update(_pairs(t), played, "family")
 
 
@@ -58,7 +62,8 @@ def online_bt(t: Tables) -> DataFrame:
 def influence_trace(t: Tables) -> DataFrame:
     """What each result of a tournament (a group's contests of a month) adds to the pairs' probabilities of its year."""
     month = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM")
-    rows = series(t).withColumn("tournament", F.concat_ws("|", "group_id", month)).select("tournament", "family", "contest_id", "a", "b", F.col("score").alias("won"), "weight")
+    single = X.information(F.lit(1), F.lit(0))  # each contest is left out by itself, as a single map
+    rows = t.finished().select(F.concat_ws("|", "group_id", month).alias("tournament"), "family", "contest_id", F.col("side0_team").alias("a"), F.col("side1_team").alias("b"), F.col("side0_win").cast("double").alias("won"), single.alias("weight"))
     pairs = rows.select("tournament", "family").distinct().join(_pairs(t), "family").select(F.col("tournament").alias("tournament"), "a", "b", "p")  # a new column: rows has the old one
     return ratings.leave_one_out(pairs, rows.drop("family"), "tournament", "contest_id")
 

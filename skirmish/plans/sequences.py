@@ -13,11 +13,11 @@ from skirmish.plans.registry import query
 HOUR = 3600
 
 
-@query(with_(CONTEST, body="""SELECT contest_id, family, session FROM (SELECT contest_id, family, sum(brk) OVER (PARTITION BY family ORDER BY ts, contest_id)::BIGINT AS session FROM (
-  SELECT *, CASE WHEN ts - lag(ts) OVER w <= 28800 AND group_id = lag(group_id) OVER w THEN 0 ELSE 1 END AS brk FROM contest WINDOW w AS (PARTITION BY family ORDER BY ts, contest_id)))"""))
+@query(with_(CONTEST, body="""SELECT contest_id, sum(brk) OVER (ORDER BY ts, contest_id)::BIGINT AS session FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w <= 28800 AND group_id = lag(group_id) OVER w THEN 0 ELSE 1 END AS brk FROM contest WINDOW w AS (ORDER BY ts, contest_id))"""))
 def sessionize_global_previous(t: Tables) -> DataFrame:
-    """A contest joins the one just before it among all of the year: same group, at most 8 hours later."""
-    return sessionize_global(t.contest(), ["group_id"], "ts", "contest_id", 8 * HOUR, scope="family").select("contest_id", "family", "session")
+    """A contest joins the one just before it among all contests: same group, at most 8 hours later."""
+    return sessionize_global(t.contest(), ["group_id"], "ts", "contest_id", 8 * HOUR).select("contest_id", "session")
 
 
 @query(with_(LIVE, body="""SELECT event_id, match_id, sum(brk) OVER (PARTITION BY match_id ORDER BY t, event_id)::BIGINT AS session FROM (

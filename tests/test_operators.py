@@ -78,7 +78,70 @@ def test_unique_candidate_and_upsert(spark):
 def test_sessions(spark):
     rows = spark.createDataFrame([(1, "a", 0), (2, "b", 10), (3, "a", 20), (4, "a", 28820), (5, "a", 57621)], "id int, k string, t int")
     assert [r.session for r in windows.sessionize(rows, ["k"], "t", "id", 28800).orderBy("id").collect()] == [1, 1, 1, 1, 2]
-    assert [r.session for r in windows.sessionize_global(rows, ["k"], "t", "id", 28800).orderBy("id").collect()] == [1, 2, 3, 3, 4]
+    for cell in (7, 86400):  # rows alone in their cell, and all in one
+        assert [r.session for r in windows.sessionize_global(rows, ["k"], "t", "id", 28800, cell=cell).orderBy("id").collect()] == [1, 2, 3, 3, 4]
+
+
+def test_schedule_and_links(spark, tmp_path):
+    """Times at the limits, one just outside, and rows without a time."""
+    from skirmish.plans import meetings
+
+    hour = 3600
+    schema = "contest_id long, ts long, group_id string, version string, side0_team string, side1_team string, side0_win int"
+    rows = [
+        (1, 100 * hour, "g", "v", "a", "b", None), (7, 0, "g", "v", "a", "b", None),  # 7 has no time in the schedule
+        (2, 136 * hour, "g", "v", "b", "a", 1), (3, 136 * hour + 1, "g", "v", "a", "b", 0), (4, 64 * hour, "g", "w", "a", "b", 0),
+        (26, 500 * hour, "g", "v", "a", "b", 1), (6, 100 * hour, "g", "v", "a", "c", 1), (8, 112 * hour, "h", "v", "a", "b", 1), (9, 112 * hour + 1, "h", "v", "a", "b", 1),
+    ]  # fmt: skip  # 26 has no time either
+
+    class Fixed(meetings.Tables):
+        def contest(self):
+            return spark.createDataFrame(rows, schema)
+
+    t = Fixed(spark, "")
+    got = {(r.contest_id, r.other, r.rule) for r in meetings.schedule_contests(t).collect()}
+    around = {(1, x, "around") for x in (2, 4, 8, 9)}
+    assert got == around | {(1, 26, "untimed"), (7, 2, "cluster"), (7, 3, "cluster")}
+    links = {r.other: (r.candidates, r.linked) for r in meetings.live_link(t).collect()}
+    assert links == {2: (1, 7), 3: (1, 7), 8: (1, 1)}
+
+
+def test_best_assignment(spark, sf):
+    """Each side's value is the best over all orders of seats, found by a plain loop."""
+    from itertools import permutations
+    from math import log
+
+    from skirmish.plans import meetings
+
+    t = meetings.Tables(spark, sf)
+    rows = t.appearances().select("contest_id", "side", "team", "entity", "won").toPandas()
+    rows["seat"] = (rows["entity"] + rows["contest_id"]) % 3
+    sums = rows.groupby(["team", "seat", "entity"])["won"].agg(["sum", "count"])
+    rate = ((sums["sum"] + 4) / (sums["count"] + 8)).clip(0.05, 0.95)
+    known = {k: log(p / (1 - p)) for k, p in rate[sums["count"] >= 2].items()}
+    want = {}
+    for (contest, side, team), g in rows.groupby(["contest_id", "side", "team"]):
+        x = sorted(g["entity"])[:3]
+        if len(x) == 3:
+            want[contest, side] = max(sum(known.get((team, s, e), 0.0) for s, e in zip(p, x, strict=True)) for p in permutations(range(3)))
+    got = {(r.contest_id, r.side): r.value for r in meetings.best_assignment(t).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-5 + 1e-9 for k, v in want.items())
+
+
+def test_series_walk_the_whole_history(spark, sf):
+    """Later years start from the ratings of the years before."""
+    from skirmish.plans import models
+
+    t = models.Tables(spark, sf)
+    got = models.elo_walkforward(t).toPandas().set_index("contest_id")["p"]
+    rows = models.series(t).toPandas().sort_values(["ts", "contest_id"])
+    assert rows["weight"].nunique() > 1
+    rating = dict.fromkeys([*rows["a"], *rows["b"]], 1500.0)
+    for r in rows.itertuples():
+        p = 1 / (1 + 10 ** ((rating[r.b] - rating[r.a]) / 400))
+        assert abs(got[r.contest_id] - p) < 1e-9
+        change = 24 * r.weight * (r.score - p)
+        rating[r.a], rating[r.b] = rating[r.a] + change, rating[r.b] - change
 
 
 def test_prefix_doesnt_leak(spark):
