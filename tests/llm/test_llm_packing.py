@@ -1,5 +1,6 @@
 """Packed pieces give back each document's tokens."""
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -81,3 +82,23 @@ def test_without_cuts(spark):
 def test_chunks_encode_like_the_whole(tokenizer, text):
     got = packing.Encoder(queries.tokenizer_path()).ids([text])[0]
     assert np.frombuffer(got, "<u4").tolist() == tokens(tokenizer, text)[:-1]
+
+
+def test_query_rows_give_back_the_whole_table(spark, sf, tokenizer):
+    """Every id lies in one piece with its checksum, and sequences have no gap or overlap."""
+    got = [r.asDict() for r in queries.op3_harmonic_packing(spark, sf).collect()]
+    docs, sequences = defaultdict(list), defaultdict(list)
+    for p in got:
+        docs[p["doc_id"]].append(p)
+        sequences[p["sequence_id"]].append(p)
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert docs.keys() == {r.doc_id for r in table}
+    for r in table:
+        ids, at = np.array(tokens(tokenizer, r.text), "<u4"), 0
+        for p in sorted(docs[r.doc_id], key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids)
+    for s in sequences.values():
+        s.sort(key=lambda p: p["offset"])
+        assert [p["offset"] for p in s] == list(np.cumsum([0, *[p["length"] for p in s]])[:-1]) and sum(p["length"] for p in s) <= 1024

@@ -7,7 +7,7 @@ import re
 from llm_cases import EDGES, frame
 from pyspark.sql import functions as F
 
-from skirmish.llm import pii
+from skirmish.llm import pii, queries
 
 KEY = "k"
 
@@ -105,3 +105,35 @@ def test_long_text(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.pseudonymise(frame(spark, EDGES), KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+#: The forms that the table holds, found without the operator.
+PLAIN = re.compile(r"(?P<mail>[a-z0-9.]+@[a-z0-9.]+[a-z])|(?P<phone>\(\d{3}\) \d{3}-\d{4})|(?P<ip>\d+(?:\.\d+){3})|(?P<card>\d{16})")
+
+
+def test_query_over_the_whole_table(spark, sf, monkeypatch):
+    """All else stays; cards and names equal the plain network's, the others are valid; pseudonyms are one to one over all documents."""
+    monkeypatch.setattr(queries, "PII_KEY", KEY)
+    before = spark.read.parquet(f"{sf}/documents.parquet")
+    after = queries.op1_pii(spark, sf)
+    assert after.columns == before.columns
+    assert sorted(map(repr, after.drop("text").collect())) == sorted(map(repr, before.drop("text").collect()))
+    new, pairs = {r.doc_id: r.text for r in after.collect()}, {}
+    for r in before.collect():
+        a, b = list(PLAIN.finditer(r.text or "")), list(PLAIN.finditer(new[r.doc_id] or ""))
+        assert PLAIN.sub("*", r.text or "") == PLAIN.sub("*", new[r.doc_id] or "") and (r.text is None) == (new[r.doc_id] is None)
+        for x, y in zip(a, b, strict=True):
+            assert x.lastgroup == y.lastgroup and pairs.setdefault((x.lastgroup, x[0]), y[0]) == y[0]
+    for kind in ("mail", "phone", "ip", "card"):
+        values = {x: y for (k, x), y in pairs.items() if k == kind}
+        assert values and len(set(values.values())) == len(values)
+        for x, y in values.items():
+            if kind == "card":
+                assert y == x if luhn(x) % 10 else (y[:-1] == cipher(x[:-1], "card") and luhn(y) % 10 == 0)
+            elif kind == "mail":
+                (name, domain), moved = x.split("@"), iter(cipher(re.sub(r"[^a-z0-9]", "", x.split("@")[0]), "mail"))
+                assert y == "".join(next(moved) if c.isalnum() else c for c in name) + "@" + domain
+            elif kind == "ip":
+                assert all(int(p) < 256 for p in y.split(".")) and (y != x or any(int(p) > 255 for p in x.split(".")))
+            else:
+                assert y == x if x[1] in "01" or x[6] in "01" else re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}", y)
