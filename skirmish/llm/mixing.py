@@ -34,32 +34,32 @@ def shares(sizes: DataFrame, weights: tuple[float, ...], total_share: float, mos
     return levels.select("source", "source_size", F.least(F.col("room"), F.coalesce(first * F.col("weight"), F.col("room"))).alias("target"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row (but maps, which have no hash)."""
+    return F.xxhash64(*[docs[f"`{f.name}`"] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """How many copies of each document the mix takes: doc_id, source, size, source_size, target, copies, taken.
+    """How many copies of each row the mix takes: doc_id, source, size, row_hash, source_size, target, copies, taken.
 
-    size is the number of words (null text: 0). With r = target / source_size, every document gets
-    floor(r) certain copies. For the rest f = r - floor(r), a document's inclusion probability is
-    p = 1 - (1 - f) ** sqrt(size / mean size of its source), its random number u comes from a hash of seed
-    and doc_id, and documents rank by the odds of u divided by the odds of p. The sample has a fixed size
-    in words: the first of this order are taken up to the rest of the target, the last one if more than
-    half of it fits. So a source misses its target by half a document at most.
+    size is the number of words (null text: 0). With r = target / source_size, every row gets floor(r)
+    certain copies. For the rest f = r - floor(r), its inclusion probability is
+    p = 1 - (1 - f) ** sqrt(size / mean size of its source), its random number u comes from a hash of seed,
+    doc_id, row_hash and its number among equal rows, and rows rank by the odds of u divided by the odds of p.
+    The sample has a fixed size in words: the first of this order are taken up to the rest of the target, the last one if
+    more than half of it fits. So a source misses its target by half a document at most, whatever ids its rows share.
 
-    Ties in rank go to the smaller doc_id; null doc_ids rank as the text "null" does and come first.
-    Repeated rows (equal doc_id and size) share a rank and are taken or left together. A source of size 0
-    has target 0. Null sources form one source. Empty table: no rows. Other columns are ignored.
+    Rows equal in all columns are numbered by their count, not by a window; each has its own u. Null doc_ids
+    are told apart by their rows. Ties in rank go to the smaller doc_id, null first. A source of size 0 has target 0.
+    Null sources form one source. Empty table: no rows. Other columns, of whatever name, only enter row_hash.
 
     No window spans a source: ranks are cut into cells, cell totals give the cell with the cut, and only
     its documents are cut again and at last sorted.
     """
-    sized = staged(
-        docs.select(
-            docs["doc_id"].cast("long").alias("doc_id"),
-            docs["source"].cast("string").alias("source"),
-            words_of(docs["text"]).alias("size"),
-        ),
-        "mix-sizes",
-    )
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), words_of(docs["text"]).alias("size"), row_hash(docs).alias("row_hash"))
+    classes = staged(keyed.groupBy("doc_id", "source", "size", "row_hash").agg(F.count("*").alias("rows")), "mix-sizes")
+    per_source = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n_docs"))
+    sized = classes.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows")
     goal = shares(per_source.select("source", "source_size"), weights, total_share, most)
     plan = goal.join(per_source.select(F.col("source").alias("s"), "n_docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = plan.withColumn("ratio", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)))
@@ -69,19 +69,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: fl
     plan = plan.withColumn("room", F.col("part") * F.col("source_size"))
     plan = staged(plan, "mix-plan").withColumnRenamed("source", "s")
 
-    u = (F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"), 256), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    u = (F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("row_hash").cast("string"), F.col("nth").cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     shown = sized.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     miss = F.pow(1 - F.col("part"), F.sqrt(F.try_divide(F.col("size") * F.col("n_docs"), F.col("source_size"))))
     odds = F.try_divide((u / (1 - u)), F.try_divide(1 - miss, miss))
     # q / (1 + q) keeps the order and lies in 0 to 1; documents without words never count.
     ranked = shown.withColumn("rank_key", F.when((F.col("size") > 0) & (F.col("part") > 0), odds / (1 + odds)))
-    ranked = staged(ranked.select("doc_id", "source", "size", "source_size", "target", "whole", "room", "rank_key"), "mix-ranks")
+    ranked = staged(ranked.select("doc_id", "source", "size", "row_hash", "source_size", "target", "whole", "room", "rank_key"), "mix-ranks")
 
     cut = staged(boundary(ranked), "mix-cut")
     out = ranked.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     inside = (F.col("rank_key") < F.col("last_key")) | ((F.col("rank_key") == F.col("last_key")) & F.coalesce(F.col("doc_id") <= F.col("last_id"), F.lit(True)))
     copies = F.col("whole") + F.coalesce(inside, F.lit(False)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "row_hash", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def boundary(ranked: DataFrame) -> DataFrame:
@@ -116,12 +116,19 @@ def words_of(text: Column) -> Column:
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. mixed: the result of mix(docs).
 
-    Rows are found by doc_id (null too), source and size, so a doc_id on several texts has the copies of each; repeated rows each
-    have theirs. Texts of any length and null texts stay whole; other columns, of whatever name, are carried. Empty tables: no rows.
+    Rows are found by doc_id (null too), source, size and row_hash. Rows equal in all columns can't be told apart: one of them is
+    taken as often as all are. Texts of any length and null texts stay whole; other columns, of whatever name, are carried. Empty
+    tables: no rows.
     """
-    keys = ["doc_id", "source", "size"]
-    copies = mixed.groupBy(*[F.col(k).alias(f"_mix_{k}") for k in keys]).agg(F.max("copies").alias("_mix_copies"))
-    mine = {"doc_id": docs["doc_id"].cast("long"), "source": docs["source"].cast("string"), "size": words_of(docs["text"])}
-    found = [mine[k].eqNullSafe(copies[f"_mix_{k}"]) for k in keys]
-    joined = docs.join(copies.filter("_mix_copies > 0"), found[0] & found[1] & found[2])
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies"))).drop(*[f"_mix_{k}" for k in [*keys, "copies", "copy"]])
+    keys = ["doc_id", "source", "size", "row_hash"]
+    free = lambda name: next(x for i in range(len(docs.columns) + 1) if (x := f"_mix_{name}_{i}").lower() not in {c.lower() for c in docs.columns})
+    names = {k: free(k) for k in [*keys, "copies", "rows"]}
+    planned = mixed.groupBy(*[F.col(k).alias(names[k]) for k in keys]).agg(F.sum("copies").alias(names["copies"]), F.count("*").alias(names["rows"])).filter(F.col(names["copies"]) > 0)
+    mine = {"doc_id": docs["doc_id"].cast("long"), "source": docs["source"].cast("string"), "size": words_of(docs["text"]), "row_hash": row_hash(docs)}
+    found = F.lit(True)
+    for k in keys:
+        found = found & mine[k].eqNullSafe(planned[names[k]])
+    once = docs.join(planned.filter(F.col(names["rows"]) == 1), found)
+    several = docs.join(planned.filter(F.col(names["rows"]) > 1), found).dropDuplicates([names[k] for k in keys])
+    nth = free("nth")
+    return once.unionAll(several).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), names["copies"]))).drop(nth, *names.values())

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from skirmish.llm.common import text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Chunks whose ids a worker remembers. When there are more, it keeps those of up to SHORT characters, which are the frequent ones.
-CACHE_ENTRIES, SHORT = 1_000_000, 7
+#: Bytes of chunks whose ids a worker remembers (each counts ENTRY bytes more). Beyond, it keeps those of up to SHORT characters, which are the frequent ones.
+CACHE_BYTES, SHORT, ENTRY = 192 << 20, 7, 150
 #: Sequence ids: the partition's number above these bits, the worker's own count below.
 LOCAL_BITS = 40
 
@@ -34,7 +34,7 @@ class Encoder:
     before it. Texts are cut there, and the ids of a chunk are looked up once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,6 +43,7 @@ class Encoder:
         self.widths = np.zeros(max(names.values()) + 1, np.int64)  # a byte-level token has a character for each byte
         self.widths[list(names.values())] = list(map(len, names))
         self.known: dict[str, bytes] = {}
+        self.held, self.cache_bytes = 0, cache_bytes
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -62,6 +63,7 @@ class Encoder:
             data, begin = ids.tobytes(), 0
             for c, end in zip(some, (4 * cuts).tolist(), strict=True):
                 self.known[c] = data[begin:end]
+                self.held += ENTRY + len(c) + end - begin
                 begin = end
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -71,9 +73,11 @@ class Encoder:
         for chunks in cut:
             wanted.update(chunks[1:])
         new = wanted.difference(self.known)
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            short = {c: x for c, x in self.known.items() if len(c) <= SHORT}
-            self.known = short if len(short) < CACHE_ENTRIES // 2 else {}
+        if self.held > self.cache_bytes:
+            self.known = {c: x for c, x in self.known.items() if len(c) <= SHORT}
+            self.held = sum(ENTRY + len(c) + len(x) for c, x in self.known.items())
+            if 2 * self.held > self.cache_bytes:
+                self.known, self.held = {}, 0
             new = wanted.difference(self.known)
         self.learn(list(new))
         get = self.known.__getitem__
@@ -145,7 +149,7 @@ class Bins:
             yield from self.close(left[begin:at])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, cut: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, cut: bool = True, cache_bytes: int = CACHE_BYTES, keep_cache: bool = True) -> DataFrame:
     """Pieces of all documents with their place in a sequence of at most `capacity` tokens.
 
     docs: doc_id, text; other columns are ignored, whatever their names. A document's tokens are its
@@ -154,6 +158,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     left at its end fills whole sequences and then sequences of a power of two. cut=False: a rest is
     one piece, and a bin of class j may have up to capacity / (j + 1) tokens of padding.
 
+    A worker remembers the ids of up to about cache_bytes of text chunks, from task to task if keep_cache, else it lets go of them
+    and of the tokenizer at the end of each task: Python workers are reused by whatever runs next on the executor.
+
     Null or empty text: one piece with end_id alone. Null doc_id: packed, and stays null. Repeated
     rows are packed as often as they occur. Empty table: no rows. Long texts are encoded whole.
     Recomputed partitions give equal rows, as long as their input has the same order.
@@ -164,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     tail = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path)
+        encoder = encoder_of(tokenizer_path) if keep_cache else Encoder(tokenizer_path, cache_bytes)
         bins = Bins(capacity, TaskContext.get().partitionId() << LOCAL_BITS, cut)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:

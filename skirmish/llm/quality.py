@@ -141,12 +141,45 @@ class Chain:
         return label
 
 
+def spliced(x: list[np.ndarray], good: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sequences of about SAMPLE_LINES lines and their labels, from runs of lines of good documents and of others.
+
+    Runs are cut into stretches of 1 to SAMPLE_LINES / 2 lines (lengths from a generator with a fixed seed). While both kinds last, a
+    sequence takes stretches of the two in turn, the next sequence begins with the other kind; what is left of one kind follows
+    in sequences of its own. Each line stands in one sequence. The features of first and last lines are those of the sequence.
+    """
+    rng = np.random.default_rng(0)
+    parts: list[list[np.ndarray]] = [[], []]
+    for a, g in zip(x, good, strict=True):
+        cuts = np.cumsum(rng.integers(1, SAMPLE_LINES // 2 + 1, len(a)))
+        parts[int(g)] += [p for p in np.split(a, cuts[cuts < len(a)]) if len(p)]
+    for p in parts:
+        p.reverse()
+    made, labels, turn = [], [], 0
+    while parts[0] or parts[1]:
+        held, marks, kind, n = [], [], turn, 0
+        while n < SAMPLE_LINES and (parts[0] or parts[1]):
+            kind = kind if parts[kind] else 1 - kind
+            held.append(parts[kind].pop())
+            marks.append(np.full(len(held[-1]), kind))
+            n, kind = n + len(held[-1]), 1 - kind
+        lines = np.concatenate(held)
+        lines[:, -2:] = 0
+        lines[0, -2] = lines[-1, -1] = 1
+        made.append(lines)
+        labels.append(np.concatenate(marks))
+        turn = 1 - turn
+    return made, labels
+
+
 def fit_lines(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sequences: int = SAMPLE_SEQUENCES) -> Chain:
     """A chain fitted to at most sample_docs labelled documents and `sequences` runs of SAMPLE_LINES of their lines, the first in
     the order of a hash.
 
-    A line's training label is its document's quality (1 content, others boilerplate), as judged by people; it is no function of
-    the line's features, and good lines of poor documents are noise that the good documents outweigh. Several labels of one
+    Training sequences alternate: stretches of lines of good documents and of others stand in turn in one sequence (see spliced), so
+    that labels change within it and the step weights learn how long content and boilerplate last. A line's label is the quality,
+    as judged by people, of the document it comes from (1 content, others boilerplate); it is no function of the line's features,
+    and good lines of poor documents are noise that the good documents outweigh. Several labels of one
     document: the least counts. Repeated rows with one doc_id: their sequences each count. Labels or rows with null doc_id, null
     labels and null texts take no part; blank lines neither; long texts give several sequences. Without a labelled line (empty
     tables among them) the chain calls every line content. Sequences are fitted in one task, whose size the two bounds fix; only
@@ -172,7 +205,7 @@ def fit_lines(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS
         if held:
             rows = pd.concat(held).sort_values(["doc_id", "line", "good"], kind="stable")
             x = [np.asarray(v, float).reshape(-1, len(FEATURES)) for v in rows["x"]]
-            chain = Chain.fit(x, [np.full(len(v), g) for v, g in zip(x, rows["good"], strict=True)])
+            chain = Chain.fit(*spliced(x, rows["good"].tolist()))
             yield pd.DataFrame({"theta": [np.concatenate([chain.emit.ravel(), chain.step.ravel()])]})
 
     runs = texts.dropna().join(F.broadcast(some), "doc_id").mapInPandas(lines, "doc_id long, line long, x array<float>, good int")

@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 from llm_cases import EDGES, frame
-from test_llm_mixing import copies
+from test_llm_mixing import copies, hashes_of
 from test_llm_packing import restored, tokens
 from test_llm_similarity import brute
 from tokenizers import Tokenizer
@@ -26,8 +26,9 @@ def test_run(spark, sf):
     good = ~got["base_failed"] & (2 * got["content_words"] >= got["n_words"])
     kept = [(i, rows[i].text) for i, g in zip(rows, good, strict=True) if g]
     left = [i for i, _, component in brute(kept) if i == component]
-    masked = {r.doc_id: r.text for r in pii.pseudonymise(docs, queries.PII_KEY).collect()}
-    _, times = copies([(i, masked[i], None, rows[i].source) for i in left])
+    pseudonyms = pii.pseudonymise(docs, queries.PII_KEY)
+    masked = {r.doc_id: r.text for r in pseudonyms.collect()}
+    _, times = copies([(i, masked[i], None, rows[i].source) for i in left], hashes_of(pseudonyms))
     pieces = corpus_pipeline.run(spark, sf).collect()
     restored(pieces)
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())

@@ -65,6 +65,39 @@ def test_query_keeps_clean_documents_and_drops_boilerplate(spark, sf):
     assert sum(got[i].kept for i in fine) >= 0.98 * len(fine) > 0
 
 
+def test_planted_boilerplate_is_told_from_the_prose_around_it(spark, sf):
+    """Lines of poor documents within, before and behind good ones: the content share lies between 0 and 1, near that of the good lines."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chain = quality.fit_lines(docs, labels)
+    texts = {q: [r.text for r in docs.join(labels, "doc_id").filter(f"quality = {q}").orderBy("doc_id").collect() if len(WORD.findall(r.text)) > 60] for q in (0, 1)}
+    assert chain.step[0, 0] + chain.step[1, 1] > chain.step[0, 1] + chain.step[1, 0]
+    between, near, made = 0, 0, []
+    for i, good in enumerate(texts[1][:120]):
+        poor = [x for x in texts[0][i % len(texts[0])].split("\n")[1:] if len(WORD.findall(x)) > 3][:6]
+        lines = [x for x in good.split("\n") if len(WORD.findall(x)) > 3][:12]
+        if len(poor) > 1 and len(lines) > 3:
+            at = (0, len(lines) // 2, len(lines))[i % 3]
+            made.append((lines[:at] + poor + lines[at:], len(WORD.findall("\n".join(lines)))))
+    assert len(made) > 30
+    got = quality.measure(["\n".join(x) for x, _ in made], chain)
+    for (_, prose_words), n, content in zip(made, got["n_words"], got["content_words"], strict=True):
+        between += 0 < content < n
+        near += abs(content - prose_words) <= 0.15 * n
+    assert between >= 0.8 * len(made) and near >= 0.75 * len(made)
+
+
+def test_spliced_sequences_alternate_and_hold_each_line_once():
+    width = len(quality.FEATURES)
+    x = [np.full((n, width), 10.0 * i) for i, n in enumerate([32, 5, 20, 1, 32, 32, 7])]
+    good = [1, 0, 1, 0, 1, 1, 0]
+    seqs, labels = quality.spliced(x, good)
+    assert sum(map(len, seqs)) == sum(map(len, x)) and all(len(a) == len(b) for a, b in zip(seqs, labels, strict=True))
+    assert len(set(labels[0])) == 2
+    seen = Counter((v, y) for a, b in zip(seqs, labels, strict=True) for v, y in zip(a[:, 0], b, strict=True))
+    assert seen == Counter({(10.0 * i, g): len(a) for i, (a, g) in enumerate(zip(x, good, strict=True))})
+    assert all(a[0, -2] == a[-1, -1] == 1 and a[:, -2:].sum() == 2 for a in seqs)
+
+
 def marked(text, chain):
     """content words of a text by plain loops: features of each line, then Viterbi."""
     lines, out = (text or "").split("\n"), 0
