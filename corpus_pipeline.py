@@ -9,6 +9,10 @@ from skirmish.llm.common import drop_staged, staged
 from skirmish.llm.queries import PII_KEY, table, tokenizer_path
 
 
+#: Bytes of text chunks that packing remembers in a task; the workers go on to other stages.
+PACKING_CACHE = 32 << 20
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are mostly content lines; see quality.keep. Null, blank and short texts go."""
     return quality.keep(docs, quality.fit_lines(docs, table(spark, sf_dir, "labels")))
@@ -31,7 +35,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as pieces of sequences of 1024 tokens, each copy for itself; a null text is its end token. See packing.pack."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), cache_bytes=PACKING_CACHE, keep_cache=False)
 
 
 STAGES = [
