@@ -190,3 +190,17 @@ def decision(games: Column, direct: Column, roster: Column, pct: Column, min_mar
 def epoch(ts: Column) -> Column:
     """Seconds since 1970 of a timestamp without time zone, whatever the session's zone."""
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
+def shares_of(applied: Column) -> Column:
+    """What each of an ordered array of logits adds to the probability: sums of the array up to it, through the sigmoid, less those before it.
+
+    The shares of all of them add up to the probability less a half. Null logits add nothing.
+    """
+    start = F.struct(F.lit(0.0).alias("z"), F.array().cast("array<double>").alias("out"))
+
+    def step(held: Column, x: Column) -> Column:
+        z = held["z"] + F.coalesce(x, F.lit(0.0))
+        return F.struct(z.alias("z"), F.concat(held["out"], F.array(sigmoid(z) - sigmoid(held["z"]))).alias("out"))
+
+    return F.aggregate(applied, start, step, lambda held: held["out"])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skirmish.plans import draft, evaluations, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking
+from skirmish.plans import draft, evaluations, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking
 from skirmish.plans.registry import ORACLES, QUERIES
 
-MODULES = (draft, evaluations, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking)
+MODULES = (draft, evaluations, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking)
 
 
 def queries() -> dict:

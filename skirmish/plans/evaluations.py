@@ -195,18 +195,6 @@ def live_map_estimate(t: Tables) -> DataFrame:
     return t.live().select("event_id", X.live_availability(phase, s, lead).alias("availability"), F.round(X.live_map(F.lit(0.55), s, lead, LIVE_C), 6).alias("p"), X.live_settled(s, lead, F.col("k") % 21 - 10).alias("settled"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT label, count(*) AS n, list_sum(list(list_sum(list_transform(v[1:8], lambda x: x * x)))) AS sq,
-  [list_sum(list(v[1])), list_sum(list(v[2])), list_sum(list(v[3])), list_sum(list(v[4])), list_sum(list(v[5])), list_sum(list(v[6])), list_sum(list(v[7])), list_sum(list(v[8]))] AS tot FROM e GROUP BY ALL)
-  SELECT label, n, round(0.5 * (list_sum(list_transform(tot, lambda x: x * x)) - sq), 4) AS fm FROM s""")
-def fm_score(t: Tables) -> DataFrame:
-    """fm_score_all over the first eight components, as the query's SQL has it."""
-    dims = range(1, 9)
-    at = lambda d: F.element_at("embedding", d).cast("double")
-    got = t.embeddings.groupBy("label").agg(F.count("*").alias("n"), *[F.sum(at(d)).alias(f"s{d}") for d in dims], *[F.sum(at(d) * at(d)).alias(f"q{d}") for d in dims])
-    total = sum((F.col(f"s{d}") * F.col(f"s{d}") - F.col(f"q{d}") for d in dims), F.lit(0.0))
-    return got.select("label", "n", F.round(0.5 * total, 4).alias("fm"))
-
-
 @query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), s AS (SELECT label, d, sum(x) AS s, sum(x * x) AS q FROM e GROUP BY ALL),
   f AS (SELECT label, round(0.5 * sum(s * s - q), 4) AS fm FROM s GROUP BY ALL), c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY ALL)
   SELECT c.label, n, fm FROM c LEFT JOIN f ON c.label IS NOT DISTINCT FROM f.label""")
@@ -232,10 +220,12 @@ def team_form_sd(t: Tables) -> DataFrame:
   FROM g x JOIN g y ON x.team < y.team LEFT JOIN a ON a.low = x.team AND a.high = y.team""")
 def opinion_completion(t: Tables) -> DataFrame:
     """Pairs with an answer keep it; the others follow from the teams' mean logits."""
-    low = F.col("c_nationkey") < F.col("s_nationkey")
-    rows = t.customer.join(t.supplier, F.col("c_custkey") % 97 == F.col("s_suppkey") % 97).filter("c_nationkey <> s_nationkey")
-    yes = F.when(low, F.col("c_acctbal") > 0).otherwise(F.col("c_acctbal") <= 0).cast("int")
-    a = rows.groupBy(F.least("c_nationkey", "s_nationkey").alias("low"), F.greatest("c_nationkey", "s_nationkey").alias("high")).agg((F.avg(yes) * 100).alias("pct"))
+    # Each side is counted by key modulo 97 and nation first: the join is of counts, whatever the number of rows.
+    asked = t.customer.groupBy((F.col("c_custkey") % 97).alias("k"), "c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("plus"), F.count_if(F.col("c_acctbal") <= 0).alias("minus"))
+    by = t.supplier.groupBy((F.col("s_suppkey") % 97).alias("k"), "s_nationkey").agg(F.count("*").alias("times"))
+    rows = asked.join(by, "k").filter("c_nationkey <> s_nationkey")
+    yes = F.when(F.col("c_nationkey") < F.col("s_nationkey"), F.col("plus")).otherwise(F.col("minus"))
+    a = rows.groupBy(F.least("c_nationkey", "s_nationkey").alias("low"), F.greatest("c_nationkey", "s_nationkey").alias("high")).agg((F.sum(yes * F.col("times")) / F.sum((F.col("plus") + F.col("minus")) * F.col("times")) * 100).alias("pct"))
     z = X.logit(F.col("pct") / 100, 0.1)
     g = a.select(F.explode(F.array(F.struct(F.col("low").alias("team"), z.alias("z")), F.struct(F.col("high").alias("team"), (-z).alias("z")))).alias("r")).groupBy("r.team").agg(F.avg("r.z").alias("s"))
     one = g.agg(F.array_sort(F.collect_list(F.struct("team", "s"))).alias("x"))  # a few dozen teams

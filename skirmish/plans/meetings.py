@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import exprs as X
+from skirmish.operators.assignment import UNIT, assign
 from skirmish.operators.windows import islands
 from skirmish.plans.contest import CONTEST, ENTITIES, TEAMS, Tables, with_
 from skirmish.plans.records import parse_quality
@@ -169,34 +168,31 @@ def live_link(t: Tables) -> DataFrame:
     return near.unionByName(staged).groupBy("other").agg(F.count("*").alias("candidates"), F.when(F.count("*") == 1, F.min("contest_id")).alias("linked"))
 
 
-def _orders(k: int) -> list[tuple[int, ...]]:
-    return list(permutations(range(k)))
-
-
-SEATS = 3
-ROWS = ", ".join(f"({', '.join(map(str, p))})" for p in _orders(SEATS))
+SEATS = 5
 
 
-@query(with_(CONTEST, ENTITIES, body=f"""SELECT contest_id, side, seats, coalesce(nullif(round(value, 5), 0), 0) AS value FROM (
-  SELECT q.contest_id, q.side, a.seats, a.value, row_number() OVER (PARTITION BY q.contest_id, q.side ORDER BY round(a.value, 9) DESC, a.seats) AS r FROM sides q JOIN assigned a USING (contest_id, side)) WHERE r = 1""").replace("\nSELECT contest_id, side, seats", f""",
-seated AS (SELECT *, (entity + contest_id) % 3 AS seat FROM appearances),
-evidence AS (SELECT team, seat, entity, ln(least(0.95, greatest(0.05, (sum(won) + 4.0) / (count(*) + 8.0))) / (1 - least(0.95, greatest(0.05, (sum(won) + 4.0) / (count(*) + 8.0))))) AS e FROM seated GROUP BY ALL HAVING count(*) >= 2),
-sides AS (SELECT contest_id, side, any_value(team) AS team, list(entity ORDER BY entity)[1:{SEATS}] AS x FROM appearances GROUP BY ALL HAVING count(*) >= {SEATS}),
-assigned AS (SELECT s.contest_id, s.side, p.a::VARCHAR || p.b::VARCHAR || p.c::VARCHAR AS seats, coalesce(e.e, 0) + coalesce(f.e, 0) + coalesce(g.e, 0) AS value FROM sides s CROSS JOIN (VALUES {ROWS}) p(a, b, c)
-  LEFT JOIN evidence e ON e.team = s.team AND e.seat = p.a AND e.entity = s.x[1] LEFT JOIN evidence f ON f.team = s.team AND f.seat = p.b AND f.entity = s.x[2] LEFT JOIN evidence g ON g.team = s.team AND g.seat = p.c AND g.entity = s.x[3])
-SELECT contest_id, side, seats""", 1))
+@query(with_(CONTEST, ENTITIES, body=f"""SELECT contest_id, side, replace(seats, '{SEATS}', '-') AS seats, round(value / 1e9, 5) + 0 AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY contest_id, side ORDER BY value DESC, seats) AS best FROM dp WHERE i = n AND spare = 0) WHERE best = 1""").replace("WITH contest", "WITH RECURSIVE contest", 1).replace("\nSELECT contest_id, side, replace", f""",
+seated AS (SELECT *, (entity + contest_id) % {SEATS} AS seat FROM appearances),
+evidence AS (SELECT team, seat, entity, round(1e9 * ln(least(0.95, greatest(0.05, (sum(won) + 4.0) / (count(*) + 8.0))) / (1 - least(0.95, greatest(0.05, (sum(won) + 4.0) / (count(*) + 8.0))))))::BIGINT AS e FROM seated GROUP BY ALL HAVING count(*) >= 2),
+sides AS (SELECT contest_id, side, any_value(team) AS team, list(entity ORDER BY entity) AS x, count(*) AS n FROM appearances GROUP BY ALL),
+dp AS (SELECT contest_id, side, team, x, n, 0 AS i, 0 AS used, greatest(n - {SEATS}, 0) AS spare, '' AS seats, 0::BIGINT AS value FROM sides
+  UNION ALL SELECT contest_id, side, team, x, n, i, used, spare, seats, value FROM (SELECT *, row_number() OVER (PARTITION BY contest_id, side, used, spare ORDER BY value DESC, seats) AS r FROM (
+    SELECT d.contest_id, d.side, d.team, d.x, d.n, d.i + 1 AS i, CASE WHEN c.s < {SEATS} THEN d.used + (1 << c.s) ELSE d.used END::INTEGER AS used, d.spare - (c.s = {SEATS})::INT AS spare, d.seats || c.s::VARCHAR AS seats, d.value + coalesce(e.e, 0) AS value
+    FROM dp d JOIN (SELECT unnest(range(0, {SEATS + 1}))::INTEGER AS s) c ON d.i < d.n AND (CASE WHEN c.s < {SEATS} THEN (d.used // (1 << c.s)) % 2 = 0 ELSE d.spare > 0 END)
+    LEFT JOIN evidence e ON e.team = d.team AND e.seat = c.s AND e.entity = d.x[d.i + 1])) WHERE r = 1)
+SELECT contest_id, side, replace""", 1))
 def best_assignment(t: Tables) -> DataFrame:
-    """Seats for a side's first three entities that have most evidence together; ties go to the smaller order of seats.
+    """Seats for all entities of a side that have most evidence together; ties go to the smaller order of seats. Beyond five entities as few as must stay without.
 
-    Evidence of each entity's seats comes from one join; all orders (six) are weighed within the side's row. Sides with fewer entities have no row.
+    Evidence of each entity's seats comes from one join; the orders are weighed within the side's row, by sets of taken seats.
     """
-    rows = t.appearances().withColumn("seat", F.pmod(F.col("entity") + F.col("contest_id"), F.lit(3)).cast("int"))
+    rows = t.appearances().withColumn("seat", F.pmod(F.col("entity") + F.col("contest_id"), F.lit(SEATS)).cast("int"))
     rate = X.shrunk(F.sum("won"), F.count("*"), 0.5, 8.0)
-    known = rows.groupBy("team", "seat", "entity").agg(X.logit(rate, 0.05).alias("e"), F.count("*").alias("n")).filter("n >= 2")
-    known = known.groupBy("team", "entity").agg(F.map_from_entries(F.collect_list(F.struct("seat", "e"))).alias("m"))  # at most three seats
-    sides = rows.select("contest_id", "side", "team", "entity").withColumn("i", F.row_number().over(Window.partitionBy("contest_id", "side").orderBy("entity"))).filter(F.col("i") <= SEATS)
-    both = sides.join(known, ["team", "entity"], "left").groupBy("contest_id", "side").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("x")).filter(F.size("x") == SEATS)
-    one = lambda i, seat: F.coalesce(F.try_element_at(F.try_element_at("x", F.lit(i + 1)), F.lit(seat)), F.lit(0.0))
-    choices = [F.struct((-F.round(sum((one(i, s) for i, s in enumerate(p)), F.lit(0.0)), 9)).alias("cost"), F.lit("".join(map(str, p))).alias("seats")) for p in _orders(SEATS)]
-    best = F.array_min(F.array(*choices))
-    return both.select("contest_id", "side", best.alias("b")).select("contest_id", "side", "b.seats", F.round(-F.col("b.cost"), 5).alias("value"))
+    known = rows.groupBy("team", "seat", "entity").agg(F.round(UNIT * X.logit(rate, 0.05)).cast("long").alias("e"), F.count("*").alias("n")).filter("n >= 2")
+    known = known.groupBy("team", "entity").agg(F.map_from_entries(F.collect_list(F.struct("seat", "e"))).alias("m"))  # at most five seats
+    own = F.array(*[F.coalesce(F.try_element_at("m", F.lit(s)), F.lit(0).cast("long")) for s in range(SEATS)])
+    members = rows.select("contest_id", "side", "team", "entity").join(known, ["team", "entity"], "left").select("contest_id", "side", "entity", own.alias("own"))
+    sides = members.groupBy("contest_id", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("entity", "own"))), lambda x: x["own"]).alias("evidence"))
+    best = assign(sides, ["contest_id", "side"], SEATS)
+    return best.select("contest_id", F.col("side").cast("int").alias("side"), "seats", F.round(F.col("value") / float(UNIT), 5).alias("value"))

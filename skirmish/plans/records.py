@@ -57,9 +57,10 @@ def coverage_audit(t: Tables) -> DataFrame:
     return whole.join(spread, "version")
 
 
-@query(with_(CONTEST, body="""SELECT version, first_ts, next_ts AS until, n, (first_ts = min(first_ts) OVER ()) OR (next_ts IS NULL) AS partial, boundary_errors FROM (
-  SELECT version, first_ts, n, lead(first_ts) OVER (ORDER BY first_ts) AS next_ts, 0 AS boundary_errors FROM (
-    SELECT version, min(ts) AS first_ts, count(*) AS n FROM contest GROUP BY ALL))"""))
+@query(with_(CONTEST, body="""SELECT version, first_ts, next_ts AS until, n, (first_ts = min(first_ts) OVER ()) OR (next_ts IS NULL) AS partial,
+  (SELECT count(*) FROM contest c WHERE c.version = d.version AND (c.ts < d.first_ts OR c.ts >= d.next_ts))::INTEGER AS boundary_errors FROM (
+  SELECT version, first_ts, n, lead(first_ts) OVER (ORDER BY first_ts) AS next_ts FROM (
+    SELECT version, min(ts) AS first_ts, count(*) AS n FROM contest GROUP BY ALL)) d"""))
 def version_timeline(t: Tables) -> DataFrame:
     """Each version's interval of validity, whether it is cut by the window, and rows outside of it."""
     rows = t.contest()

@@ -71,7 +71,7 @@ _S = next(s for s in transfer.CANDIDATES if s.kind == "counts")
 
 
 @query(with_(CONTEST, ENTITIES, body=f"""SELECT contest_id, coalesce(nullif(round({_S.scales['hero']} * sum(CASE side WHEN 0 THEN z ELSE -z END), 5), 0), 0) AS logit FROM (
-  SELECT a.contest_id, a.side, coalesce(ln(greatest(0.08, least(0.92, r)) / (1 - greatest(0.08, least(0.92, r)))), 0) AS z FROM appearances a LEFT JOIN (
+  SELECT a.contest_id, a.side, CASE WHEN r IS NULL THEN 0 ELSE ln(greatest(0.08, least(0.92, r)) / (1 - greatest(0.08, least(0.92, r)))) END AS z FROM appearances a LEFT JOIN (
     SELECT n.version, o.entity, (sum(o.wins * exp(-{_S.carry} * (n.upto - o.upto))) + {_S.prior / 2}) / (sum(o.games * exp(-{_S.carry} * (n.upto - o.upto))) + {_S.prior}) AS r
     FROM (SELECT *, sum(m) OVER (ORDER BY version) AS upto FROM changes) n JOIN (SELECT *, sum(m) OVER (ORDER BY version) AS upto FROM changes) c ON c.version < n.version
       JOIN (SELECT version, entity, sum(w) AS games, sum(w * won) AS wins, any_value(upto) AS upto FROM (SELECT a.version, a.entity, a.won, CASE WHEN f.group_id < '3' THEN 1.0 WHEN f.group_id < '5' THEN 0.22 ELSE 0.15 END::DOUBLE AS w, h.upto

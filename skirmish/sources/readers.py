@@ -20,8 +20,9 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def rejected(rows: DataFrame) -> DataFrame:
-    """How many rows didn't parse, by file. rows get cached: Spark doesn't scan files for the corrupt column alone."""
-    return rows.cache().groupBy("_file").agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("rejected")).filter("rejected > 0")
+    """How many rows didn't parse, by file. Spark doesn't scan files for the corrupt column alone, so the other columns are read too."""
+    others = F.length(F.to_json(F.struct(*[c for c in rows.columns if c not in (CORRUPT, "_file")])))
+    return rows.groupBy("_file").agg(F.count_if(F.col(CORRUPT).isNotNull() & (F.coalesce(others, F.lit(0)) >= 0)).alias("rejected")).filter("rejected > 0")
 
 
 def by_precedence(sources: list[DataFrame], keys: list[str], order: list[Column] | None = None) -> DataFrame:

@@ -102,3 +102,40 @@ def verified_checkpoint(df: DataFrame, path: str, keys: list[str], required: lis
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     found.write.mode("errorifexists").parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def lock_ledger(path: str, key: str, locked_at: str, starts_at: str):
+    """A foreachBatch function that keeps locks which nothing can change: of each key the first lock ever written, if it was made before its start.
+
+    A batch's accepted rows are written to path/locks/batch_id=N and the others, with a reason (`late`, `locked`, `no_start`), to
+    path/refused/batch_id=N. A batch is judged only against the batches before it, so one that runs again after a failure gives the
+    same rows and replaces its own, and no row of another batch is ever touched. Of locks of one key in a batch the earliest
+    counts, ties to the smallest row hash. Rows without a key or without times are refused.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fs, at = _folder(spark, f"{path}/locks")
+        earlier = [int(x.getPath().getName().removeprefix("batch_id=")) for x in fs.listStatus(at) if x.getPath().getName().startswith("batch_id=")] if fs.exists(at) else []
+        rows = batch.withColumn("_hash", F.xxhash64(*batch.columns))
+        first = rows.filter(F.col(locked_at) < F.col(starts_at)).groupBy(key).agg(F.min(F.struct(locked_at, "_hash")).alias("_first"))
+        rows = rows.join(first, key, "left")
+        if known := [f"{path}/locks/batch_id={n}" for n in earlier if n < batch_id]:
+            rows = rows.join(spark.read.parquet(*known).select(key).withColumn("_known", F.lit(True)), key, "left")
+        else:
+            rows = rows.withColumn("_known", F.lit(None).cast("boolean"))
+        timed = F.col(locked_at).isNotNull() & F.col(starts_at).isNotNull() & F.col(key).isNotNull()
+        reason = F.when(~timed, "no_start").when(F.col(locked_at) >= F.col(starts_at), "late").when(F.col("_known") | (F.struct(locked_at, "_hash") > F.col("_first")), "locked")
+        judged = rows.withColumn("reason", reason).select(*batch.columns, "reason").persist()
+        try:
+            judged.filter("reason is null").drop("reason").dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/locks/batch_id={batch_id}")
+            judged.filter("reason is not null").write.mode("overwrite").parquet(f"{path}/refused/batch_id={batch_id}")
+        finally:
+            judged.unpersist()
+
+    return write
+
+
+def locks(spark: SparkSession, path: str) -> DataFrame:
+    """The locks of a ledger with the batch that each came in."""
+    return spark.read.parquet(f"{path}/locks")

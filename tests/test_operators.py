@@ -107,7 +107,7 @@ def test_schedule_and_links(spark, tmp_path):
 
 
 def test_best_assignment(spark, sf):
-    """Each side's value is the best over all orders of seats, found by a plain loop."""
+    """Each side's value and order is the best over all orders of seats, found by a plain loop; all sides have a row."""
     from itertools import permutations
     from math import log
 
@@ -115,17 +115,28 @@ def test_best_assignment(spark, sf):
 
     t = meetings.Tables(spark, sf)
     rows = t.appearances().select("contest_id", "side", "team", "entity", "won").toPandas()
-    rows["seat"] = (rows["entity"] + rows["contest_id"]) % 3
+    rows["seat"] = (rows["entity"] + rows["contest_id"]) % 5
     sums = rows.groupby(["team", "seat", "entity"])["won"].agg(["sum", "count"])
     rate = ((sums["sum"] + 4) / (sums["count"] + 8)).clip(0.05, 0.95)
-    known = {k: log(p / (1 - p)) for k, p in rate[sums["count"] >= 2].items()}
+    known = {k: round(1e9 * log(p / (1 - p))) for k, p in rate[sums["count"] >= 2].items()}
     want = {}
     for (contest, side, team), g in rows.groupby(["contest_id", "side", "team"]):
-        x = sorted(g["entity"])[:3]
-        if len(x) == 3:
-            want[contest, side] = max(sum(known.get((team, s, e), 0.0) for s, e in zip(p, x, strict=True)) for p in permutations(range(3)))
-    got = {(r.contest_id, r.side): r.value for r in meetings.best_assignment(t).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-5 + 1e-9 for k, v in want.items())
+        x = sorted(g["entity"])
+        seats = [*range(5), *[9] * max(len(x) - 5, 0)]
+        value = lambda p, x=x, team=team: sum(known.get((team, s, e), 0) for s, e in zip(p, x, strict=True))
+        orders = [p for p in set(permutations(seats, len(x))) if len(x) <= 5 or p.count(9) == len(x) - 5]
+        best = min(orders, key=lambda p: (-value(p), p))
+        want[contest, side] = "".join("-" if s == 9 else str(s) for s in best), round(value(best) / 1e9, 5)
+    got = {(r.contest_id, r.side): (r.seats, r.value) for r in meetings.best_assignment(t).collect()}
+    assert got.keys() == want.keys() == {(r.contest_id, r.side) for r in t.appearances().select("contest_id", "side").distinct().collect()}
+    assert all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 2e-5 for k, v in want.items())
+
+
+def test_more_members_than_seats():
+    from skirmish.operators.assignment import best_seats
+
+    value, code = best_seats(np.array([[[5, 0], [4, 9], [7, 1]], [[0, 0], [0, 0], [0, 0]]], np.int64))
+    assert value.tolist() == [16, 0] and code.tolist() == [2 * 9 + 1 * 3 + 0, 0 * 9 + 1 * 3 + 2]
 
 
 def test_series_walk_the_whole_history(spark, sf):
@@ -325,17 +336,22 @@ def test_streams(spark, tmp_path):
     state = spark.createDataFrame([(1, 0.7)], "match_id long, p double")
     assert {(r.match_id, r.p) for r in run(live.overlay(stream(), state, "match_id", F.col("t") >= 10), "overlay", "append")} == {(1, 0.7), (3, None)}
     won = live.progress(stream().withColumn("at", F.timestamp_seconds("t")), "match_id", "at", F.col("hash") == "h")
-    assert {(r.match_id, r.maps, r.wins, r.complete) for r in run(won, "progress", "append")} <= {(1, 2, 2, True), (2, 1, 0, True), (3, 1, 0, True)}
+    assert {(r.match_id, r.maps, r.wins, r.complete) for r in run(won, "progress", "complete")} == {(1, 2, 2, True), (2, 1, 0, True), (3, 1, 0, True)}
     assert live.fresh(rows, F.lit(310)).count() == 2
 
 
-def test_entry_works_without_llm():
+def test_entry_works_without_llm(tmp_path):
+    """In a copy without the corpus operators, their tests and the pipeline, all other queries register."""
+    import shutil
     import subprocess
     import sys
     from pathlib import Path
 
-    code = "import re, sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'entity_rates' in e.queries() and not any(re.match(r'op[0-9]+_', q) for q in e.queries())"
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+    here = Path(__file__).resolve().parent.parent
+    shutil.copytree(here / "skirmish", tmp_path / "skirmish", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    code = "import re, __spark_entry__ as e; q = e.queries(); assert 'entity_rates' in q and len(q) > 140 and not any(re.match(r'op[0-9]+_|pipeline', x) for x in [*q, *e.oracle_sql()])"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
 
 
 def test_influence_of_every_result(spark, sf):
