@@ -197,14 +197,15 @@ def fit_pieces(words: DataFrame, n_words: int, pieces: list[bytes], logp: np.nda
 
 
 def score(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Scores of every whole text: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+    """Scores of every whole text: doc_id, n_tokens, n_known, train_tokens, base_score, score, piece_score.
 
     docs: doc_id, text, train (boolean; null counts as true); other columns are ignored. A-Z are lowered; tokens are the
     words and one end. score is log10 of the marginal probability of the text: the sum over all paths through the lattice
     of each word, whose arcs are the pieces of the vocabulary, weighted by their fitted scores, and one arc for the whole
     word if the training rows have it. With c, N and V as for the base and the discount d = n1 / (n1 + 2 n2) of words seen
     once and twice, a word has probability max(c - d, 0) / N + d V / N * (its segmentations' sum), the end has its share of N.
-    base_score is the word model: sum of log10((c + 0.5) / (N + 0.5 (V + 1))).
+    base_score is the word model: sum of log10((c + 0.5) / (N + 0.5 (V + 1))). piece_score is that of the pieces alone, without
+    arcs for whole words: each word the sum over its segmentations, times the share of tokens that are words.
 
     Null or empty text: the end alone. Null doc_id stays null; repeated rows all count and get equal scores. Without
     training rows N = V = 0, the vocabulary's own weights hold, and the end has probability 1/2. Empty table: no rows. Words may be of any length.
@@ -222,18 +223,20 @@ def score(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS, block_byt
     logp, log_end = fit_pieces(words, total.v, pieces, logp, rounds if total.v else 0)
     discount = min(max(total.n1 / max(total.n1 + 2 * total.n2, 1), 0.1), 0.9)
     spelled = discount * total.v / n if n else 0.5
+    log_word = float(np.log1p(-n_texts / n)) if n > n_texts else float(np.log(0.5))
     shared = docs.sparkSession.sparkContext.broadcast((pieces, logp))
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
         for t in _chunks(batches):
             seen = np.maximum(t["c"].to_numpy() - discount, 0) / max(n, 1)
+            pieced = lattice.words(t["word"].to_pylist())[0] + log_end
             with np.errstate(divide="ignore"):
-                lp = np.logaddexp(np.log(seen), lattice.words(t["word"].to_pylist())[0] + log_end + np.log(spelled)) / np.log(10)
-            table = pa.table({"word": t["word"], "c": t["c"], "lp": pa.array(lp)})
+                lp = np.logaddexp(np.log(seen), pieced + np.log(spelled)) / np.log(10)
+            table = pa.table({"word": t["word"], "c": t["c"], "lp": pa.array(lp), "pp": pa.array((pieced + log_word) / np.log(10))})
             yield from table.to_batches()
 
-    scored = staged(words.mapInArrow(marginal, "word binary, c long, lp double"), "lm-scored")
+    scored = staged(words.mapInArrow(marginal, "word binary, c long, lp double, pp double"), "lm-scored")
 
     blocked, _ = in_blocks(plain.select("doc_id", "text"), "doc_id", block_bytes)
 
@@ -250,16 +253,16 @@ def score(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS, block_byt
 
     def place(texts: pa.Table, known: pa.Table) -> pa.Table:
         index = dict(zip(known["word"].to_pylist(), range(known.num_rows), strict=True)).__getitem__
-        c, lp = known["c"].to_numpy(), known["lp"].to_numpy()
+        c, lp, pp = (known[k].to_numpy() for k in ("c", "lp", "pp"))
         base, seen = np.log10(c + 0.5) - unit, c > 0
         rows = []
         for t in texts["text"].to_pylist():
             at = np.fromiter(map(index, t.encode("utf-8", "surrogatepass").lower().split()), np.int64) if t else np.zeros(0, np.int64)
-            rows.append((len(at) + 1, int(seen[at].sum()) + (n_texts > 0), n, float(base[at].sum()) + base_end, float(lp[at].sum()) + end))
+            rows.append((len(at) + 1, int(seen[at].sum()) + (n_texts > 0), n, float(base[at].sum()) + base_end, float(lp[at].sum()) + end, float(pp[at].sum()) + end))
         cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64()] * 3 + [pa.float64()] * 2
-        names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        kinds = [pa.int64()] * 3 + [pa.float64()] * 3
+        names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "piece_score"]
         return pa.table({"doc_id": texts["doc_id"]} | {k: pa.array(x, t) for k, x, t in zip(names, cols, kinds, strict=True)})
 
-    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, piece_score double"
     return blocked.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(place, schema)

@@ -41,7 +41,7 @@ def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("train", F.coalesce(fold() != 1, F.lit(True)))
     scored = lm.score(docs, tokenizer_path("piece_bpe_32k.model"))
     held_out = F.coalesce(fold() == 1, F.lit(False)).alias("held_out")
-    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "piece_score")
 
 
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

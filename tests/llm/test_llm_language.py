@@ -1,7 +1,12 @@
 """Languages of held-out documents, and texts that have none."""
 
+import math
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+import xxhash
 from llm_cases import EDGES, frame
 
 from skirmish.llm import language, queries
@@ -46,3 +51,93 @@ def test_copies_of_one_text_do_not_fill_the_sample(spark):
     assert model.classes == ["aa", "de"] or model.classes == ["de"]
     model = language.fit(copies.union(others), sample_docs=50)
     assert model.classes == ["aa", "de"]
+
+
+MASK = 2**64 - 1
+
+
+def buckets(text):
+    """Buckets of the n-grams of a text: letters in lower case, runs of other characters one blank, a blank in front."""
+    s = [" "]
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            s.append(c)
+        elif s[-1] != " ":
+            s.append(" ")
+    out = []
+    for n in range(1, language.LONGEST + 1):
+        for i in range(len(s) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h * 0x100000001B3 + ord(s[i + k]) + k + 1) & MASK
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & MASK
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & MASK
+            out.append((h ^ h >> 31) >> 48 & language.BUCKETS - 1)
+    return out
+
+
+def plain_fit(rows):
+    """Document frequencies, FTRL-proximal and the temperature by loops over dictionaries."""
+    df, n = Counter(), len(rows)
+    for text, _ in rows:
+        df.update(set(buckets(text)))
+    idf = lambda b: math.log((1 + n) / (1 + df[b])) + 1
+    by = defaultdict(list)
+    for text, lang in rows:
+        key = xxhash.xxh64(text.encode(), seed=42).intdigest()
+        by[key - 2**64 if key >= 2**63 else key].append((text, lang))
+    data = []
+    for _, same in sorted(by.items()):
+        grams = Counter(buckets(same[0][0]))
+        data.append(({b: float(np.float32(c / sum(grams.values()) * idf(b) * language.SCALE)) for b, c in grams.items()}, min(x[1] for x in same)))
+    classes = sorted({c for _, c in data})
+    held, train = (data[::5], [r for k, r in enumerate(data) if k % 5]) if len(data) >= 50 else ([], data)
+    alpha, beta, l1, l2 = 0.5, 1.0, 1e-3, 1e-3
+    z, g2 = defaultdict(float), defaultdict(float)
+
+    def weight(b, c):
+        x = z[b, c]
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((beta + math.sqrt(g2[b, c])) / alpha + l2)
+
+    def logits(x):
+        return [sum(v * weight(b, c) for b, v in x.items()) for c in range(len(classes))]
+
+    for _ in range(3):
+        for x, label in train:
+            x = x | {-1: 1.0}
+            score = logits(x)
+            e = [math.exp(s - max(score)) for s in score]
+            step = {(b, c): v * (e[c] / sum(e) - (classes[c] == label)) for b, v in x.items() for c in range(len(classes))}
+            old = {k: weight(*k) for k in step}
+            for k, g in step.items():
+                z[k] += g - (math.sqrt(g2[k] + g * g) - math.sqrt(g2[k])) / alpha * old[k]
+                g2[k] += g * g
+    loss = lambda t: sum(math.log(sum(math.exp((s - max(sc)) / t) for s in sc)) - (sc[classes.index(c)] - max(sc)) / t for sc, c in scored)
+    scored = [(logits(x | {-1: 1.0}), c) for x, c in held]
+    temperature = min((float(t) for t in np.geomspace(0.05, 20, 241)), key=loss) if held else 1.0
+
+    def predict(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        grams = Counter(buckets(text))
+        score = [s / temperature for s in logits({b: c / sum(grams.values()) * idf(b) * language.SCALE for b, c in grams.items()} | {-1: 1.0})]
+        e = [math.exp(s - max(score)) for s in score]
+        best = score.index(max(score))
+        return classes[best], e[best] / sum(e)
+
+    return predict
+
+
+def test_query_equals_plain_loops(spark, sf, tmp_path):
+    """The query over a whole small table: texts of some words, copies, nulls and blanks."""
+    texts = [(r.text or "")[k * 90 : k * 90 + 60 + r.doc_id % 40] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect() for k in (0, 1)]
+    langs = [r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect() for _ in (0, 1)]
+    rows = [(i, t, g) for i, (t, g) in enumerate(zip(texts, langs, strict=True))] + [(500, None, "en"), (501, "", "de"), (502, " 12 ", "fr"), (503, texts[0], langs[0]), (504, "Zwölf Boxkämpfer", None)]
+    spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows}
+    predict = plain_fit([(t, g) for i, t, g in rows if not held[i] and t is not None and g is not None])
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, str(tmp_path)).collect()}
+    assert got.keys() == held.keys()
+    for i, t, _ in rows:
+        lang, score = predict(t)
+        assert got[i].held_out == held[i] and got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4)

@@ -77,3 +77,42 @@ def test_nothing_to_learn_from(spark):
     assert lm.score(frame(spark, []), path).count() == 0
     (got,) = lm.score(frame(spark, [(1, "some words")]).withColumn("train", F.lit(False)), path).collect()
     assert (got.n_tokens, got.n_known, got.train_tokens) == (3, 0, 0) and math.isfinite(got.score)
+
+
+def test_scores_equal_all_segmentations_spelled_out(spark):
+    """EM over the training words and both scores, by adding up every segmentation of every word."""
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    rows = [(1, "the cat sat on the mat", True), (2, "The dog sat", True), (3, "cats on mats", False), (4, "a", True), (5, None, True), (6, "the zq", False), (6, "the zq", False)]
+    docs = frame(spark, [r[:2] for r in rows]).withColumn("train", ~F.coalesce(F.col("doc_id").isin(3, 6), F.lit(False)))
+    pieces, logp = lm.vocabulary(path)
+    weight = dict(zip(pieces, np.exp(logp), strict=True))
+
+    def ways(word):
+        """Every segmentation of a word with its mark, as lists of pieces."""
+        if not word:
+            return [[]]
+        return [[word[:k], *rest] for k in range(1, len(word) + 1) if word[:k] in weight for rest in ways(word[k:])]
+
+    tokens = [[*WORD.findall(lower(t or "")), None] for _, t, _ in rows]
+    count = Counter(w for ts, (*_, mine) in zip(tokens, rows, strict=True) if mine for w in ts)
+    n, texts = sum(count.values()), count.pop(None)
+    spelled = {w: ways("▁".encode() + w.encode()) for ts in tokens for w in ts if w}
+    mass = lambda w: sum(math.prod(weight[p] for p in way) for way in spelled[w])
+    end = 0.5
+    for _ in range(lm.ROUNDS):
+        expected = dict.fromkeys(weight, lm.SMOOTHING)
+        for w in count:
+            for way in spelled[w]:
+                for p in way:
+                    expected[p] += math.prod(weight[q] for q in way) / mass(w)
+        whole = sum(expected.values()) + len(count) + 1
+        weight, end = {p: x / whole for p, x in expected.items()}, (len(count) + 1) / whole
+    n1, n2 = (sum(c == k for c in count.values()) for k in (1, 2))
+    d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9)
+    want = []
+    for (i, *_), ts in zip(rows, tokens, strict=True):
+        of = [(max(count[w] - d, 0) / n + d * len(count) / n * mass(w) * end, (1 - texts / n) * mass(w) * end) for w in ts if w]
+        want.append((i, *(math.log10(texts / n) + sum(math.log10(x[k]) for x in of) for k in (0, 1))))
+    got = sorted((g.doc_id, g.score, g.piece_score) for g in lm.score(docs, path, block_bytes=20).collect())
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
