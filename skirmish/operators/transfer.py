@@ -28,6 +28,9 @@ class Settings:
     pair_carry: float | None = None
     dimensions: int = 0
     prior: float = 0.0
+    keep_team: float = 0.78
+    #: Alone: its forecast is of its own bias and teams too, pairs count from their first contest, and entities' weights are centred after each version.
+    alone: bool = False
 
 
 # The nine candidates. Epochs of full-batch steps are a third of the epochs that steps row by row would take.
@@ -43,11 +46,13 @@ CANDIDATES = (
     Settings("bayes_patch_decay", "counts", 0.32, scales={"hero": 0.22}, prior=18.0),
 )
 BASE = Settings("base", "linear", 0.0, 0.028, 0.004, 3)
+TEMPORAL = Settings("temporal", "linear", 0.13, 0.055, 0.0008, 3, {"hero": 0.2, "role": 0.08, "synergy": 0.04, "counter": 0.02}, pair_carry=0.22, keep_team=0.72, alone=True)
+ARENA = (BASE, *CANDIDATES)
 #: A pair's weight counts once so many contests had it. A step is GAIN times the rate, of a diagonal Newton step.
 PAIR_GAMES, GAIN = 30, 10.0
-#: Bounds of the weights by group, and the shares of bias and team weights that a candidate keeps at a new version.
+#: Bounds of the weights by group, the share of the bias that a candidate keeps at a new version, and how fast the baseline forgets teams.
 LIMITS = {"bias": 2.0, "team": 3.0, "hero": 2.5, "role": 2.5, "synergy": 2.5, "counter": 2.5, "factors": 0.8}
-KEEP_BIAS, KEEP_TEAM, BASE_FORGETS = 0.9, 0.78, 0.12
+KEEP_BIAS, BASE_FORGETS = 0.9, 0.12
 
 
 @dataclass(frozen=True)
@@ -81,21 +86,22 @@ def seed_factors(entities: int, dimensions: int) -> np.ndarray:
 State = dict[str, dict[str, np.ndarray]]
 
 
-def fresh(catalogue: Catalogue) -> State:
-    state = {s.name: {g: np.zeros(n) for g, n in catalogue.sizes(s).items()} for s in (BASE, *CANDIDATES)}
-    for s in CANDIDATES:
+def fresh(catalogue: Catalogue, models: tuple[Settings, ...] = ARENA) -> State:
+    state = {s.name: {g: np.zeros(n) for g, n in catalogue.sizes(s).items()} for s in models}
+    for s in models:
         if s.dimensions:
             state[s.name]["factors"] = seed_factors(catalogue.entities, s.dimensions).ravel()
     return state
 
 
-def carried(state: State, magnitude: float) -> State:
+def carried(state: State, magnitude: float, models: tuple[Settings, ...] = ARENA) -> State:
     """The state at the beginning of a version that differs from the one before by `magnitude`."""
-    out: State = {BASE.name: {"bias": state["base"]["bias"] * KEEP_BIAS, "team": state["base"]["team"] * np.exp(-BASE_FORGETS * magnitude)}}
-    for s in CANDIDATES:
+    out: State = {}
+    for s in models:
         own = np.exp(-s.carry * magnitude)
         pair = np.exp(-(s.pair_carry if s.pair_carry is not None else 1.5 * s.carry) * magnitude)
-        keep = {"bias": KEEP_BIAS, "team": KEEP_TEAM, "hero": own, "role": 0.92 * own, "synergy": pair, "counter": pair, "factors": np.sqrt(own), "games": own, "wins": own}
+        team = np.exp(-BASE_FORGETS * magnitude) if s.name == BASE.name else s.keep_team
+        keep = {"bias": KEEP_BIAS, "team": team, "hero": own, "role": 0.92 * own, "synergy": pair, "counter": pair, "factors": np.sqrt(own), "games": own, "wins": own}
         out[s.name] = {g: v * keep[g] for g, v in state[s.name].items()}
     return out
 
@@ -140,7 +146,7 @@ class Contests:
             return s.scales["hero"] * self.groups["hero"].total(np.where(own["games"] > 0, np.log(rate / (1 - rate)), 0))
         out = np.zeros(len(self.y))
         for g, scale in s.scales.items():
-            out += scale * self.groups[g].total(own[g] * seen[g] if g in seen else own[g])
+            out += scale * self.groups[g].total(own[g] * seen[g] if g in seen and not s.alone else own[g])
         if s.dimensions:
             factors = own["factors"].reshape(-1, s.dimensions)
             for sign in (1, -1):
@@ -174,15 +180,15 @@ def enough(pairs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {g: v >= PAIR_GAMES for g, v in pairs.items()}
 
 
-def learn(rows: DataFrame, state: State, pairs: dict[str, np.ndarray]) -> tuple[State, dict[str, np.ndarray]]:
-    """The state and pair counts after a version's contests. Every epoch is one pass: tasks sum the gradients of all candidates, Spark adds them.
+def learn(rows: DataFrame, state: State, pairs: dict[str, np.ndarray], every: tuple[Settings, ...] = ARENA) -> tuple[State, dict[str, np.ndarray]]:
+    """The state and pair counts after a version's contests. Every epoch is one pass: tasks sum the gradients of all models, Spark adds them.
 
     A weight moves by rate * GAIN / sqrt(1 + 0.6 epoch) of gradient / curvature, both with the penalty l2 for each use of the weight.
     """
     state = {name: {g: v.copy() for g, v in own.items()} for name, own in state.items()}
-    models = [s for s in (BASE, *CANDIDATES) if s.kind != "counts"]
+    models, counted = [s for s in every if s.kind != "counts"], [s for s in every if s.kind == "counts"]
     layout = [(s, g, v.size) for s in models for g, v in state[s.name].items()]
-    size, heroes = 3 * sum(n for *_, n in layout), next(iter(state["bayes_patch_decay"].values())).size
+    size, heroes = 3 * sum(n for *_, n in layout), round(next(iter(pairs.values())).size ** 0.5)
     extra, seen, widths = 2 * heroes + sum(v.size for v in pairs.values()), enough(pairs), {g: v.size for g, v in pairs.items()}
     for epoch in range(max(s.epochs for s in models)):
         active, first = {s.name for s in models if epoch < s.epochs}, epoch == 0
@@ -215,34 +221,38 @@ def learn(rows: DataFrame, state: State, pairs: dict[str, np.ndarray]) -> tuple[
             own += rate * np.divide(gradient - penalty * own, curvature + penalty, out=np.zeros(n), where=uses > 0)
             np.clip(own, -LIMITS[g], LIMITS[g], out=own)
         if first:
-            counts = state["bayes_patch_decay"]
-            counts["games"] += total[at : at + heroes]
-            counts["wins"] += total[at + heroes : at + 2 * heroes]
+            for s in counted:
+                state[s.name]["games"] += total[at : at + heroes]
+                state[s.name]["wins"] += total[at + heroes : at + 2 * heroes]
             at += 2 * heroes
             new = {}
             for g, v in pairs.items():
                 new[g] = v + total[at : at + v.size]
                 at += v.size
+    for s in models:
+        if s.alone:
+            own = state[s.name]["hero"]
+            own[own != 0] -= own[own != 0].mean() if own.any() else 0.0
     return state, new
 
 
-def walk(rows: DataFrame, versions: list[tuple[str, float]], catalogue: Catalogue) -> dict[str, tuple[State, dict[str, np.ndarray]]]:
+def walk(rows: DataFrame, versions: list[tuple[str, float]], catalogue: Catalogue, models: tuple[Settings, ...] = ARENA) -> dict[str, tuple[State, dict[str, np.ndarray]]]:
     """What every candidate knows when each version begins. versions: name and magnitude of change, in order; rows have `version` and are kept.
 
     Versions follow each other (the recurrence is the method), but each is learned in parallel over its contests.
     """
-    state, pairs = fresh(catalogue), {g: np.zeros(catalogue.entities**2) for g in ("synergy", "counter")}
+    state, pairs = fresh(catalogue, models), {g: np.zeros(catalogue.entities**2) for g in ("synergy", "counter")}
     known = {}
     for i, (version, magnitude) in enumerate(versions):
-        state = carried(state, magnitude) if i else state
+        state = carried(state, magnitude, models) if i else state
         known[version] = state, pairs
         if i + 1 < len(versions):
-            state, pairs = learn(rows.filter(F.col("version") == version), state, pairs)
+            state, pairs = learn(rows.filter(F.col("version") == version), state, pairs, models)
     return known
 
 
-def forecasts(rows: DataFrame, known: dict[str, tuple[State, dict[str, np.ndarray]]]) -> DataFrame:
-    """contest_id, version, y, base, draft (array, in the order of CANDIDATES): logits of each contest from what was known when its version began.
+def forecasts(rows: DataFrame, known: dict[str, tuple[State, dict[str, np.ndarray]]], models: tuple[Settings, ...] = ARENA) -> DataFrame:
+    """contest_id, version, y, base (0 without the baseline), draft (array, in the order of the other models): logits of each contest from what was known when its version began.
 
     What is known is sent to the tasks: versions x candidates x pairs of the catalogue, whatever the number of contests.
     """
@@ -253,7 +263,8 @@ def forecasts(rows: DataFrame, known: dict[str, tuple[State, dict[str, np.ndarra
             for version, part in batch.groupby("version"):
                 state, seen = sent.value[version]
                 c = Contests(part)
-                draft = np.stack([c.draft(s, state[s.name], seen) for s in CANDIDATES], 1)
-                yield pd.DataFrame({"contest_id": part["contest_id"], "version": version, "y": part["y"], "base": c.nuisance(state["base"]), "draft": list(draft)})
+                draft = np.stack([c.draft(s, state[s.name], seen) + (c.nuisance(state[s.name]) if s.alone else 0) for s in models if s.name != BASE.name], 1)
+                base = c.nuisance(state[BASE.name]) if BASE.name in state else 0.0
+                yield pd.DataFrame({"contest_id": part["contest_id"], "version": version, "y": part["y"], "base": base, "draft": list(draft)})
 
     return rows.mapInPandas(run, "contest_id long, version string, y int, base double, draft array<double>")

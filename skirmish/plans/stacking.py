@@ -67,6 +67,24 @@ def patch_transfer(t: Tables) -> DataFrame:
     return rows.groupBy("version", "model").agg(F.count("*").alias("n"), F.avg(X.log_loss(F.col("y"), F.col("p"))).alias("log_loss"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
 
 
+@query()
+def temporal_draft(t: Tables) -> DataFrame:
+    """The draft model that stands alone, by version and over all but the first (`all`): its scores from what it knew before the version, a neutral forecast's loss, and the weight that the gain allows (none without one)."""
+    models = (transfer.TEMPORAL,)
+    with kept(drafted(t).repartitionByRange("version", "contest_id")) as rows:
+        known = transfer.walk(rows, versions(t), CATALOGUE, models)
+    y, p = F.col("y"), X.sigmoid(F.col("draft")[0])
+    scored = transfer.forecasts(drafted(t), known, models).select("version", "y", p.alias("p"))
+    p = F.col("p")
+    sums = scored.groupBy("version").agg(F.count("*").alias("n"), F.sum(X.log_loss(y, p)).alias("loss"), F.sum((p - y) ** 2).alias("brier"), F.sum(((p >= 0.5) == (y == 1)).cast("int")).alias("right"), F.sum("p").alias("predicted"), F.sum("y").alias("actual"))
+    first = min(v for v, _ in versions(t)) if known else ""
+    whole = sums.filter(F.col("version") > first).select(F.lit("all").alias("version"), *sums.columns[1:]).groupBy("version").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]])
+    each = [(F.col(c) / F.col("n")).alias(name) for c, name in (("loss", "log_loss"), ("brier", "brier"), ("right", "accuracy"), ("predicted", "predicted_rate"), ("actual", "actual_rate"))]
+    gain = F.log(F.lit(2.0)) - F.col("log_loss")
+    weight = F.when(F.col("version") == "all", F.when(gain > 0, X.clamp(gain / 0.015, 0.15, 1.0)).otherwise(0.0))
+    return sums.unionByName(whole).select("version", "n", *each).withColumn("neutral_loss", F.log(F.lit(2.0))).withColumn("weight", weight)
+
+
 _S = next(s for s in transfer.CANDIDATES if s.kind == "counts")
 
 

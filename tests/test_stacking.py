@@ -89,7 +89,7 @@ def slow_logits(rows, state, pairs, s):
         else:
             for g, scale in s.scales.items():
                 for h in getattr(r, g):
-                    if g not in pairs or pairs[g][abs(h) - 1] >= transfer.PAIR_GAMES:
+                    if s.alone or g not in pairs or pairs[g][abs(h) - 1] >= transfer.PAIR_GAMES:
                         z += scale * math.copysign(1, h) * own[g][abs(h) - 1]
             if s.dimensions:
                 v = own["factors"].reshape(-1, s.dimensions)
@@ -100,10 +100,10 @@ def slow_logits(rows, state, pairs, s):
     return out
 
 
-def slow_learn(rows, state, pairs):
+def slow_learn(rows, state, pairs, models=transfer.ARENA):
     """One version by loops: for each epoch, sums over contests, then the step."""
     state = {n: {g: v.copy() for g, v in own.items()} for n, own in state.items()}
-    for s in (transfer.BASE, *transfer.CANDIDATES):
+    for s in models:
         own = state[s.name]
         if s.kind == "counts":
             for r in rows:
@@ -133,6 +133,11 @@ def slow_learn(rows, state, pairs):
                         penalty = n[k][i] * (s.pair_l2 if k in ("synergy", "counter") and s.pair_l2 is not None else s.l2)
                         moved = own[k][i] + s.rate * transfer.GAIN / math.sqrt(1 + 0.6 * epoch) * (g[k][i] - penalty * own[k][i]) / (c[k][i] + penalty)
                         own[k][i] = max(-transfer.LIMITS[k], min(transfer.LIMITS[k], moved))
+        if s.alone:
+            seen = [i for i, w in enumerate(own["hero"]) if w]
+            mean = sum(own["hero"][i] for i in seen) / len(seen)
+            for i in seen:
+                own["hero"][i] -= mean
     new = {k: v.copy() for k, v in pairs.items()}
     for r in rows:
         for h in r.synergy:
@@ -222,3 +227,23 @@ def test_logit_stack(spark):
     assert min(w[:-1]) >= 0 and sum(w[:-1]) == pytest.approx(1)
     want = projected(x, y, onto_simplex(len(stacking.STACK)), np.append(np.full(len(stacking.STACK), 1 / len(stacking.STACK)), 0.0))
     assert w == pytest.approx(want.tolist(), abs=0.02)
+
+
+def test_temporal_draft(spark):
+    """The model that stands alone: two versions by loops, and the scores of the second from its forecasts."""
+    rows, models = contests(spark), (transfer.TEMPORAL,)
+    names = sorted({r.version for r in rows})
+    state, pairs = transfer.fresh(stacking.CATALOGUE, models), {g: np.zeros(stacking.CATALOGUE.entities**2) for g in ("synergy", "counter")}
+    state, pairs = slow_learn([r for r in rows if r.version == names[0]], state, pairs, models)
+    state = transfer.carried(state, stacking.magnitude(names[1]), models)
+    here, own = [r for r in rows if r.version == names[1]], state["temporal"]
+    z = [own["bias"][0] + own["team"][r.team0 - 1] - own["team"][r.team1 - 1] + d for r, d in zip(here, slow_logits(here, state, pairs, transfer.TEMPORAL), strict=True)]
+    p = 1 / (1 + np.exp(-np.array(z)))
+    y = np.array([r.y for r in here])
+    got = {r.version: r for r in catalogue.queries()["temporal_draft"](spark, SMALL).collect()}
+    assert set(got) == {*names, "all"} and got[names[0]].log_loss == pytest.approx(math.log(2))
+    mine = got[names[1]]
+    assert mine.n == len(here) and mine.brier == pytest.approx(((p - y) ** 2).mean()) and mine.log_loss == pytest.approx(-np.log(np.where(y, p, 1 - p)).mean())
+    assert mine.accuracy == pytest.approx(((p >= 0.5) == y).mean()) and mine.weight is None
+    loss = sum(got[v].log_loss * got[v].n for v in names[1:]) / sum(got[v].n for v in names[1:])
+    assert got["all"].log_loss == pytest.approx(loss) and got["all"].weight == pytest.approx(min(1, max(0.15, (math.log(2) - loss) / 0.015)) if loss < math.log(2) else 0)
