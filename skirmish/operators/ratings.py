@@ -104,24 +104,16 @@ def bradley_terry(series: DataFrame, now: int, half_life_days: float = 45.0, gro
     return edges.groupBy(group).applyInPandas(fit, f"{group} {series.schema[group].dataType.simpleString()}, team string, rating double")
 
 
-def update_live(base: pd.DataFrame, played: pd.DataFrame, strength: float, base_weight: float = 0.72) -> pd.DataFrame:
-    """Pair probabilities a, b, p after the results played (a, b, won, weight): one offset a team, fitted jointly with a prior.
+def live_offsets(teams: np.ndarray, ia: np.ndarray, ib: np.ndarray, prior: np.ndarray, won: np.ndarray, weight: np.ndarray, strength: float, start: np.ndarray | None = None) -> np.ndarray:
+    """One offset a team, fitted jointly with a prior to results (prior: logits of the pairs before them).
 
     Damped Newton steps on all offsets, each at most 0.12, centred; at most 80 of them, until the largest is under 1e-7.
     """
-    teams = np.unique(np.concatenate([base["a"], base["b"]]))
-    known = played[played["a"].isin(teams) & played["b"].isin(teams) & (played["a"] != played["b"])]
-    if known.empty or strength <= 0 or len(teams) < 2:
-        return base.copy()
-    key = {(a, b): p for a, b, p in zip(base["a"], base["b"], base["p"], strict=True)}
-    prior = np.array([key.get((a, b), 1 - key[b, a] if (b, a) in key else 0.5) for a, b in zip(known["a"], known["b"], strict=True)])
-    z = lambda p: np.log(np.clip(p, 0.03, 0.97) / (1 - np.clip(p, 0.03, 0.97)))
-    ia, ib = np.searchsorted(teams, known["a"]), np.searchsorted(teams, known["b"])
-    w, y, n, d = known["weight"].to_numpy(float), known["won"].to_numpy(float), len(teams), np.zeros(len(teams))
+    n, d = len(teams), np.zeros(len(teams)) if start is None else start.copy()
     precision = 1 / max(0.05, strength)
     for _ in range(80):
-        p = 1 / (1 + np.exp(-(z(prior) + d[ia] - d[ib])))
-        e, info = w * (y - p), w * p * (1 - p)
+        p = 1 / (1 + np.exp(-(prior + d[ia] - d[ib])))
+        e, info = weight * (won - p), weight * p * (1 - p)
         g = np.bincount(ia, e, n) - np.bincount(ib, e, n) - precision * d
         h = np.bincount(ia, info, n) + np.bincount(ib, info, n) + precision
         step = np.clip(0.65 * g / h, -0.12, 0.12)
@@ -129,8 +121,25 @@ def update_live(base: pd.DataFrame, played: pd.DataFrame, strength: float, base_
         d -= d.mean()
         if np.abs(step).max() < 1e-7:
             break
+    return d
+
+
+def clipped_logit(p: np.ndarray) -> np.ndarray:
+    return np.log(np.clip(p, 0.03, 0.97) / (1 - np.clip(p, 0.03, 0.97)))
+
+
+def update_live(base: pd.DataFrame, played: pd.DataFrame, strength: float, base_weight: float = 0.72) -> pd.DataFrame:
+    """Pair probabilities a, b, p after the results played (a, b, won, weight): those before, moved by the teams' live_offsets."""
+    teams = np.unique(np.concatenate([base["a"], base["b"]]))
+    known = played[played["a"].isin(teams) & played["b"].isin(teams) & (played["a"] != played["b"])]
+    if known.empty or strength <= 0 or len(teams) < 2:
+        return base.copy()
+    key = {(a, b): p for a, b, p in zip(base["a"], base["b"], base["p"], strict=True)}
+    prior = np.array([key.get((a, b), 1 - key[b, a] if (b, a) in key else 0.5) for a, b in zip(known["a"], known["b"], strict=True)])
+    ia, ib = np.searchsorted(teams, known["a"]), np.searchsorted(teams, known["b"])
+    d = live_offsets(teams, ia, ib, clipped_logit(prior), known["won"].to_numpy(float), known["weight"].to_numpy(float), strength)
     ja, jb = np.searchsorted(teams, base["a"]), np.searchsorted(teams, base["b"])
-    return base.assign(p=1 / (1 + np.exp(-(z(base["p"].to_numpy(float)) + d[ja] - d[jb]))))
+    return base.assign(p=1 / (1 + np.exp(-(clipped_logit(base["p"].to_numpy(float)) + d[ja] - d[jb]))))
 
 
 def online_update(pairs: DataFrame, played: DataFrame, group: str, strength: float = 0.4) -> DataFrame:
@@ -146,21 +155,73 @@ def online_update(pairs: DataFrame, played: DataFrame, group: str, strength: flo
 def leave_one_out(pairs: DataFrame, played: DataFrame, group: str, result_id: str, strength: float = 0.4, parts: int = 8) -> DataFrame:
     """Influence of each result: the pair's probability with all results less that without this one.
 
-    A group's refits are dealt to `parts` tasks, each of which has all its results.
+    Results of one pair with one outcome and weight have equal influence, so a group's results are summed to such classes, there is
+    one refit for each class, on the classes' sums, and results take their class's. A group's classes are bounded by its pairs,
+    whatever the number of its results; its refits are dealt to `parts` tasks.
     """
     spread = lambda df: df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = played.withColumn("_home", F.pmod(F.xxhash64(result_id), F.lit(parts)).cast("int"))
+    kind = [F.col("a").alias("_x"), F.col("b").alias("_y"), F.col("won").cast("double").alias("_won"), F.col("weight").cast("double").alias("_w")]
+    results = played.select(group, F.col(result_id), *kind)
+    classes = results.groupBy(group, "_x", "_y", "_won", "_w").agg(F.count("*").alias("_n"))
+    dealt = classes.withColumn("_home", F.pmod(F.xxhash64("_x", "_y", "_won", "_w"), F.lit(parts)).cast("int"))
+    columns = [group, "_x", "_y", "_won", "_w", "a", "b", "influence"]
 
-    def run(base: pd.DataFrame, results: pd.DataFrame) -> pd.DataFrame:
+    def run(base: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         base = base[[group, "a", "b", "p"]]
-        whole, out = update_live(base, results, strength), []
-        for i in results.index[results["_home"] == results["_part"]]:
-            without = update_live(base, results.drop(i), strength)
-            out.append(whole.assign(**{result_id: results.at[i, result_id], "influence": whole["p"] - without["p"]}))
-        return pd.concat(out)[[group, result_id, "a", "b", "influence"]] if out else pd.DataFrame(columns=[group, result_id, "a", "b", "influence"])
-
-    kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((pairs, group), (played, result_id))]
-    return spread(pairs).groupBy(group, "_part").cogroup(spread(dealt).groupBy(group, "_part")).applyInPandas(run, f"{', '.join(kinds)}, a string, b string, influence double")
+        summed = lambda n: pd.DataFrame({"a": rows["_x"], "b": rows["_y"], "won": rows["_won"], "weight": rows["_w"] * n})
+        whole, out = update_live(base, summed(rows["_n"]), strength), []
+        for i in rows.index[rows["_home"] == rows["_part"]]:
+            fewer = summed(rows["_n"] - (rows.index == i))
+            without = update_live(base, fewer[fewer["weight"] > 0], strength)
+            out.append(whole.assign(**{c: rows.at[i, c] for c in columns[1:5]}, influence=whole["p"] - without["p"]))
+        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+
+    of = pairs.schema[group].dataType.simpleString()
+    moved = spread(pairs).groupBy(group, "_part").cogroup(spread(dealt).groupBy(group, "_part")).applyInPandas(run, f"{group} {of}, _x string, _y string, _won double, _w double, a string, b string, influence double")
+    return results.join(moved, [group, "_x", "_y", "_won", "_w"]).select(group, result_id, "a", "b", "influence")
+
+
+def prequential_live(rows: DataFrame, group: str, cell: str, strength: float = 0.4) -> DataFrame:
+    """rows with p_live: each contest's probability after the online layer has learned its group's results of all cells before.
+
+    rows: group, cell (ordered), a, b, p (of a), won, weight; no nulls. A group's results are summed by cell, pair and outcome, and its
+    forecasts averaged by cell and pair, so what meets in a task is bounded by the group's cells and pairs, whatever the number of
+    contests. In it, cells follow each other: each refit starts from the offsets of the one before and uses the pairs' latest
+    forecasts. Contests take their teams' offsets by a join.
+    """
+    flip = F.col("a") > F.col("b")
+    one = rows.select(group, cell, F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), F.when(flip, 1 - F.col("p")).otherwise(F.col("p")).alias("_p"), F.when(flip, 1 - F.col("won")).otherwise(F.col("won")).cast("double").alias("_won"), F.col("weight").cast("double").alias("_w"))
+    sums = one.groupBy(group, cell, "_a", "_b").agg(F.avg("_p").alias("_p"), F.sum(F.col("_w") * F.col("_won")).alias("_wins"), F.sum(F.col("_w") * (1 - F.col("_won"))).alias("_losses"))
+
+    def run(r: pd.DataFrame) -> pd.DataFrame:
+        teams = np.unique(np.concatenate([r["_a"], r["_b"]]))
+        pair, at = np.unique(np.stack([np.searchsorted(teams, r["_a"]), np.searchsorted(teams, r["_b"])]), axis=1, return_inverse=True)
+        at, n = at.ravel(), pair.shape[1]
+        latest, wins, losses, d, out = np.full(n, np.nan), np.zeros(n), np.zeros(n), np.zeros(len(teams)), []
+        order = r[cell].to_numpy()
+        for c in np.unique(order):
+            here = np.flatnonzero(order == c)
+            latest[at[here]] = r["_p"].to_numpy(float)[here]
+            seen = np.flatnonzero(wins + losses > 0)
+            if len(seen):
+                both = np.concatenate([seen, seen])
+                y, w = np.repeat([1.0, 0.0], len(seen)), np.concatenate([wins[seen], losses[seen]])
+                # Only teams met so far, and those of this cell, are centred together.
+                met = np.unique(pair[:, ~np.isnan(latest)])
+                of = np.searchsorted(met, pair[:, both])
+                d[met] = live_offsets(met, of[0], of[1], clipped_logit(latest[both]), y, w, strength, d[met] - d[met].mean())
+                out.append(pd.DataFrame({group: r[group].iloc[0], cell: c, "team": teams, "_d": d}))
+            wins[at[here]] += r["_wins"].to_numpy(float)[here]
+            losses[at[here]] += r["_losses"].to_numpy(float)[here]
+        return pd.concat(out) if out else pd.DataFrame(columns=[group, cell, "team", "_d"])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, cell)}
+    offsets = sums.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {cell} {kinds[cell]}, team string, _d double")
+    of = lambda c: offsets.select(group, cell, F.col("team").alias(c), F.col("_d").alias(f"_d{c}"))
+    joined = rows.join(of("a"), [group, cell, "a"], "left").join(of("b"), [group, cell, "b"], "left")
+    p = F.least(F.greatest(F.col("p"), F.lit(0.03)), F.lit(0.97))
+    z = F.ln(p / (1 - p)) + F.col("_da") - F.col("_db")
+    return joined.select(*rows.columns, F.coalesce(1 / (1 + F.exp(-z)), F.col("p")).alias("p_live"))
 
 
 def normal_equations(df: DataFrame, features: list[str], y: str, w: str, group: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions import exprs as X
 from skirmish.operators import ratings
+from skirmish.operators.descent import kept
 from skirmish.operators.evaluation import scores
 from skirmish.plans.contest import CONTEST, FORECAST, TEAMS, Tables, with_
 from skirmish.plans.meetings import pair_series
@@ -68,6 +69,15 @@ def influence_trace(t: Tables) -> DataFrame:
     return ratings.leave_one_out(pairs, rows.drop("family"), "tournament", "contest_id")
 
 
+@query()
+def live_evaluator(t: Tables) -> DataFrame:
+    """The online layer replayed: each contest's forecast, and what it was after the results of all days before in its tournament (a group's contests of a month)."""
+    month = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM")
+    sides = t.contest().select("contest_id", F.col("side0_team").alias("a"), F.col("side1_team").alias("b"))
+    rows = t.forecast().join(sides, "contest_id").select("contest_id", F.concat_ws("|", "group_id", month).alias("tournament"), F.floor(F.col("ts") / 86400).alias("day"), "a", "b", "p", F.col("y").alias("won"), X.information(F.lit(1), F.lit(0)).alias("weight"))
+    return ratings.prequential_live(rows, "tournament", "day").select("contest_id", "tournament", F.col("won").alias("y"), "p", "p_live")
+
+
 @query(with_(CONTEST, TEAMS, FORECAST, body="""SELECT version, count(*)::DOUBLE AS xx_0_0, round(sum(p), 4) AS xx_0_1, round(sum(p * p), 4) AS xx_1_1, sum(y)::DOUBLE AS xy_0, round(sum(p * y), 4) AS xy_1 FROM forecast GROUP BY ALL"""))
 def normal_sums(t: Tables) -> DataFrame:
     rows = t.forecast().withColumn("one", F.lit(1.0))
@@ -92,7 +102,8 @@ def live_map_irls(t: Tables) -> DataFrame:
     rows = t.live().join(t.forecast().select(F.col("contest_id").alias("event_id"), "p", "y"), "event_id")
     g = (F.col("lead") - 20) / 10
     x = rows.select("y", X.logit(F.col("p")).alias("z"), g.alias("g"), (g * ((F.col("t") % 600) / 600)).alias("gt"))
-    beta = ratings.fit_logistic(x.cache(), ["z", "g", "gt"], "y")
+    with kept(x) as held:
+        beta = ratings.fit_logistic(held, ["z", "g", "gt"], "y")
     return t.spark.createDataFrame([("z", float(beta[0])), ("g", float(beta[1])), ("gt", float(beta[2]))], "feature string, beta double")
 
 
@@ -103,5 +114,6 @@ def combiner_fit(t: Tables) -> DataFrame:
 
     rows = t.forecast().join(side_prior(t).select("contest_id", F.col("p").alias("q")), "contest_id")
     x = rows.select("y", X.logit(F.col("p")).alias("team"), X.logit(F.col("q")).alias("side"))
-    beta = ratings.fit_logistic(x.cache(), ["team", "side"], "y", ridge=2.0)
+    with kept(x) as held:
+        beta = ratings.fit_logistic(held, ["team", "side"], "y", ridge=2.0)
     return t.spark.createDataFrame([("team", float(beta[0])), ("side", float(beta[1]))], "feature string, beta double")

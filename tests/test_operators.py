@@ -379,3 +379,42 @@ def test_fm_score_of_every_component(spark, sf):
     for r in catalogue.queries()["fm_score_all"](spark, sf).collect():
         v = np.stack(e[e["label"] == r.label]["embedding"]).astype(float)
         assert r.n == len(v) and abs(r.fm - 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())) < 1e-3
+
+
+def test_live_evaluator_equals_refits_from_nothing(spark, sf):
+    """Every contest of three tournaments against a fit to all earlier days' results, one by one."""
+    from datetime import datetime, timezone
+
+    from skirmish.functions import exprs as X
+    from skirmish.operators import ratings
+    from skirmish.plans import catalogue
+    from skirmish.plans.contest import Tables
+
+    t = Tables(spark, sf)
+    rows = t.forecast().join(t.contest().select("contest_id", "side0_team", "side1_team"), "contest_id").toPandas()
+    rows["day"] = rows["ts"] // 86400
+    rows["tournament"] = rows["group_id"] + "|" + rows["ts"].map(lambda x: datetime.fromtimestamp(x, timezone.utc).strftime("%Y-%m"))
+    weight = spark.range(1).select(X.information(F.lit(1), F.lit(0)).alias("w")).first().w
+    got = {r.contest_id: r for r in catalogue.queries()["live_evaluator"](spark, sf).collect()}
+    assert got.keys() == set(rows["contest_id"])
+    moved = 0
+    for name in rows["tournament"].value_counts().index[:3]:
+        mine = rows[rows["tournament"] == name]
+        for day in sorted(mine["day"].unique()):
+            upto, past = mine[mine["day"] <= day], mine[mine["day"] < day]
+            base = {}
+            for (d, a, b), g in upto.assign(a=upto[["side0_team", "side1_team"]].min(axis=1), b=upto[["side0_team", "side1_team"]].max(axis=1)).groupby(["day", "a", "b"]):
+                base[a, b] = np.mean([p if x == a else 1 - p for p, x in zip(g["p"], g["side0_team"], strict=True)])
+            pairs = pd.DataFrame([(a, b, p) for (a, b), p in base.items()], columns=["a", "b", "p"])
+            played = pd.DataFrame({"a": past["side0_team"], "b": past["side1_team"], "won": past["y"].astype(float), "weight": weight})
+            teams = np.unique(pairs[["a", "b"]])
+            # Offsets from pairs with known odds: what a fit adds to an even pair of each two teams.
+            fitted = ratings.update_live(pairs, played, 0.4).set_index(["a", "b"])["p"]
+            for r in mine[mine["day"] == day].itertuples():
+                a, b = sorted((r.side0_team, r.side1_team))
+                gain = np.log(fitted[a, b] / (1 - fitted[a, b])) - ratings.clipped_logit(np.array([base[a, b]]))[0]
+                z = ratings.clipped_logit(np.array([r.p]))[0] + (gain if r.side0_team == a else -gain)
+                want = 1 / (1 + np.exp(-z)) if len(past) else r.p
+                assert abs(got[r.contest_id].p_live - want) < 1e-5 and len(teams) > 1
+                moved += abs(want - r.p) > 1e-3
+    assert moved > 5
