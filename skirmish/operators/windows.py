@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def before(keys: list[str], order: list[str]) -> WindowSpec:
-    """All earlier rows of a key, the row itself left out."""
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-
-
 def upto(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -69,30 +64,28 @@ def earlier_sums(df: DataFrame, keys: list[str], ts: str, unit: str, values: dic
     return joined.select(*df.columns, *sums)
 
 
-def prefix_counts(df: DataFrame, keys: list[str], order: list[str], won: str, prefix: str = "prior") -> DataFrame:
-    """Games and wins of each key before the row."""
-    w = before(keys, order)
-    return df.withColumn(f"{prefix}_games", F.count(won).over(w)).withColumn(f"{prefix}_wins", F.coalesce(F.sum(won).over(w), F.lit(0)))
+def prefix_counts(df: DataFrame, keys: list[str], ts: str, unit: str, won: str, prefix: str = "prior") -> DataFrame:
+    """Games and wins of each key before the row (see earlier_sums)."""
+    return earlier_sums(df, keys, ts, unit, {f"{prefix}_games": F.col(won).isNotNull().cast("int"), f"{prefix}_wins": F.coalesce(won, F.lit(0))})
 
 
-def decayed_counts(df: DataFrame, keys: list[str], order: list[str], epoch: str, won: str, decay: float) -> DataFrame:
-    """As prefix_counts, each earlier row weighing decay to the number of epochs since: one window sum over decay ** -epoch.
+def decayed_counts(df: DataFrame, keys: list[str], ts: str, unit: str, epoch: str, won: str, decay: float) -> DataFrame:
+    """As prefix_counts, each earlier row weighing decay to the number of epochs since, in closed form: sums of decay ** -epoch.
 
-    Exponents are taken from the first epoch of a key; over some thousand epochs they would overflow.
+    Epochs are counted from 1; over some thousand of them the powers would overflow.
     """
-    first = F.min(epoch).over(Window.partitionBy(*keys))
-    age = (F.col(epoch) - first).cast("double")
-    w = before(keys, order)
+    age = F.col(epoch).cast("double")
     up, down = F.pow(F.lit(decay), -age), F.pow(F.lit(decay), age)
-    return df.withColumn("_up", up).withColumn("decayed_games", F.coalesce(F.sum("_up").over(w), F.lit(0.0)) * down).withColumn("decayed_wins", F.coalesce(F.sum(F.col("_up") * F.col(won)).over(w), F.lit(0.0)) * down).drop("_up")
+    got = earlier_sums(df, keys, ts, unit, {"decayed_games": up, "decayed_wins": up * F.col(won)})
+    return got.withColumns({c: F.col(c) * down for c in ("decayed_games", "decayed_wins")})
 
 
-def time_decayed_counts(df: DataFrame, keys: list[str], order: list[str], ts: str, won: str, half_life_days: float) -> DataFrame:
-    """As prefix_counts, each earlier row weighing one half for each half-life since."""
-    first = F.min(ts).over(Window.partitionBy(*keys))
-    age = (F.col(ts) - first) / (86400.0 * half_life_days)
-    w = before(keys, order)
-    return df.withColumn("_up", F.pow(F.lit(2.0), age)).withColumn("weight", F.coalesce(F.sum("_up").over(w), F.lit(0.0)) * F.pow(F.lit(2.0), -age)).withColumn("wins", F.coalesce(F.sum(F.col("_up") * F.col(won)).over(w), F.lit(0.0)) * F.pow(F.lit(2.0), -age)).drop("_up")
+def time_decayed_counts(df: DataFrame, keys: list[str], ts: str, unit: str, won: str, half_life_days: float, since: int) -> DataFrame:
+    """As prefix_counts, each earlier row weighing one half for each half-life since. since: a time near the first one; the powers overflow after a thousand half-lives."""
+    age = (F.col(ts) - since) / (86400.0 * half_life_days)
+    up, down = F.pow(F.lit(2.0), age), F.pow(F.lit(2.0), -age)
+    got = earlier_sums(df, keys, ts, unit, {"weight": up, "wins": up * F.col(won)})
+    return got.withColumns({c: F.col(c) * down for c in ("weight", "wins")})
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

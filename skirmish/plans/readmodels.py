@@ -51,8 +51,8 @@ def bet_grading(t: Tables) -> DataFrame:
   SELECT version, 'adaptive' AS variant, y, p AS q FROM forecast UNION ALL SELECT version, 'static', y, first_value(p) OVER (PARTITION BY version ORDER BY ts, contest_id) FROM forecast) WHERE greatest(q, 1 - q) >= 0.51 GROUP BY ALL"""))
 def decision_eval(t: Tables) -> DataFrame:
     """Accepted calls of the first forecast of a version against those of the current one."""
-    w = Window.partitionBy("version").orderBy("ts", "contest_id")
-    rows = t.forecast().withColumn("static", F.first("p").over(w))
+    first = t.forecast().groupBy("version").agg(F.min_by("p", F.struct("ts", "contest_id")).alias("static"))
+    rows = t.forecast().join(F.broadcast(first), "version")  # a row a quarter
     both = rows.select("version", "y", F.explode(F.array(F.struct(F.lit("adaptive").alias("variant"), F.col("p").alias("q")), F.struct(F.lit("static").alias("variant"), F.col("static").alias("q")))).alias("s")).select("version", "y", "s.*")
     y, q = F.col("y"), F.col("q")
     return both.filter(F.greatest(q, 1 - q) >= 0.51).groupBy("version", "variant").agg(F.count("*").alias("n"), F.sum(X.correct(y, q)).alias("correct"), F.round(F.avg(X.brier(y, q)), 6).alias("brier"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions.exprs import logit, shrunk, sigmoid
-from skirmish.operators.windows import before, chrono_split, decayed_counts, prefix_counts, sessionize, sessionize_global, time_decayed_counts, upto
+from skirmish.operators.windows import chrono_split, decayed_counts, earlier_sums, prefix_counts, sessionize, sessionize_global, time_decayed_counts
 from skirmish.plans.contest import CONTEST, ENTITIES, FORECAST, LIVE, TEAMS, Tables, with_
 from skirmish.plans.registry import query
 
@@ -59,10 +59,14 @@ def series_in_progress(t: Tables) -> DataFrame:
     return series(t).select("match_id", "session", best_of.alias("best_of"), (F.greatest("wins", F.col("maps") - F.col("wins")) >= needed).alias("complete"))
 
 
+#: An entity may be on both sides of a contest: the first side's row comes first.
+TURN = "2 * contest_id + side"
+
+
 @query(with_(CONTEST, ENTITIES, body="""SELECT contest_id, side, entity, prior_games, prior_wins, (prior_wins + 9)::DOUBLE / (prior_games + 18)::DOUBLE AS rate FROM (
   SELECT contest_id, side, entity, count(won) OVER w AS prior_games, coalesce(sum(won) OVER w, 0)::BIGINT AS prior_wins FROM appearances WINDOW w AS (PARTITION BY entity ORDER BY ts, contest_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def prefix_rates(t: Tables) -> DataFrame:
-    rows = prefix_counts(t.appearances(), ["entity"], ["ts", "contest_id", "side"], "won")
+    rows = prefix_counts(t.appearances().withColumn("turn", F.expr(TURN)), ["entity"], "ts", "turn", "won")
     return rows.select("contest_id", "side", "entity", "prior_games", "prior_wins", shrunk(F.col("prior_wins"), F.col("prior_games"), 0.5, 18.0).alias("rate"))
 
 
@@ -75,7 +79,7 @@ def decayed_prefix(t: Tables) -> DataFrame:
     versions = t.finished().groupBy("version").agg(F.min("ts").alias("since"))
     epochs = versions.select("version", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("since")).alias("e"))
     rows = t.appearances().join(F.broadcast(epochs), "version")  # a row a quarter
-    got = decayed_counts(rows, ["entity"], ["ts", "contest_id", "side"], "e", "won", 0.72)
+    got = decayed_counts(rows.withColumn("turn", F.expr(TURN)), ["entity"], "ts", "turn", "e", "won", 0.72)
     return got.select("contest_id", "side", "entity", F.round("decayed_games", 5).alias("games"), F.round("decayed_wins", 5).alias("wins"))
 
 
@@ -84,7 +88,7 @@ def decayed_prefix(t: Tables) -> DataFrame:
   WINDOW w AS (PARTITION BY team ORDER BY ts, contest_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
 def time_decayed_prefix(t: Tables) -> DataFrame:
     """Wins and games with a half-life of 90 days against an undecayed prior of 8 games."""
-    rows = time_decayed_counts(t.team_rows(), ["team"], ["ts", "contest_id"], "ts", "won", 90.0)
+    rows = time_decayed_counts(t.team_rows(), ["team"], "ts", "contest_id", "won", 90.0, since=694_224_000)
     return rows.select("contest_id", "side", "team", F.round((F.col("wins") + 4) / (F.col("weight") + 8), 5).alias("strength"))
 
 
@@ -94,7 +98,7 @@ def time_decayed_prefix(t: Tables) -> DataFrame:
   JOIN appearances b ON a.contest_id = b.contest_id AND a.side = b.side AND a.entity < b.entity GROUP BY ALL)"""))
 def residual_synergy(t: Tables) -> DataFrame:
     """What a pair wins beyond the mean prefix rate of its side."""
-    rows = prefix_counts(t.appearances(), ["entity"], ["ts", "contest_id", "side"], "won").withColumn("rate", shrunk(F.col("prior_wins"), F.col("prior_games"), 0.5, 18.0))
+    rows = prefix_counts(t.appearances().withColumn("turn", F.expr(TURN)), ["entity"], "ts", "turn", "won").withColumn("rate", shrunk(F.col("prior_wins"), F.col("prior_games"), 0.5, 18.0))
     sides = rows.groupBy("contest_id", "side").agg((F.max("won") - F.avg("rate")).alias("res"), F.array_sort(F.collect_list("entity")).alias("x"))
     pairs = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: b > a), lambda b: F.struct(a.alias("low"), b.alias("high")))))
     got = sides.select("res", F.explode(pairs).alias("p")).groupBy("p.low", "p.high").agg(F.count("*").alias("n"), F.sum("res").alias("r"))
@@ -104,8 +108,10 @@ def residual_synergy(t: Tables) -> DataFrame:
 @query(with_(CONTEST, ENTITIES, body="""SELECT contest_id, side, entity, round((count(*) OVER e + 2.0) / (count(*) OVER v + 300.0), 6) AS propensity FROM appearances
   WINDOW e AS (PARTITION BY version, side, entity ORDER BY ts, contest_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY version, side ORDER BY ts, contest_id, entity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
 def event_propensity(t: Tables) -> DataFrame:
-    mine, all_ = before(["version", "side", "entity"], ["ts", "contest_id"]), before(["version", "side"], ["ts", "contest_id", "entity"])
-    return t.appearances().select("contest_id", "side", "entity", F.round((F.count("*").over(mine) + 2.0) / (F.count("*").over(all_) + 300.0), 6).alias("propensity"))
+    source = t.appearances().select("contest_id", "side", "entity", "ts", "version", F.struct("contest_id", "entity").alias("turn"))
+    mine = earlier_sums(source, ["version", "side", "entity"], "ts", "contest_id", {"mine": F.lit(1)})
+    both = earlier_sums(mine, ["version", "side"], "ts", "turn", {"all": F.lit(1)}, source=source)
+    return both.select("contest_id", "side", "entity", F.round((F.col("mine") + 2.0) / (F.col("all") + 300.0), 6).alias("propensity"))
 
 
 @query(with_(CONTEST, ENTITIES, body="""SELECT version, entity, games, games - lag(games) OVER w AS games_change, round(rate - lag(rate) OVER w, 6) AS rate_change FROM (
@@ -146,8 +152,9 @@ def expanding_folds(t: Tables) -> DataFrame:
 
 @query(with_(CONTEST, TEAMS, body="SELECT contest_id, side, team, (sum(won) OVER w)::BIGINT AS wins, (count(*) OVER w - sum(won) OVER w)::BIGINT AS losses, (count(*) OVER w)::BIGINT AS round FROM team_rows WINDOW w AS (PARTITION BY family, team ORDER BY ts, contest_id ROWS UNBOUNDED PRECEDING)"))
 def running_standings(t: Tables) -> DataFrame:
-    w = upto(["family", "team"], ["ts", "contest_id"])
-    return t.team_rows().select("contest_id", "side", "team", F.sum("won").over(w).alias("wins"), (F.count("*").over(w) - F.sum("won").over(w)).alias("losses"), F.count("*").over(w).alias("round"))
+    rows = earlier_sums(t.team_rows(), ["family", "team"], "ts", "contest_id", {"w": F.col("won"), "n": F.lit(1)})
+    wins, games = F.col("w") + F.col("won"), F.col("n") + 1
+    return rows.select("contest_id", "side", "team", wins.alias("wins"), (games - wins).alias("losses"), games.alias("round"))
 
 
 @query(with_(CONTEST, TEAMS, FORECAST, body="""SELECT contest_id, n, round(loss, 5) AS log_loss, round(acc, 6) AS accuracy FROM (SELECT contest_id, version, ts, count(*) OVER w AS n,
@@ -157,17 +164,19 @@ def running_scores(t: Tables) -> DataFrame:
     """Scores of all forecasts so far, the last 24 of each version."""
     from skirmish.functions.exprs import correct, log_loss
 
-    w = upto(["version"], ["ts", "contest_id"])
     y, p = F.col("y"), F.col("p")
-    rows = t.forecast().select("contest_id", "version", "ts", F.count("*").over(w).alias("n"), F.round(F.avg(log_loss(y, p)).over(w), 5).alias("log_loss"), F.round(F.avg(correct(y, p)).over(w), 6).alias("accuracy"))
-    last = Window.partitionBy("version").orderBy(F.desc("ts"), F.desc("contest_id"))
-    return rows.withColumn("r", F.row_number().over(last)).filter("r <= 24").select("contest_id", "n", "log_loss", "accuracy")
+    one = t.forecast().select("contest_id", "version", "ts", log_loss(y, p).alias("l"), correct(y, p).alias("c"))
+    rows = earlier_sums(one, ["version"], "ts", "contest_id", {"n": F.lit(1), "loss": F.col("l"), "right": F.col("c")})
+    n = F.col("n") + 1
+    sizes = one.groupBy("version").agg(F.count("*").alias("all"))  # a row a quarter
+    last = rows.join(F.broadcast(sizes), "version").filter(F.col("all") - n < 24)
+    return last.select("contest_id", n.alias("n"), F.round((F.col("loss") + F.col("l")) / n, 5).alias("log_loss"), F.round((F.col("right") + F.col("c")) / n, 6).alias("accuracy"))
 
 
 @query(with_(CONTEST, body="""SELECT contest_id, p, flag FROM (SELECT contest_id, round(1 / (1 + exp(-(ln(h / (1 - h)) - ln(a / (1 - a))))), 5) AS p, n > 0 AS flag FROM (
   SELECT contest_id, (coalesce(sum(side0_win) OVER w, 0) + 9.0) / (count(*) OVER w + 18.0) AS h, 0.5 AS a, count(*) OVER w AS n FROM finished WINDOW w AS (PARTITION BY family ORDER BY ts, contest_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""))
 def side_prior(t: Tables) -> DataFrame:
     """The home side's rate before each contest of a year."""
-    w = before(["family"], ["ts", "contest_id"])
-    h = shrunk(F.coalesce(F.sum("side0_win").over(w), F.lit(0)), F.count("*").over(w), 0.5, 18.0)
-    return t.finished().select("contest_id", F.round(sigmoid(logit(h) - logit(F.lit(0.5))), 5).alias("p"), (F.count("*").over(w) > 0).alias("flag"))
+    rows = earlier_sums(t.finished().select("contest_id", "ts", "family", "side0_win"), ["family"], "ts", "contest_id", {"w": F.col("side0_win"), "n": F.lit(1)})
+    h = shrunk(F.col("w"), F.col("n"), 0.5, 18.0)
+    return rows.select("contest_id", F.round(sigmoid(logit(h) - logit(F.lit(0.5))), 5).alias("p"), (F.col("n") > 0).alias("flag"))

@@ -107,7 +107,7 @@ def naive_transfer(t: Tables) -> DataFrame:
     change = t.finished().select("version").distinct().withColumn("m", F.when(F.col("version").endswith("q1"), MAJOR).otherwise(MINOR))
     # A few dozen versions, and as many rows an entity.
     upto = change.withColumn("upto", F.sum("m").over(Window.orderBy("version"))).drop("m")
-    held = upto.crossJoin(t.spark.range(e).select(F.col("id").cast("int").alias("entity"))).join(sums, ["version", "entity"], "left")
+    held = upto.withColumn("entity", F.explode(F.sequence(F.lit(0), F.lit(e - 1)))).join(sums, ["version", "entity"], "left")
     earlier = Window.partitionBy("entity").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
     grown = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.exp(_S.carry * F.col("upto"))).over(earlier), F.lit(0.0)) * F.exp(-_S.carry * F.col("upto"))
     rate = X.clamp((grown("wins") + _S.prior / 2) / (grown("games") + _S.prior), 0.08, 0.92)

@@ -157,7 +157,7 @@ def test_series_walk_the_whole_history(spark, sf):
 
 def test_prefix_doesnt_leak(spark):
     data = [(i, "a", i // 3, i % 2) for i in range(12)]
-    f = lambda d: [tuple(r) for r in windows.decayed_counts(windows.prefix_counts(spark.createDataFrame(d, "id int, k string, e int, won int"), ["k"], ["id"], "won"), ["k"], ["id"], "e", "won", 0.72).orderBy("id").select("prior_games", "prior_wins", "decayed_games", "decayed_wins").collect()]
+    f = lambda d: [tuple(r) for r in windows.decayed_counts(windows.prefix_counts(spark.createDataFrame(d, "id int, k string, e int, won int"), ["k"], "id", "id", "won"), ["k"], "id", "id", "e", "won", 0.72).orderBy("id").select("prior_games", "prior_wins", "decayed_games", "decayed_wins").collect()]
     base, changed = f(data), f(data[:-1] + [(11, "a", 3, 0)])
     assert base == changed
     games = wins = 0.0
@@ -418,3 +418,33 @@ def test_live_evaluator_equals_refits_from_nothing(spark, sf):
                 assert abs(got[r.contest_id].p_live - want) < 1e-5 and len(teams) > 1
                 moved += abs(want - r.p) > 1e-3
     assert moved > 5
+
+
+WINDOWED = ("prefix_rates", "decayed_prefix", "residual_synergy", "time_decayed_prefix", "asof_latest_forecast", "event_propensity", "running_scores", "running_standings", "side_prior", "decision_eval")
+
+
+@pytest.mark.parametrize("name", WINDOWED)
+def test_no_window_holds_all_rows_of_a_key(spark, sf, name):
+    """Windows over contests are over a cell of time of a key; those along a key's cells have a row a cell, and those over versions a row a version."""
+    import re
+
+    from skirmish.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_cell#" in w or "since#" in w for w in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan))
+
+
+def test_as_of_over_cells(spark):
+    """Against a loop, over cells of any width, with ties and keys without a right row."""
+    from skirmish.operators.joins import as_of
+
+    r = np.random.default_rng(3)
+    left = [(int(i), f"k{r.integers(4)}", int(r.integers(300))) for i in range(120)]
+    right = [(f"k{r.integers(3)}", int(r.integers(300)), int(j)) for j in range(90)]
+    for cell in (7, 1000):
+        for strict in (False, True):
+            got = as_of(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, u int, v int"), ["k"], "t", "u", ["v"], tie="v", strict=strict, cell=cell).collect()
+            for g in got:
+                past = [(u, v) for k, u, v in right if k == g.k and (u < g.t or (u == g.t and not strict))]
+                assert g.v == (max(past)[1] if past else None)
+            assert len(got) == len(left)
