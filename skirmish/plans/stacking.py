@@ -233,3 +233,63 @@ def logit_stack(t: Tables) -> DataFrame:
         a, b, c, d = summed(held, losses, 4)
     out = [*[("weight " + f, float(x)) for f, x in zip(STACK, w, strict=False)], ("bias", float(w[-1])), ("log_loss_fit", float(a / b) if b else None), ("log_loss_after", float(c / d) if d else None)]
     return t.spark.createDataFrame(out, "what string, value double")
+
+
+#: Shares of the history (in time) that a challenger learns from and is blended on; the rest scores it. Trees, their depth, and steps of the blend.
+LEARN, CHOOSE, TREES, DEPTH, BLENDS = 0.65, 0.8, 15, 3, 101
+
+
+def flipped(rows: DataFrame) -> DataFrame:
+    """The same contests seen from the other side: every feature changes its sign and the outcome its side."""
+    return rows.select("contest_id", "ts", (1 - F.col("y")).alias("y"), *[(-F.col(f)).alias(f) for f in FEATURES])
+
+
+def symmetric_forecasts(rows: DataFrame, learn_until: int) -> DataFrame:
+    """contest_id, ts, y, prior (logit of the teams) and p: a boosted forest's probability, made symmetric.
+
+    rows: contest_id, ts, y and the draft features. The forest learns from the contests up to learn_until and from all of them
+    flipped. p is the mean of what it says of a contest and one less what it says of the contest flipped, so that seen from the
+    other side it is exactly one less p.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = rows.select("contest_id", "ts", "y", *FEATURES)
+    early = rows.filter(F.col("ts") <= learn_until)
+    forest = GBTClassifier(labelCol="y", featuresCol="x", maxIter=TREES, maxDepth=DEPTH, stepSize=0.1, seed=1)
+    both = early.unionByName(flipped(early))
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="x"), forest]).fit(both)
+    said = lambda r, name: model.transform(r).select("contest_id", vector_to_array("probability")[1].alias(name))
+    sides = said(rows, "here").join(said(flipped(rows), "there"), "contest_id")
+    return rows.select("contest_id", "ts", "y", F.col("team_prior").alias("prior")).join(sides, "contest_id").select("contest_id", "ts", "y", "prior", ((F.col("here") + 1 - F.col("there")) / 2).alias("p"))
+
+
+def blend_losses(rows: DataFrame, cuts: tuple[int, int]) -> np.ndarray:
+    """Sums over the rows to choose on and the rows to score on (2 x (blends + 1)): log loss of the prior moved by each share towards p, and the number of rows."""
+
+    def f(batch: pd.DataFrame) -> np.ndarray:
+        ts, y, prior = (batch[c].to_numpy(float) for c in ("ts", "y", "prior"))
+        p = np.clip(batch["p"].to_numpy(float), 0.001, 0.999)
+        share = np.linspace(0, 1, BLENDS)
+        z = prior[:, None] + share * (np.log(p / (1 - p)) - prior)[:, None]
+        q = np.clip(sigmoid(z), 0.001, 0.999)
+        loss = np.column_stack([-np.where(y[:, None] > 0, np.log(q), np.log(1 - q)), np.ones(len(y))])
+        return np.concatenate([loss[(ts > cuts[0]) & (ts <= cuts[1])].sum(0), loss[ts > cuts[1]].sum(0)])
+
+    return summed(rows, f, 2 * (BLENDS + 1)).reshape(2, -1)
+
+
+@query()
+def symmetric_challenger(t: Tables) -> DataFrame:
+    """A boosted forest on draft features, symmetric in the sides, as a correction to the teams' prior: the best of 101 shares on the middle of the history, and the losses on its end."""
+    with kept(features(t)) as rows:
+        cuts = tuple(int(x) for x in rows.agg(F.percentile_approx("ts", [LEARN, CHOOSE], 10_000).alias("c")).first().c or (0, 0))
+        # Scores are read twice and the forest is deep in their plan.
+        with kept(symmetric_forecasts(rows, cuts[0])) as scored:
+            chosen, after = blend_losses(scored, cuts)
+    best = int(np.argmin(chosen[:-1]))
+    loss = lambda sums, k: float(sums[k] / sums[-1]) if sums[-1] else None
+    out = [("share", best / (BLENDS - 1)), ("rows_chosen_on", float(chosen[-1])), ("rows_scored_on", float(after[-1])), ("prior_loss", loss(after, 0)), ("forest_loss", loss(after, BLENDS - 1)), ("blend_loss", loss(after, best))]
+    return t.spark.createDataFrame(out, "what string, value double")

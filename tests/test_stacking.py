@@ -247,3 +247,38 @@ def test_temporal_draft(spark):
     assert mine.accuracy == pytest.approx(((p >= 0.5) == y).mean()) and mine.weight is None
     loss = sum(got[v].log_loss * got[v].n for v in names[1:]) / sum(got[v].n for v in names[1:])
     assert got["all"].log_loss == pytest.approx(loss) and got["all"].weight == pytest.approx(min(1, max(0.15, (math.log(2) - loss) / 0.015)) if loss < math.log(2) else 0)
+
+
+def test_symmetric_challenger(spark):
+    """Both sides' probabilities add up to one, and the share is the best of all of them."""
+    rows = features(Tables(spark, SMALL)).persist()
+    cuts = tuple(rows.agg(stacking.F.percentile_approx("ts", [0.65, 0.8], 10_000).alias("c")).first().c)
+    one = stacking.symmetric_forecasts(rows, cuts[0]).toPandas().set_index("contest_id").sort_index()
+    other = stacking.symmetric_forecasts(rows.select("contest_id", "ts", "y", *FEATURES), cuts[0])
+    seen = stacking.flipped(rows.select("contest_id", "ts", "y", *FEATURES)).toPandas().set_index("contest_id").sort_index()
+    assert (seen["y"] == 1 - one["y"]).all() and np.allclose(seen["team_prior"], -one["prior"])
+    assert np.allclose(other.toPandas().set_index("contest_id").sort_index()["p"], one["p"])
+    assert one["p"].between(0, 1).all() and one["p"].std() > 0
+    got = {r.what: r.value for r in catalogue.queries()["symmetric_challenger"](spark, SMALL).collect()}
+    z = np.log(np.clip(one["p"], 0.001, 0.999) / (1 - np.clip(one["p"], 0.001, 0.999)))
+
+    def loss(share, part):
+        q = np.clip(1 / (1 + np.exp(-(one["prior"] + share * (z - one["prior"]))))[part], 0.001, 0.999)
+        return float(-np.where(one["y"][part] > 0, np.log(q), np.log(1 - q)).mean())
+
+    middle, end = (one["ts"] > cuts[0]) & (one["ts"] <= cuts[1]), one["ts"] > cuts[1]
+    tried = [loss(s, middle) for s in np.linspace(0, 1, 101)]
+    assert loss(got["share"], middle) == pytest.approx(min(tried), abs=1e-9)
+    assert got["prior_loss"] == pytest.approx(loss(0, end), abs=1e-6) and got["blend_loss"] == pytest.approx(loss(got["share"], end), abs=1e-6)
+    rows.unpersist()
+
+
+def test_forecasts_of_flipped_contests_are_one_less(spark):
+    rows = features(Tables(spark, SMALL)).select("contest_id", "ts", "y", *FEATURES)
+    pdf = rows.toPandas()
+    mirrored = pdf.assign(contest_id=pdf["contest_id"] + 10**9, y=1 - pdf["y"], **{f: -pdf[f] for f in FEATURES})
+    import pandas as pd
+
+    both = spark.createDataFrame(pd.concat([pdf, mirrored]))
+    p = stacking.symmetric_forecasts(both, int(pdf["ts"].median())).toPandas().set_index("contest_id")["p"]
+    assert np.allclose(p.loc[pdf["contest_id"]].to_numpy() + p.loc[mirrored["contest_id"]].to_numpy(), 1, atol=1e-12)
