@@ -6,12 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block of the index, queries of a block, and of these how many have their windows looked up at once.
-BLOCK, QUERY_BLOCK, CHUNK = 16384, 2048, 64
+#: Most vectors of a block of the index, fewest where there are more cores than blocks, and queries whose windows are looked up at once.
+BLOCK, LEAST_BLOCK, CHUNK = 65536, 4096, 64
 #: Projections, share of them in which a candidate must collide, first radius of the windows and its growth.
 PROJECTIONS, THRESHOLD, RADIUS, GROWTH = 128, 0.6, 0.25, 1.15
 #: Windows stop growing when a vector as near as the k-th best would collide this many standard deviations above the threshold.
@@ -35,9 +35,12 @@ class Index:
         self.vectors, self.ids = vectors, ids
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
-        values = ((vectors / self.norms[:, None]) @ self.axes).T
-        self.order = np.argsort(values, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, axis=1)
+        values = np.ascontiguousarray(((vectors / self.norms[:, None]) @ self.axes).T)
+        self.order = np.empty(values.shape, np.int32)
+        self.sorted = values
+        for order, row in zip(self.order, values, strict=True):
+            order[:] = np.argsort(row, kind="stable")
+            row[:] = row[order]
 
     def windows(self, values: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first row and the row after the last of each window: by query, radius and projection."""
@@ -90,34 +93,52 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """The k nearest found vectors of each query by cosine: query_id, rank, vec_id, score.
 
     vectors: vec_id, embedding; is_query: a condition on vec_id. All rows but the query's own (by vec_id) are candidates.
-    Blocks of the index by a hash of vec_id meet blocks of queries, and each pair of blocks gives its k best. A vector is
-    verified (cosine in double precision on the given numbers) when it lies in the query's window in THRESHOLD of the
-    projections; windows grow until a vector as near as the k-th best would be a candidate with CERTAINTY, so near neighbours
-    end a search early. Score ties go to the smaller vec_id.
+    The index is cut into blocks by a hash of vec_id. A block lies in one task, vectors first, and all queries stream through it
+    in batches, so a task holds a block and a batch, and each vector is sent once, each query once for each block. A block
+    gives each query its k best. A vector is verified (cosine in double precision on the given numbers) when it lies in the query's
+    window in THRESHOLD of the projections; windows grow until a vector as near as the k-th best would be a candidate with
+    CERTAINTY, so near neighbours end a search early. Score ties go to the smaller vec_id.
 
     Rows take no part if vec_id is null, or the vector is null, empty or zero or has a null or non-finite component. Vectors
-    meet only vectors of their own dimension. Repeated rows with one vec_id each count as candidates. With fewer than k
+    meet only vectors of their own dimension. Repeated rows with one vec_id each count as candidates. Different vectors under one
+    vec_id are queries of their own, each with its list; rows equal in id and vector are one query. With fewer than k
     candidates all are returned; a query without candidates or an empty table gives no rows. Other columns are ignored.
     """
     v = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding")).filter("vec_id is not null and size(embedding) > 0")
     v = v.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    v = v.withColumn("dim", F.size("embedding"))
-    n, asked_n = v.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-asked_n // QUERY_BLOCK))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    hashed = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    data = v.withColumn("b", hashed(blocks)).withColumn("q", every(query_blocks))
-    asked = v.filter(is_query).withColumn("q", hashed(query_blocks)).withColumn("b", every(blocks))
-
-    def meet(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(rows) and len(queries):
-            index = Index(np.stack(rows["embedding"].to_numpy()), rows["vec_id"].to_numpy())
-            asked_ids = queries["vec_id"].to_numpy()
-            for query_id, (best, _) in zip(asked_ids, index.search(np.stack(queries["embedding"].to_numpy()), asked_ids, k), strict=True):
-                out += [(query_id, i, -s) for s, i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    near = data.groupBy("dim", "b", "q").cogroup(asked.groupBy("dim", "b", "q")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    n = v.count()
+    blocks = max(1, -(-n // BLOCK), min(-(-n // LEAST_BLOCK), v.sparkSession.sparkContext.defaultParallelism))
+    dim, key = F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("key")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b")
+    data = v.select(dim, block, F.lit(0).alias("asks"), "vec_id", F.lit(0).cast("long").alias("key"), "embedding")
+    asked = v.filter(is_query).select("vec_id", "embedding", key).dropDuplicates(["vec_id", "key"])
+    asked = asked.select(dim, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("asks"), "vec_id", "key", "embedding")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        index, at = None, None
+
+        def matrix(rows: list[pa.RecordBatch]) -> np.ndarray:
+            return np.concatenate([r["embedding"].flatten().to_numpy().reshape(r.num_rows, -1) for r in rows])
+
+        for batch in batches:
+            place = np.stack([batch[c].to_numpy() for c in ("dim", "b", "asks")])
+            cuts = np.flatnonzero(np.append(True, (place[:, 1:] != place[:, :-1]).any(0))) if batch.num_rows else []
+            for begin, end in zip(cuts, [*cuts[1:], batch.num_rows]):
+                part, (dims, b, asks) = batch.slice(begin, end - begin), place[:, begin].tolist()
+                if (dims, b) != at:
+                    held, index, at = [], None, (dims, b)
+                if not asks:
+                    held.append(part)
+                    continue
+                if index is None and held:
+                    index, held = Index(matrix(held), np.concatenate([r["vec_id"].to_numpy() for r in held])), []
+                if index is not None:
+                    ids, keys = part["vec_id"].to_numpy(), part["key"].to_numpy()
+                    out = [(i, key, j, -s) for i, key, (best, _) in zip(ids, keys, index.search(matrix([part]), ids, k), strict=True) for s, j in best]
+                    columns = list(zip(*out, strict=True)) or [[]] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "key", "vec_id", "score"])
+
+    near = data.unionAll(asked).repartition("dim", "b").sortWithinPartitions("dim", "b", "asks").mapInArrow(stream, "query_id long, key long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

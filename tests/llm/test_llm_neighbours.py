@@ -22,6 +22,7 @@ def test_recall_and_scores(spark, sf, monkeypatch):
     rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
     for block in (neighbours.BLOCK, 100):
         monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours, "LEAST_BLOCK", 10**9 if block > 100 else 50)
         hit = total = 0
         got = queries.op7_neighbours(spark, sf).collect()
         assert {g.query_id for g in got} == {i for i in rows if i % 50 == 0}
@@ -46,6 +47,15 @@ def test_edges(spark):
     assert neighbours.search(frame(spark, [(0, [1.0])]), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_vectors_under_one_id_are_queries_of_their_own(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), *[(i, [1.0, i / 100]) for i in range(1, 7)], *[(100 + i, [i / 100, 1.0]) for i in range(1, 7)]]
+    for block in (neighbours.BLOCK, 3):
+        neighbours.BLOCK, kept = block, neighbours.BLOCK
+        got = neighbours.search(frame(spark, rows), F.col("vec_id") == 50, k=3).collect()
+        neighbours.BLOCK = kept
+        assert sorted((g["rank"], g.vec_id) for g in got) == [(r, v) for r in (1, 2, 3) for v in (r, 100 + r)] and {g.query_id for g in got} == {50}
+
+
 def test_windows_grow_until_the_kth_best_would_be_seen():
     r = np.random.default_rng(2)
     vectors = r.standard_normal((3000, 32))
