@@ -100,14 +100,15 @@ def quadratic_minimum(w: np.ndarray, gradient: np.ndarray, hessian: np.ndarray,
     return x
 
 
-def fit_bounded(rows: DataFrame, design: Design, start: np.ndarray, bounds: list[Bounds], ridge: float = 0.0, steps: int = 40, tolerance: float = 1e-9) -> np.ndarray:
-    """Logistic models within bounds: the weights (models x k) of least mean log loss plus ridge / 2 times their squares.
+def fit_bounded(rows: DataFrame, design: Design, start: np.ndarray, bounds: list[Bounds], ridge: float | np.ndarray = 0.0, steps: int = 40, tolerance: float = 1e-9) -> np.ndarray:
+    """Logistic models within bounds: the weights (models x k) of least mean log loss plus ridge / 2 (one for all models, or one each) times their squares.
 
     Each step sums every model's loss, gradient and Hessian in one pass, and goes to the bounded minimum of the quadratic; a step
     that raises a model's loss is halved. start lies within bounds (shares sum to 1). rows are read once a step: keep them (see kept). A model without rows keeps its start.
     """
     models, k = start.shape
     span = 2 + k + k * k
+    ridges = np.broadcast_to(np.asarray(ridge, float), models)
 
     def sums(w: np.ndarray) -> np.ndarray:
         def f(batch: pd.DataFrame) -> np.ndarray:
@@ -133,13 +134,13 @@ def fit_bounded(rows: DataFrame, design: Design, start: np.ndarray, bounds: list
             if not n:
                 open_[m] = False
                 continue
-            loss = got[m, 1] / n + ridge / 2 * w[m] @ w[m]
+            loss = got[m, 1] / n + ridges[m] / 2 * w[m] @ w[m]
             if loss > best[m] + 1e-15 and np.abs(step[m]).max() > tolerance:
                 step[m] /= 2
             else:
                 best[m], held[m] = loss, w[m]
-                gradient = got[m, 2 : 2 + k] / n + ridge * w[m]
-                hessian = got[m, 2 + k :].reshape(k, k) / n + ridge * np.eye(k)
+                gradient = got[m, 2 : 2 + k] / n + ridges[m] * w[m]
+                hessian = got[m, 2 + k :].reshape(k, k) / n + ridges[m] * np.eye(k)
                 step[m] = quadratic_minimum(w[m], gradient, hessian, bounds[m]) - w[m]
             open_[m] = np.abs(step[m]).max() > tolerance
             w[m] = held[m] + step[m]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skirmish.plans import draft, evaluations, evidence, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking
+from skirmish.plans import draft, evaluations, evidence, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking, transition
 from skirmish.plans.registry import ORACLES, QUERIES
 
-MODULES = (draft, evaluations, evidence, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking)
+MODULES = (draft, evaluations, evidence, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking, transition)
 
 
 def queries() -> dict:
