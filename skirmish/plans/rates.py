@@ -194,3 +194,42 @@ def information_sums(t: Tables) -> DataFrame:
     """Weighted sums with the filter pushed into the scan and all aggregation partial before the shuffle."""
     rows = t.lineitem.filter(F.col("l_shipdate") <= F.lit("2000-01-01").cast("timestamp_ntz"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count("*").alias("n"))
+
+
+# Prior games of an entity's professional rate, of its rate in a version, and of a pair's.
+PRO_GAMES, VERSION_GAMES, DIRECTED_GAMES = 30.0, 18.0, 24.0
+LEVELS = f"""domains AS (SELECT a.*, f.group_id < '3' AS pro FROM appearances a JOIN finished f ON f.contest_id = a.contest_id),
+whole AS (SELECT coalesce(avg(won) FILTER (WHERE NOT pro), 0.5) AS base FROM domains),
+entity_rates_ AS (SELECT entity, (count(*) FILTER (WHERE pro AND won = 1) + coalesce(avg(won) FILTER (WHERE NOT pro), (SELECT base FROM whole)) * {PRO_GAMES}) / (count(*) FILTER (WHERE pro) + {PRO_GAMES}) AS rate FROM domains GROUP BY entity)"""
+
+
+def _entity_levels(t: Tables) -> DataFrame:
+    """entity, rate: professional results drawn to the entity's ranked rate, that to all entities' where it has none."""
+    rows = t.appearances().join(t.finished().select("contest_id", (F.col("group_id") < "3").alias("pro")), "contest_id")
+    base = rows.filter("not pro").agg(F.coalesce(F.avg("won"), F.lit(0.5)).alias("base"))  # one row
+    got = rows.groupBy("entity").agg(F.count_if(F.col("pro")).alias("n"), F.count_if(F.col("pro") & (F.col("won") == 1)).alias("w"), F.avg(F.when(~F.col("pro"), F.col("won"))).alias("ranked"))
+    return got.join(F.broadcast(base)).select("entity", ((F.col("w") + F.coalesce("ranked", "base") * PRO_GAMES) / (F.col("n") + PRO_GAMES)).alias("rate"))
+
+
+@query(with_(CONTEST, ENTITIES, LEVELS, body=f"SELECT version, entity, count(*) AS games, round((sum(won) + any_value(rate) * {VERSION_GAMES}) / (count(*) + {VERSION_GAMES}), 6) AS rate FROM appearances JOIN entity_rates_ USING (entity) GROUP BY version, entity"))
+def three_level_rates(t: Tables) -> DataFrame:
+    """An entity's rate in a version, drawn to its professional rate, which is drawn to its ranked one."""
+    rows = t.appearances().groupBy("version", "entity").agg(*record()).join(_entity_levels(t), "entity")
+    return rows.select("version", "entity", "games", F.round(shrunk(F.col("wins"), F.col("games"), F.col("rate"), VERSION_GAMES), 6).alias("rate"))
+
+
+@query(with_(CONTEST, ENTITIES, LEVELS, body=f"""SELECT x AS entity, y AS against, games, round((wins + greatest(0.4, least(0.6, 0.5 + (a.rate - b.rate) / 2)) * {DIRECTED_GAMES}) / (games + {DIRECTED_GAMES}), 6) AS rate FROM (
+  SELECT a.entity AS x, b.entity AS y, count(*) AS games, sum(a.won) AS wins FROM appearances a JOIN appearances b ON a.contest_id = b.contest_id AND a.side <> b.side AND a.entity <> b.entity GROUP BY ALL HAVING count(*) >= 2)
+  JOIN entity_rates_ a ON a.entity = x JOIN entity_rates_ b ON b.entity = y"""))
+def directional_counters(t: Tables) -> DataFrame:
+    """How an entity does against each other one, drawn to a half moved by half of the difference of their rates, within 0.4 and 0.6."""
+    own = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("entity")))
+    sides = t.appearances().groupBy("contest_id").agg(own(0).alias("x0"), own(1).alias("x1"), F.max(F.when(F.col("side") == 0, F.col("won"))).alias("w"))
+    met = F.flatten(F.transform("x0", lambda a: F.transform(F.filter("x1", lambda b: b != a), lambda b: F.struct(a.alias("x"), b.alias("y")))))
+    pairs = sides.select("w", F.explode(met).alias("p")).select("p.x", "p.y", "w")
+    both = pairs.unionAll(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), (1 - F.col("w")).alias("w")))
+    got = both.groupBy("x", "y").agg(F.count("*").alias("games"), F.sum("w").alias("wins")).filter("games >= 2")
+    level = _entity_levels(t)
+    rows = got.join(level.select(F.col("entity").alias("x"), F.col("rate").alias("a")), "x").join(level.select(F.col("entity").alias("y"), F.col("rate").alias("b")), "y")
+    prior = F.least(F.lit(0.6), F.greatest(F.lit(0.4), 0.5 + (F.col("a") - F.col("b")) / 2))
+    return rows.select(F.col("x").alias("entity"), F.col("y").alias("against"), "games", F.round(shrunk(F.col("wins"), F.col("games"), prior, DIRECTED_GAMES), 6).alias("rate"))

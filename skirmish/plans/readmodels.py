@@ -133,3 +133,42 @@ def deterministic_seed(t: Tables) -> DataFrame:
 def pair_orientation(t: Tables) -> DataFrame:
     p = (F.col("total") % 100) / 100
     return t.contest().select("contest_id", X.pair_key(F.col("side0_team"), F.col("side1_team")).alias("key"), F.round(X.oriented(p, F.col("side0_team"), F.col("side1_team")), 6).alias("oriented"))
+
+
+#: A call is made where a side has at least this chance; a variant replaces another only over so many contests.
+CALL, EVIDENCE = 0.58, 8
+_SCORED = "count(*) AS n, sum(((q >= 0.5) = (y = 1))::INT)::BIGINT AS correct, avg((q - y) * (q - y)) AS brier, avg(-(y * ln(greatest(0.001, least(0.999, q))) + (1 - y) * ln(1 - greatest(0.001, least(0.999, q))))) AS loss"
+
+
+@query(with_(CONTEST, TEAMS, FORECAST, f"""first AS (SELECT version, arg_min(p, (ts, contest_id)) AS s FROM forecast GROUP BY version)""", body=f"""SELECT a.version, a.n, s.correct AS static_correct, a.correct AS adaptive_correct, accepted, accepted_correct, a.n - accepted AS pass,
+  CASE WHEN wins THEN 'adaptive' ELSE 'static' END AS selected, CASE WHEN a.n < {EVIDENCE} THEN 'insufficient_temporal_evidence' WHEN wins THEN 'adaptive_improves_accuracy_and_proper_scores' ELSE 'adaptive_failed_production_gate' END AS reason FROM (
+    SELECT a.*, s.correct AS sc, a.n >= {EVIDENCE} AND a.correct >= s.correct AND round(a.brier, 9) < round(s.brier, 9) AND round(a.loss, 9) < round(s.loss, 9) AS wins FROM (
+      SELECT version, {_SCORED}, count(*) FILTER (WHERE greatest(q, 1 - q) >= {CALL}) AS accepted, count(*) FILTER (WHERE greatest(q, 1 - q) >= {CALL} AND (q >= 0.5) = (y = 1)) AS accepted_correct FROM (SELECT version, y, p AS q FROM forecast) GROUP BY version) a
+    JOIN (SELECT version, {_SCORED} FROM (SELECT version, y, s AS q FROM forecast JOIN first USING (version)) GROUP BY version) s ON s.version = a.version) a
+  JOIN (SELECT version, {_SCORED} FROM (SELECT version, y, s AS q FROM forecast JOIN first USING (version)) GROUP BY version) s ON s.version = a.version"""))
+def decision_gate(t: Tables) -> DataFrame:
+    """For each version: the calls that its current forecasts allow and how many were right, and whether they may replace the version's first forecast."""
+    first = t.forecast().groupBy("version").agg(F.min_by("p", F.struct("ts", "contest_id")).alias("s"))
+    rows = t.forecast().join(F.broadcast(first), "version")  # a row a version
+    y, call = F.col("y"), F.greatest(F.col("p"), 1 - F.col("p")) >= CALL
+    both = [f(F.col(q)).alias(f"{name}_{c}") for q, c in (("p", "a"), ("s", "s")) for name, f in (("correct", lambda x: F.sum(X.correct(y, x))), ("brier", lambda x: F.round(F.avg(X.brier(y, x)), 9)), ("loss", lambda x: F.round(F.avg(X.log_loss(y, x)), 9)))]
+    got = rows.groupBy("version").agg(F.count("*").alias("n"), F.count_if(call).alias("accepted"), F.count_if(call & (X.correct(y, F.col("p")) == 1)).alias("accepted_correct"), *both)
+    enough = F.col("n") >= EVIDENCE
+    wins = enough & (F.col("correct_a") >= F.col("correct_s")) & (F.col("brier_a") < F.col("brier_s")) & (F.col("loss_a") < F.col("loss_s"))
+    reason = F.when(~enough, "insufficient_temporal_evidence").when(wins, "adaptive_improves_accuracy_and_proper_scores").otherwise("adaptive_failed_production_gate")
+    return got.select("version", "n", F.col("correct_s").alias("static_correct"), F.col("correct_a").alias("adaptive_correct"), "accepted", "accepted_correct", (F.col("n") - F.col("accepted")).alias("pass"), F.when(wins, "adaptive").otherwise("static").alias("selected"), reason.alias("reason"))
+
+
+#: Observations of a match that its history shows.
+SHOWN = 120
+
+
+@query(with_(LIVE, body=f"""SELECT event_id, match_id, t, row_number() OVER (PARTITION BY match_id ORDER BY t, event_id)::INTEGER AS place, (lead > 20) = won AS right_side FROM (
+  SELECT *, arg_max(lead, (t, event_id)) OVER (PARTITION BY match_id) > 20 AS won, row_number() OVER (PARTITION BY match_id ORDER BY t DESC, event_id DESC) AS r FROM live) WHERE r <= {SHOWN}"""))
+def graded_history(t: Tables) -> DataFrame:
+    """The last 120 observations of each match, oldest first, and whether each led to the side that was ahead at the end."""
+    last = t.live().groupBy("match_id").agg((F.max_by("lead", F.struct("t", "event_id")) > 20).alias("won"))
+    newest = Window.partitionBy("match_id").orderBy(F.desc("t"), F.desc("event_id"))
+    rows = t.live().withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= SHOWN)
+    place = F.row_number().over(Window.partitionBy("match_id").orderBy("t", "event_id"))
+    return rows.join(last, "match_id").select("event_id", "match_id", "t", place.alias("place"), ((F.col("lead") > 20) == F.col("won")).alias("right_side"))
