@@ -18,7 +18,7 @@ from skirmish.llm.common import text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Bytes of chunks whose ids a worker remembers (each counts ENTRY bytes more). Beyond, it keeps those of up to SHORT characters, which are the frequent ones.
-CACHE_BYTES, SHORT, ENTRY = 192 << 20, 7, 150
+CACHE_BYTES, SHORT, ENTRY = 320 << 20, 7, 150
 #: Sequence ids: the partition's number above these bits, the worker's own count below.
 LOCAL_BITS = 40
 
