@@ -34,12 +34,35 @@ def merge(path: str, new: DataFrame, keys: list[str], version: str, to: str) ->
     upsert(new.sparkSession.read.parquet(path), new, keys, version).write.mode("overwrite").parquet(to)
 
 
+def _aside(df: DataFrame, path: str) -> tuple[str, DataFrame]:
+    """df written beside path, and read back: what is checked is what gets there."""
+    at = f"{path.rstrip('/')}-checking-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return at, df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def _replace(spark: SparkSession, source: str, path: str) -> None:
+    """Put the folder source in path's place."""
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+    fs.mkdirs(at.getParent())
+    if not fs.rename(_folder(spark, source)[1], at):
+        raise OSError(f"{path} could not be put in place")
+
+
 def checkpoint(df: DataFrame, path: str, checks: dict[str, Column]) -> dict[str, int]:
-    """Write df only if no row violates a check; the counts of violations by name come back either way."""
-    row = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in checks.items()]).first()
+    """df in place of what is at path, but only if no row violates a check; the counts of violations by name come back either way.
+
+    df is computed once: it is written aside, what was written is checked, and then it is renamed or deleted.
+    """
+    spark = df.sparkSession
+    aside, written = _aside(df, path)
+    row = written.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in checks.items()]).first() if checks else None
     bad = {k: row[k] for k in checks}
-    if not any(bad.values()):
-        df.write.mode("overwrite").parquet(path)
+    if any(bad.values()):
+        _folder(spark, aside)[0].delete(_folder(spark, aside)[1], True)
+    else:
+        _replace(spark, aside, path)
     return bad
 
 
@@ -55,27 +78,52 @@ def _folder(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def _new_file(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if it is there already. Of several writers one succeeds."""
+    from py4j.protocol import Py4JJavaError
+
+    fs, at = _folder(spark, path)
+    fs.mkdirs(at.getParent())
+    try:
+        fs.create(at, False).close()
+    except Py4JJavaError as e:
+        if fs.exists(at):
+            return False
+        raise OSError(f"{path} could not be created") from e
+    return True
+
+
+#: A version with this file is whole; a writer claims a version by creating its file in the folder of claims.
+WHOLE, CLAIMS = "_WHOLE", "_claims"
+
+
 def load(tables: dict[str, DataFrame], path: str) -> int:
-    """All tables as one new version of path, or none of them: they are written aside, and one rename makes them current.
+    """All tables as one new version of path, or none of them: they are written aside, renamed, and then marked as whole.
 
     A parent with its children, or a mart of several tables that is reloaded. Readers of the version before are not disturbed; a
-    load that fails leaves nothing that `current` sees. Returns the version's number. One writer at a time.
+    load that fails leaves nothing that `current` sees. A version's number is claimed by a file that is created only if it isn't
+    there, so writers at the same time get different versions and never each other's tables. Returns the version's number.
     """
     spark = next(iter(tables.values())).sparkSession
-    version = (_versions(spark, path) or [0])[-1] + 1
     aside = f"{path}/_loading-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{aside}/{name}")
+    version = (_versions(spark, path) or [0])[-1] + 1
+    while not _new_file(spark, f"{path}/{CLAIMS}/{version:08d}"):
+        version += 1
     fs, source = _folder(spark, aside)
     if not fs.rename(source, _folder(spark, f"{path}/version={version:08d}")[1]):
-        raise OSError(f"version {version} of {path} was made by someone else")
+        raise OSError(f"version {version} of {path} could not be put in place")
+    _new_file(spark, f"{path}/version={version:08d}/{WHOLE}")
     return version
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that are whole, in order."""
     fs, at = _folder(spark, path)
     names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    found = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    return [n for n in found if fs.exists(_folder(spark, f"{path}/version={n:08d}/{WHOLE}")[1])]
 
 
 def current(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -90,18 +138,25 @@ def replace_children(parents: DataFrame, children: DataFrame, new_parents: DataF
 
 
 def verified_checkpoint(df: DataFrame, path: str, keys: list[str], required: list[str], expected: int) -> DataFrame:
-    """df written to path, and the manifest of its files (file, bytes, sha256), if it has the expected number of rows, no key twice and
-    no null in the required columns; else ValueError, and nothing is written. The manifest is written last, beside the data."""
-    row = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
+    """df at path, and the manifest of its files (file, bytes, sha256), if it has the expected number of rows, no key twice and
+    no null in the required columns; else ValueError, and nothing is left. df is computed once: what was written is checked, then
+    renamed. The manifest is written last, beside the data."""
+    spark = df.sparkSession
+    fs, at = _folder(spark, f"{path}/data")
+    if fs.exists(at):
+        raise ValueError(f"there is a checkpoint at {path} already")
+    aside, written = _aside(df, path)
+    row = written.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
     missing = sum(row[c] for c in required)
-    twice = df.groupBy(*keys).count().filter("count > 1").count()
+    twice = written.groupBy(*keys).count().filter("count > 1").count()
     if row.n != expected or missing or twice:
+        fs.delete(_folder(spark, aside)[1], True)
         raise ValueError(f"checkpoint refused: {row.n} of {expected} rows, {twice} keys more than once, {missing} values missing")
-    df.write.mode("errorifexists").parquet(f"{path}/data")
-    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/data")
+    _replace(spark, aside, f"{path}/data")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/data")
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     found.write.mode("errorifexists").parquet(f"{path}/manifest")
-    return df.sparkSession.read.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def lock_ledger(path: str, key: str, locked_at: str, starts_at: str):

@@ -261,6 +261,23 @@ def test_load_is_whole_or_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         sinks.load({"parents": parents, "children": broken}, path)
     assert sinks.current(spark, path, "parents").filter("v = 'z'").count() == 1
+    # Another writer has claimed the next version and is not done: this one takes the one behind it, and no one reads the open one.
+    assert sinks._new_file(spark, f"{path}/{sinks.CLAIMS}/00000003") and not sinks._new_file(spark, f"{path}/{sinks.CLAIMS}/00000003")
+    parents.write.parquet(f"{path}/version=00000003/parents")
+    assert sinks._versions(spark, path) == [1, 2]
+    assert sinks.load({"parents": parents, "children": children}, path) == 4
+    assert {tuple(r) for r in sinks.current(spark, path, "parents").collect()} == {(1, "a"), (2, "b")}
+
+
+def test_checkpoints_hold_what_was_checked(spark, tmp_path):
+    """A frame that differs each time it is computed is computed once."""
+    odd = spark.range(4).select("id", F.expr("uuid()").alias("v"))
+    assert sinks.checkpoint(odd, str(tmp_path / "o"), {"known": F.col("id") < 4}) == {"known": 0}
+    assert sinks.checkpoint(odd, str(tmp_path / "o"), {"known": F.col("id") < 3}) == {"known": 1}
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 4 and [p.name for p in tmp_path.iterdir()] == ["o"]
+    sinks.verified_checkpoint(odd, str(tmp_path / "v"), ["v"], ["v"], 4)
+    with pytest.raises(ValueError, match="already"):
+        sinks.verified_checkpoint(odd, str(tmp_path / "v"), ["v"], ["v"], 4)
 
 
 def test_verified_checkpoint(spark, tmp_path):
