@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from skirmish.llm.common import text_slices
+from skirmish.llm.common import lean, text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Bytes of chunks whose ids a worker remembers (each counts ENTRY bytes more). Beyond, it keeps those of up to SHORT characters, which are the frequent ones.
@@ -196,4 +196,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             yield table(rows)
 
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return plain.mapInArrow(run, SCHEMA)
+    return plain.mapInArrow(run if keep_cache else lean(run), SCHEMA)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import Words, mix64, span_hashes, text_slices
+from skirmish.llm.common import Words, lean, mix64, span_hashes, text_slices
 
 #: Most labelled documents that a model is fitted to, lines in one training sequence (longer documents give several), and most sequences.
 SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_SEQUENCES = 2000, 32, 800
@@ -208,9 +208,9 @@ def fit_lines(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS
             chain = Chain.fit(*spliced(x, rows["good"].tolist()))
             yield pd.DataFrame({"theta": [np.concatenate([chain.emit.ravel(), chain.step.ravel()])]})
 
-    runs = texts.dropna().join(F.broadcast(some), "doc_id").mapInPandas(lines, "doc_id long, line long, x array<float>, good int")
+    runs = texts.dropna().join(F.broadcast(some), "doc_id").mapInPandas(lean(lines), "doc_id long, line long, x array<float>, good int")
     runs = runs.orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line", "x").limit(sequences)
-    found = runs.repartition(1).mapInPandas(fit, "theta array<double>").collect()
+    found = runs.repartition(1).mapInPandas(lean(fit), "theta array<double>").collect()
     if not found:
         emit = np.zeros((len(FEATURES), 2))
         emit[0, 1] = 1
@@ -263,7 +263,7 @@ def judge(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE) -
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].to_numpy()} | measure(texts[a:b], chain))
 
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    counted = plain.mapInPandas(run, COUNTS)
+    counted = plain.mapInPandas(lean(run), COUNTS)
     share = F.col("content_words") >= F.lit(content_share) * F.col("n_words")
     return counted.withColumn("kept", ~F.col("base_failed") & share)
 
@@ -284,4 +284,4 @@ def keep(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE) ->
                 good = ~got["base_failed"] & (got["content_words"] >= content_share * got["n_words"])
                 yield batch.slice(a, b - a).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

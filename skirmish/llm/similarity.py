@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import _BASE, MIX1, MIX2, Scratch, Words, mix64, staged, text_slices
+from skirmish.llm.common import _BASE, MIX1, MIX2, Scratch, Words, lean, mix64, staged, text_slices
 from skirmish.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -88,7 +88,7 @@ def _grouped(rows: DataFrame, parts: int, key, schema: str, use) -> DataFrame:
         if held:
             yield from use(pa.Table.from_batches(held)).to_batches()
 
-    return rows.repartition(parts, key).mapInArrow(run, schema)
+    return rows.repartition(parts, key).mapInArrow(lean(run), schema)
 
 
 def shared_counts(signatures: DataFrame, n_rows: int) -> DataFrame:
@@ -124,7 +124,7 @@ def shared_counts(signatures: DataFrame, n_rows: int) -> DataFrame:
         twice = (np.append(False, same) | np.append(same, False) if len(hs) else np.zeros(0, bool)) & ks
         return pa.table({"c": pa.array(np.concatenate([ds[twice], doc[settled]])), "k": pa.array(np.concatenate([np.ones(twice.sum(), np.int64), times[settled]]))})
 
-    rows = signatures.select("c", "prefix").mapInArrow(spread, "h long, c long, times long")
+    rows = signatures.select("c", "prefix").mapInArrow(lean(spread), "h long, c long, times long")
     return _grouped(rows, _parts(rows, n_rows), "h", "c long, k long", count).groupBy("c").agg(F.sum("k").alias("shared"))
 
 
@@ -141,7 +141,7 @@ def hot_shingles(sets: DataFrame, n_rows: int, parts: int) -> dict[int, int]:
             on = k >= max(2, k.sum() / (2 * parts))
             yield pa.RecordBatch.from_arrays([pa.array(h[on], pa.int64()), pa.array(k[on], pa.int64())], ["h", "k"])
 
-    found = sets.select("shingles").mapInArrow(heavy, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
+    found = sets.select("shingles").mapInArrow(lean(heavy), "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
     return {r.h: r.k for r in found.filter(F.col("k") >= max(2, n_rows // (2 * parts))).collect()}
 
 
@@ -192,7 +192,7 @@ def in_order(sets: DataFrame, n_rows: int) -> DataFrame:
         values = pa.ListArray.from_arrays(np.append(new, len(h)).astype(np.int32), pa.array(h))
         return pa.table({"c": pa.array(c[new]), "n": pa.array(total[mine]), "size": pa.array((last - first)[mine]), "f": pa.array(f[new]), "before": pa.array(new - first[mine]), "part": values})
 
-    rows = sets.select("c", "n", "shingles").mapInArrow(spread, "h long, c long, log long")
+    rows = sets.select("c", "n", "shingles").mapInArrow(lean(spread), "h long, c long, log long")
     counted = _grouped(rows, parts, F.when(F.col("log") == 0, F.col("h")).otherwise(F.col("c")), "h long, c long, log long", count)
     return _grouped(counted, parts, "c", "c long, n long, size long, f long, before long, part array<long>", pack)
 
@@ -290,7 +290,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tupl
     plain = plain.select("doc_id", F.xxhash64("text").alias("t"), "text")
     scratch = Scratch()
     staged = scratch.staged
-    full_rows = staged(plain.mapInArrow(_signatures(percent, words), "doc_id long, t long, n long, c long, prefix array<long>"), "join-signatures")
+    full_rows = staged(plain.mapInArrow(lean(_signatures(percent, words)), "doc_id long, t long, n long, c long, prefix array<long>"), "join-signatures")
     n_rows = full_rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     shared = staged(shared_counts(full_rows.filter("n > 0"), n_rows), "join-shared")
     rows = staged(full_rows.drop("prefix"), "join-rows")
@@ -310,7 +310,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tupl
 
     reps = close.select(F.col("rep.doc_id").alias("id"), F.col("rep.t").alias("t2"), F.col("c").alias("want")).hint("shuffle_hash")
     chosen = plain.join(reps, plain["doc_id"].eqNullSafe(F.col("id")) & (F.col("t") == F.col("t2")))
-    texts = chosen.select("text", "want").mapInArrow(full, "want long, c long, n long, shingles array<long>").filter("want = c").drop("want")
+    texts = chosen.select("text", "want").mapInArrow(lean(full), "want long, c long, n long, shingles array<long>").filter("want = c").drop("want")
     texts = staged(texts, "join-sets")
     if not texts.groupBy("c").count().filter("count > 1").isEmpty():  # repeated rows
         texts = staged(texts.dropDuplicates(["c"]), "join-sets")
