@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skirmish.plans import audits, draft, evaluations, evidence, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking, transition
+from skirmish.plans import audits, codecs, draft, evaluations, evidence, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking, transition
 from skirmish.plans.registry import ORACLES, QUERIES
 
-MODULES = (audits, draft, evaluations, evidence, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking, transition)
+MODULES = (audits, codecs, draft, evaluations, evidence, explain, inference, matching, meetings, models, normalise, rates, readmodels, records, sequences, stacking, transition)
 
 
 def queries() -> dict:
