@@ -52,18 +52,16 @@ class Grams:
             same = self.doc[: len(h)] == self.doc[n - 1 :]
             self.parts.append(((mix64(h) >> np.uint64(48)).astype(np.int32) & (BUCKETS - 1), same))
 
-    def flat(self) -> tuple[np.ndarray, np.ndarray]:
-        """(text index, bucket) of all n-grams, sorted by text."""
-        docs = np.concatenate([self.doc[: len(b)][s] for b, s in self.parts]) if self.parts else np.zeros(0, np.int64)
-        buckets = np.concatenate([b[s] for b, s in self.parts]) if self.parts else np.zeros(0, np.int32)
-        order = np.argsort(docs, kind="stable")
-        return docs[order], buckets[order]
+    def by_text(self, n_texts: int) -> Iterator[np.ndarray]:
+        """The buckets of each text's n-grams."""
+        edges = [(b[s], np.searchsorted(self.doc[: len(b)][s], np.arange(n_texts + 1))) for b, s in self.parts]
+        for i in range(n_texts):
+            yield np.concatenate([b[e[i] : e[i + 1]] for b, e in edges]) if edges else np.zeros(0, np.int32)
 
     def counts(self, n_texts: int) -> Iterator[np.ndarray]:
         """The bucket counts of each text."""
-        edges = [(b[s], np.searchsorted(self.doc[: len(b)][s], np.arange(n_texts + 1))) for b, s in self.parts]
-        for i in range(n_texts):
-            yield np.bincount(np.concatenate([b[e[i] : e[i + 1]] for b, e in edges]) if edges else [], minlength=BUCKETS)
+        for buckets in self.by_text(n_texts):
+            yield np.bincount(buckets, minlength=BUCKETS)
 
     def scores(self, weights: np.ndarray, n_texts: int) -> np.ndarray:
         """Mean over a text's n-grams of the rows of weights (buckets x classes)."""
@@ -136,12 +134,16 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         from pyspark import TaskContext
 
         df, n = np.zeros(BUCKETS, np.int64), 0
+        seen = np.zeros(BUCKETS, bool)
         for batch in batches:
             col = batch["text"].tolist()
             for a, b in text_slices(col):
-                doc, bucket = Grams(col[a:b]).flat()
-                df += np.bincount(np.unique(doc * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
-                n += b - a
+                for buckets in Grams(col[a:b]).by_text(b - a):
+                    seen[buckets] = True
+                    at = np.flatnonzero(seen)
+                    df[at] += 1
+                    seen[at] = False
+                    n += 1
         yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 64], "n": [n], "df": [df.tobytes()]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
