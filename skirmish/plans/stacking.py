@@ -168,13 +168,13 @@ def transfer_stack(t: Tables) -> DataFrame:
 @query()
 def transfer_ensemble(t: Tables) -> DataFrame:
     """Log loss of the weighted members and of the team baseline, by version, and whether the members gain."""
-    names = [v for v, _ in versions(t)]
-    with kept(candidate_logits(t)) as rows:
+    names, logits = [v for v, _ in versions(t)], candidate_logits(t)
+    with kept(logits) as rows:
         heat = temperatures(rows, names)
         weights = stack_weights(rows, names, heat)
     plan = t.spark.createDataFrame([(v, [float(x) for x in weights[i, :-1] / heat[i]]) for i, v in enumerate(names)], "version string, w array<double>")
     z = F.aggregate(F.zip_with("draft", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = candidate_logits(t).join(F.broadcast(plan), "version")  # a row a version
+    scored = logits.join(F.broadcast(plan), "version")  # a row a version
     loss = lambda x: F.avg(X.log_loss(F.col("y"), X.sigmoid(x)))
     got = scored.groupBy("version").agg(F.count("*").alias("n"), loss(F.col("base")).alias("base_loss"), loss(F.col("base") + z).alias("loss"))
     return got.withColumn("gains", F.col("loss") < F.col("base_loss"))
