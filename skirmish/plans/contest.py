@@ -18,13 +18,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def contest(self) -> DataFrame:
-        """One row an order between two different teams: the customer's nation and the nation of the order's first supplier."""
-        first = self.lineitem.groupBy(F.col("l_orderkey").alias("contest_id")).agg(F.min("l_suppkey").alias("s_suppkey"))
+    def _orders(self, lines: DataFrame, *more: str) -> DataFrame:
+        """Contests of orders with a row in lines (contest_id, s_suppkey, and more columns to keep)."""
         home = self.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey"))
         away = self.supplier.select("s_suppkey", "s_nationkey")
         team = lambda c: F.concat(F.lit("t"), F.lpad(F.col(c).cast("string"), 2, "0"))
-        rows = self.orders.join(home, "o_custkey").withColumnRenamed("o_orderkey", "contest_id").join(first, "contest_id").join(away, "s_suppkey").filter("c_nationkey <> s_nationkey")
+        rows = self.orders.join(home, "o_custkey").withColumnRenamed("o_orderkey", "contest_id").join(lines, "contest_id").join(away, "s_suppkey").filter("c_nationkey <> s_nationkey")
         return rows.select(
             "contest_id",
             epoch(F.col("o_orderdate")).alias("ts"),
@@ -35,8 +34,21 @@ class Tables:
             team("s_nationkey").alias("side1_team"),
             F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).alias("side0_win"),
             F.col("o_totalprice").alias("total"),
+            *more,
         )
 
+    def contest(self) -> DataFrame:
+        """One row an order between two different teams: the customer's nation and the nation of the order's first supplier."""
+        return self._orders(self.lineitem.groupBy(F.col("l_orderkey").alias("contest_id")).agg(F.min("l_suppkey").alias("s_suppkey")))
+
+    def drafts(self) -> DataFrame:
+        """Finished contests with x0 and x1, the sorted entities of either side (see entities): one pass over the lines gives them and the first supplier."""
+        parts = self.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("entity"))
+        of = lambda on: F.array_sort(F.collect_set(F.when(on, F.col("entity"))))
+        first = F.coalesce(F.col("l_linestatus") == "F", F.lit(False))
+        lines = self.lineitem.join(parts, "l_partkey", "left").groupBy(F.col("l_orderkey").alias("contest_id")).agg(F.min("l_suppkey").alias("s_suppkey"), of(first).alias("x0"), of(~first).alias("x1"))
+        return self._orders(lines, "x0", "x1").filter("side0_win is not null")
+
     def finished(self) -> DataFrame:
         return self.contest().filter("side0_win is not null")
 

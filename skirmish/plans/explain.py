@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions import exprs as X
 from skirmish.plans.contest import CONTEST, Tables, with_
-from skirmish.plans.draft import ALL, FEATURES, WEIGHTS, features
+from skirmish.plans.draft import ALL, FEATURES, WEIGHTS, states
 from skirmish.plans.registry import query
 from skirmish.sources.schedule import schedule
 
@@ -34,10 +34,9 @@ def explained(t: Tables) -> DataFrame:
     A contest without picks on a side, or with one entity picked twice, has a status and no logits. With fewer than five on a side,
     all signals of the draft count in proportion (the side of the map in the learned combiner counts whole).
     """
-    sides = t.appearances().groupBy("contest_id").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"), (F.count("*") - F.count_distinct("entity")).alias("twice"))
-    rows = features(t).drop("team_prior").join(t.forecast().select("contest_id", X.logit(F.col("p"), 0.01).alias("base")), "contest_id").join(sides, "contest_id", "left")
-    fewest = F.coalesce(F.least("n0", "n1"), F.lit(0))
-    status = F.when(fewest == 0, "no_picks").when(F.col("twice") > 0, "invalid_picks").otherwise("ok")
+    rows = states(t).withColumn("base", X.logit(F.col("p"), 0.01))
+    fewest = F.least("n0", "n1")
+    status = F.when(fewest == 0, "no_picks").when(F.col("shared") > 0, "invalid_picks").otherwise("ok")
     whole = F.least(F.lit(1.0), fewest / WHOLE)
     x = X.clamp(F.abs("base") / CLEAR_GAP, 0.0, 1.0)
     gap = x * x * (3 - 2 * x)
