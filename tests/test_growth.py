@@ -2,6 +2,7 @@
 
 import pytest
 
+from skirmish.operators import joins
 from skirmish.plans import catalogue
 
 
@@ -14,3 +15,28 @@ def test_draft_reads_lines_once_a_level(spark, sf, name, scans):
     """Lines are read twice a level of sums (once for what stood when a day began), not once for each rate; equal shuffles are then made once."""
     got = plan(spark, sf, name)
     assert sum("FileScan" in x and "l_orderkey" in x for x in got.splitlines()) <= scans
+
+
+def test_candidates_are_counted_before_rows_meet(spark, sf):
+    """No window sorts (and no shuffle moves) the pairs of unique_candidate_link."""
+    assert "Window" not in plan(spark, sf, "unique_candidate_link")
+
+
+@pytest.mark.parametrize("seconds", [None, 1, 10, 86400])
+def test_pairs_in_blocks(spark, monkeypatch, seconds):
+    """One frequent key: every pair once, cut into blocks, with equal times, negative ones and nulls."""
+    monkeypatch.setattr(joins, "BLOCK", 3)
+    data = [(i, "a" if i % 5 else "b", (i * 7) % 31 - 9) for i in range(60)] + [(90, None, 3), (91, "a", None), (92, "c", 1)]
+    rows = spark.createDataFrame(data, "id long, k string, t long")
+    got = joins.pairs_among(rows, ["k"], "id", *(("t", seconds) if seconds else ())).collect()
+    near = lambda s, t: not seconds or (s is not None and t is not None and abs(s - t) <= seconds)
+    want = {(i, j, s, t) for i, k, s in data for j, m, t in data if k and k == m and i < j and near(s, t)}
+    assert sorted((r.low, r.high) for r in got) == sorted(x[:2] for x in want)
+    if seconds:
+        assert {(r.low, r.high, r.low_ts, r.high_ts) for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["symmetric_pair_join", "interval_join"])
+def test_pairs_are_made_behind_a_rebalancing_shuffle(spark, sf, name):
+    """The join itself makes pairs of blocks; pairs of rows are made in tasks of equal bytes, not in a key's task."""
+    assert "REBALANCE" in plan(spark, sf, name)
