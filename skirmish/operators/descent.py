@@ -26,6 +26,11 @@ def kept(rows: DataFrame) -> Iterator[DataFrame]:
         rows.unpersist()
 
 
+def settled(sums: DataFrame) -> DataFrame:
+    """A small table of sums (by version and model, or version and entity), made now: once, and while what it is summed from is still kept."""
+    return sums.sparkSession.createDataFrame(sums.collect(), sums.schema)
+
+
 def summed(rows: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
     """The sum of f's vectors (of `size` numbers) over all batches of rows. Tasks add up their batches, Spark the tasks; only sums come to the driver."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.functions.exprs import epoch, logit, shrunk, sigmoid
-from skirmish.operators.windows import earlier_sums
+from skirmish.operators.windows import earlier_in_cells
 
 
 class Tables:
@@ -73,13 +73,15 @@ class Tables:
         )
         return self.finished().select("contest_id", "ts", "group_id", "version", "family", F.explode(sides).alias("s")).select("contest_id", "ts", "group_id", "version", "family", "s.*")
 
-    def forecast(self) -> DataFrame:
-        """Leakage-free forecasts of finished contests: contest_id, ts, group_id, version, y, p, from both teams' earlier rates."""
-        rows = earlier_sums(self.team_rows(), ["team"], "ts", "contest_id", {"wins": F.col("won"), "games": F.lit(1)})
-        rated = rows.withColumn("strength", logit(shrunk(F.col("wins"), F.col("games"), 0.5, 8.0), 0.001))
-        signed = F.when(F.col("side") == 0, F.col("strength")).otherwise(-F.col("strength"))
-        both = rated.groupBy("contest_id", "ts", "group_id", "version").agg(F.sum(signed).alias("gap"), F.max(F.when(F.col("side") == 0, F.col("won"))).alias("y"))
-        return both.select("contest_id", "ts", "group_id", "version", "y", sigmoid(F.col("gap")).alias("p"))
+    def forecast(self, *more: str, source: DataFrame | None = None) -> DataFrame:
+        """Leakage-free forecasts of finished contests: contest_id, ts, group_id, version, y, p, from both teams' earlier rates, and more columns of the contests. source: drafts, in place of finished."""
+        contests = self.finished() if source is None else source
+        units = contests.select(F.struct("ts", "contest_id", "group_id", "version").alias("u"), F.col("side0_win").alias("y"), "side0_team", "side1_team", *[m for m in more if m not in ("side0_team", "side1_team")])
+        result = lambda s, won: F.struct(F.col(f"side{s}_team").alias("team"), F.lit(s).alias("side"), won.cast("long").alias("wins"), F.lit(1).cast("long").alias("games"))
+        rows = earlier_in_cells(units, F.array(result(0, F.col("y")), result(1, 1 - F.col("y"))), ["team"], ["wins", "games"], "u", "floor(u.ts / 86400)")
+        strength = logit(shrunk(F.col("before_wins"), F.col("before_games"), 0.5, 8.0), 0.001)
+        both = rows.groupBy("_cell", "u", "y", *more).agg(F.sum(F.when(F.col("side") == 0, strength).otherwise(-strength)).alias("gap"))
+        return both.select("u.*", "y", sigmoid(F.col("gap")).alias("p"), *more).select("contest_id", "ts", "group_id", "version", "y", "p", *more)
 
     def live(self) -> DataFrame:
         """events as telemetry: match (user), seconds, phase, lead, payload number."""

@@ -48,7 +48,7 @@ def batch_bt(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    rows = t.forecast().join(t.contest().select("contest_id", "family", "side0_team", "side1_team"), "contest_id")
+    rows = t.forecast("family", "side0_team", "side1_team")
     p = F.when(F.col("side0_team") < F.col("side1_team"), F.col("p")).otherwise(1 - F.col("p"))
     return rows.groupBy("family", F.least("side0_team", "side1_team").alias("a"), F.greatest("side0_team", "side1_team").alias("b")).agg(F.avg(p).alias("p"))
 

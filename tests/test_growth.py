@@ -65,7 +65,7 @@ def test_forest_has_few_tasks_for_few_rows(spark):
     assert tasks and sorted(tasks)[len(tasks) // 2] <= 2
 
 
-@pytest.mark.parametrize("name", ["patch_transfer", "temporal_draft", "transfer_ensemble"])
+@pytest.mark.parametrize("name", ["patch_transfer", "temporal_draft", "transfer_ensemble", "transition_ensemble", "transition_scores"])
 def test_forecasts_are_made_once(spark, sf, name):
     """The result reads the few sums made while the rows were kept; it doesn't walk the contests again."""
     assert "FileScan" not in plan(spark, sf, name)
