@@ -54,29 +54,25 @@ def schedule(pages: DataFrame, names: DataFrame, now: int, offset_minutes: int =
     page. Times are local to offset_minutes; today and tomorrow are counted from `now`. In a playoff the round is the day since its
     start. Null, empty and other pages have no items; a page is one row's work, pages are spread.
     """
-    whole = pages.filter(F.length("html") > 0).select("page_id", "html")
+    whole = pages.filter((F.length("html") > 0) & F.col("page_id").isNotNull()).select("page_id", "html")
     tabs = F.regexp_extract_all("html", F.lit("(?is)" + TAB), F.lit(1))
     tab = F.coalesce(decoded(F.try_element_at(tabs, F.lit(-1))), F.lit(""))
-    first = F.regexp_extract(tab, r"\d+", 0)
-    parts = whole.select("page_id", tab.alias("tab"), F.when(first != "", first.try_cast("int")).otherwise(1).alias("first"), F.posexplode(F.split("html", f"(?i)(?={ITEM})")).alias("item", "chunk"))
+    first = F.regexp_extract("tab", r"\d+", 0)
+    # What a page says once is read before its items become rows, or it would be read again for each of them. Outer generators add no
+    # filters that cut the page once more.
+    cut = whole.select("page_id", tab.alias("tab"), F.split("html", f"(?i)(?={ITEM})").alias("chunks"))
+    cut = cut.select("page_id", stage_of(F.col("tab")).alias("tab_stage"), F.when(first != "", first.try_cast("int")).otherwise(1).alias("first"), "chunks")
+    parts = cut.select("page_id", "tab_stage", "first", F.posexplode_outer("chunks").alias("item", "chunk"))
     # An item's own text ends where the next heading begins; that heading is for the items behind it.
     heads = F.transform(F.regexp_extract_all("chunk", F.lit(HEADING), F.lit(1)), decoded)
     parts = parts.withColumn("heads", heads).withColumn("own", F.regexp_replace("chunk", HEADING, " "))
     said = lambda f: F.try_element_at(F.filter(F.transform("heads", f), lambda x: x.isNotNull()), F.lit(-1))
     before = Window.partitionBy("page_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.withColumn("head_stage", F.last(said(stage_of), ignorenulls=True).over(before)).withColumn("head_date", F.last(said(lambda h: _date(h, DAY)), ignorenulls=True).over(before))
-    alts = F.regexp_extract_all("own", F.lit(PARTICIPANT), F.lit(1))
-    items = carried.filter((F.col("item") > 0) & (F.size(alts) > 0)).withColumn("alts", alts)
-
-    # Both sides: the first two different known names.
-    alt = items.select("page_id", "item", F.posexplode("alts").alias("at", "alt")).withColumn("key", name_key(decoded(F.col("alt"))))
-    known = alt.join(names.select("key", "team"), "key").groupBy("page_id", "item", "team").agg(F.min("at").alias("at"))
-    sides = known.groupBy("page_id", "item").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "team"))), lambda x: x["team"]).alias("teams")).filter(F.size("teams") > 1)
-    rows = items.join(sides, ["page_id", "item"])
 
     inner = F.regexp_extract("own", DATE, 1)
     text = F.trim(F.regexp_replace(decoded(F.when(F.col("own").rlike(DATE), inner).otherwise(F.col("own"))), r"\s+", " "))
-    rows = rows.withColumn("text", text)
+    rows = carried.filter(F.col("item") > 0).withColumn("text", text)
     day = F.to_date(F.timestamp_seconds(F.lit(now + 60 * offset_minutes)))
     hours = lambda i, pattern: 3600 * F.regexp_extract("text", pattern, i).try_cast("int") + 60 * F.regexp_extract("text", pattern, i + 1).try_cast("int")
     seconds = lambda d: F.datediff(d, F.lit("1970-01-01").cast("date")).cast("long") * 86400 - 60 * offset_minutes
@@ -84,8 +80,17 @@ def schedule(pages: DataFrame, names: DataFrame, now: int, offset_minutes: int =
     at = F.when(F.col("text").rlike(EXPLICIT), seconds(_date(F.col("text"), EXPLICIT)) + hours(4, EXPLICIT)).when(F.col("text").rlike(RELATIVE), seconds(coming) + hours(2, RELATIVE))
     date = F.when(F.col("text").rlike(DAY), _date(F.col("text"), DAY)).when(F.col("text").rlike(TOMORROW), F.date_add(day, 1)).when(F.col("text").rlike(TODAY), day)
     live = F.col("text").rlike(LIVE)
-    stage = F.coalesce(stage_of(decoded(F.col("own"))), F.col("head_stage"), stage_of(F.col("tab")))
-    rows = rows.select("page_id", "item", "first", F.col("teams")[0].alias("team_a"), F.col("teams")[1].alias("team_b"), at.alias("scheduled_at"), F.coalesce(date, F.when(~live, F.col("head_date"))).alias("scheduled_date"), stage.alias("stage"), live.alias("live"))
+    stage = F.coalesce(stage_of(decoded(F.col("own"))), F.col("head_stage"), F.col("tab_stage"))
+    alts = F.regexp_extract_all("own", F.lit(PARTICIPANT), F.lit(1))
+    rows = rows.select("page_id", "item", "first", at.alias("scheduled_at"), date.alias("date"), "head_date", stage.alias("stage"), live.alias("live"), alts.alias("alts"))
+    rows = rows.select("page_id", "item", F.struct("first", "scheduled_at", F.coalesce("date", F.when(~F.col("live"), F.col("head_date"))).alias("scheduled_date"), "stage", "live").alias("said"), "alts")
+
+    # Both sides: the first two different known names. A left join, since an inner one would have each name's key made twice.
+    alt = rows.select("page_id", "item", "said", F.posexplode_outer("alts").alias("at", "alt")).withColumn("key", name_key(decoded(F.col("alt"))))
+    known = alt.join(names.select("key", "team"), "key", "left").groupBy("page_id", "item")
+    found = F.collect_list(F.when(F.col("team").isNotNull(), F.struct("at", "team")))
+    rows = known.agg(F.first("said").alias("said"), F.transform(F.array_sort(found), lambda x: x["team"]).alias("teams")).withColumn("teams", F.array_distinct("teams")).filter(F.size("teams") > 1)
+    rows = rows.select("page_id", "item", F.col("teams")[0].alias("team_a"), F.col("teams")[1].alias("team_b"), "said.*")
     days = F.datediff(F.coalesce("scheduled_date", F.when(F.col("live"), day)), F.lit(playoff_start).cast("date"))
     number = F.when((F.col("stage") == "playoff") & (days >= 0), days + 1).otherwise(F.col("first"))
     pair = Window.partitionBy("page_id", F.least("team_a", "team_b"), F.greatest("team_a", "team_b")).orderBy("item")

@@ -97,3 +97,12 @@ def test_sums_beside_units(spark, size):
         for k, v, x in items:
             a, b = before.get(k, (0, 0))
             before[k] = (a + v, b + x)
+
+
+def test_pages_are_read_once(spark, sf):
+    """Each page is cut once, what it says once is not read again for each item, and names' keys are made once."""
+    lines = plan(spark, sf, "schedule_items").split("+- == Initial Plan ==")[-1].splitlines()
+    assert sum("l_orderkey" in x and "FileScan" in x for x in lines) == 1
+    assert sum("ArrowEvalPython" in x for x in lines) == 1 and sum("Generate posexplode" in x for x in lines) == 2
+    behind = lines[: max(i for i, x in enumerate(lines) if "Generate posexplode" in x)]
+    assert not any("isActive" in x for x in behind)
