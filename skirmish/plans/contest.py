@@ -41,11 +41,17 @@ class Tables:
         """One row an order between two different teams: the customer's nation and the nation of the order's first supplier."""
         return self._orders(self.lineitem.groupBy(F.col("l_orderkey").alias("contest_id")).agg(F.min("l_suppkey").alias("s_suppkey")))
 
-    def drafts(self) -> DataFrame:
-        """Finished contests with x0 and x1, the sorted entities of either side (see entities): one pass over the lines gives them and the first supplier."""
+    def drafts(self, packed: bool = False) -> DataFrame:
+        """Finished contests with x0 and x1, the sorted entities of either side (see entities): one pass over the lines gives them and the first supplier.
+
+        packed: the sets come as longs with a bit for each entity, which tasks sum in place; as arrays all the same if an entity is not in 0 to 63.
+        """
         parts = self.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("entity"))
-        of = lambda on: F.array_sort(F.collect_set(F.when(on, F.col("entity"))))
         first = F.coalesce(F.col("l_linestatus") == "F", F.lit(False))
+        if packed and parts.filter("entity < 0 or entity > 63").isEmpty():
+            of = lambda on: F.coalesce(F.bit_or(F.when(on, F.expr("shiftleft(1L, entity)"))), F.lit(0).cast("long"))
+        else:
+            of = lambda on: F.array_sort(F.collect_set(F.when(on, F.col("entity"))))
         lines = self.lineitem.join(parts, "l_partkey", "left").groupBy(F.col("l_orderkey").alias("contest_id")).agg(F.min("l_suppkey").alias("s_suppkey"), of(first).alias("x0"), of(~first).alias("x1"))
         return self._orders(lines, "x0", "x1").filter("side0_win is not null")
 

@@ -1,7 +1,10 @@
 """What the plans of queries shuffle, and how often they read their tables."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +102,85 @@ def test_sums_beside_units(spark, size):
             before[k] = (a + v, b + x)
 
 
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_sums_of_made_items(spark, monkeypatch, size):
+    """The same with items that a function makes of batches of units: null cells and keys, a key twice in a unit, cells in batches."""
+    rng = np.random.default_rng(4)
+    units = [(None if i % 29 == 0 else int(i // 40), i, [(None if k == 4 else f"k{k}", int(v), float(v) / 8) for k, v in zip(rng.integers(0, 5, i % 4), rng.integers(0, 9, i % 4), strict=True)]) for i in range(200)]
+    rows = spark.createDataFrame(units, "day int, id long, items array<struct<k string, v long, x double>>").select(F.struct(F.col("day").alias("ts"), "id").alias("u"), "items", (F.col("id") * 2).alias("twice"))
+    whole, summed = windows.cell_in_order, windows.cell_sums
+    monkeypatch.setattr(windows, "cell_in_order", lambda *a: whole(*a, rows=size))
+    monkeypatch.setattr(windows, "cell_sums", lambda *a: summed(*a, rows=size))
+    schema = "_cell long, u struct<ts int, id long>, twice long, before_v array<long>, before_x array<double>"
+    got = {r.u.id: r for r in windows.earlier_of(rows, lambda b: b.column("items"), "k string, v long, x double", ["k"], ["v", "x"], "u", "cast(u.ts as long)", ["twice"], (lambda b: b, schema)).collect()}
+    assert len(got) == len(units)
+    before = {}
+    for _, i, items in sorted(units, key=lambda r: (-1 if r[0] is None else r[0], r[1])):
+        assert got[i].twice == 2 * i and got[i].before_v == [before.get(k, (0, 0))[0] for k, _, _ in items]
+        assert got[i].before_x == pytest.approx([before.get(k, (0, 0))[1] for k, _, _ in items])
+        for k, v, x in items:
+            a, b = before.get(k, (0, 0))
+            before[k] = (a + v, b + x)
+
+
+def test_contests_are_shuffled_once_by_day(spark, sf):
+    """The sums of days and the sums within them read one shuffle of the contests."""
+    df = catalogue.queries()["draft_rates"](spark, sf)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert any("ReusedExchange" in x and "_cell" in x for x in final.splitlines())
+
+
+def test_sets_are_summed_in_place(spark, sf):
+    """The entities of a side are bits that codegen's sums hold in place: no aggregate of objects, which sorts all lines, and no rows of picks exploded from them."""
+    got = plan(spark, sf, "draft_rates")
+    assert "bit_or" in got and "ObjectHashAggregate" not in got and "collect_set" not in got and "Generate" not in got
+    orders = [x for x in got.splitlines() if "FileScan" in x and "o_orderkey" in x]
+    assert len({x.split("FileScan")[1].split("[")[1].split("]")[0].count(",") for x in orders}) == 1  # the same columns, so shuffled once
+
+
+@pytest.mark.parametrize(("change", "size"), [("p_size", 13), ("p_size + 13", 10_000), ("p_size + 30", 10_000), ("p_size * 3 - 20", 13)])
+def test_rates_of_any_entities(spark, sf, tmp_path, change, size):
+    """Entities beyond the bits of a long have the same rates, whole; batches cut cells anywhere."""
+    for f in Path(sf).iterdir():
+        (tmp_path / f.name).symlink_to(f)
+    (tmp_path / "part.parquet").unlink()
+    spark.read.parquet(f"{sf}/part.parquet").withColumn("p_size", F.expr(change).cast("int")).write.parquet(str(tmp_path / "part.parquet"))
+    want = [(r[0], r[1], eval(change, {"p_size": r[2]}), *r[3:]) for r in catalogue.queries()["draft_rates"](spark, sf).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = [tuple(r) for r in catalogue.queries()["draft_rates"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) > 1000 and sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("rows", [1, 90, 1000])
+def test_sums_of_cells(rows):
+    """Partial sums of cells add up, however many batches they take together: null cells, keys as dictionaries and nulls among them."""
+    rng = np.random.default_rng(5)
+    units = pa.RecordBatch.from_pydict({"_cell": pa.array([None if i % 9 == 0 else int(i % 3) for i in range(400)]), "n": pa.array(rng.integers(0, 4, 400))})
+
+    def items(batch):
+        n = batch.column("n").to_numpy()
+        names = pa.array(np.arange(n.sum()) % 3, pa.int32())
+        columns = [pa.DictionaryArray.from_arrays(names, pa.array(["a", "b", None])), pa.array(np.arange(n.sum()) + 1), pa.array(np.arange(n.sum()) / 4)]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.StructArray.from_arrays(columns, ["k", "v", "x"]))
+
+    batches = [units.slice(i, 40) for i in range(0, 400, 40)]
+    got, want = {}, {}
+    for b in windows.cell_sums(lambda b: items(b), ["k"], ["v", "x"], rows)(iter(batches)):
+        for r in b.to_pylist():
+            s = got.get((r["_cell"], r["k"]), (0, 0))
+            got[r["_cell"], r["k"]] = (s[0] + r["v"], s[1] + r["x"])
+    for lot in ([units] if rows == 1000 else [units.slice(i, 40 * -(-rows // 40)) for i in range(0, 400, 40 * -(-rows // 40))]):
+        for c, found in zip(lot.column("_cell").to_pylist(), items(lot).to_pylist(), strict=True):
+            for i in found:
+                s = want.get((c, i["k"]), (0, 0))
+                want[c, i["k"]] = (s[0] + i["v"], s[1] + i["x"])
+    assert got == want
+
+
 def test_pages_are_read_once(spark, sf):
     """Each page is cut once, what it says once is not read again for each item, and names' keys are made once."""
     lines = plan(spark, sf, "schedule_items").split("+- == Initial Plan ==")[-1].splitlines()
