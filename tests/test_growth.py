@@ -188,3 +188,30 @@ def test_pages_are_read_once(spark, sf):
     assert sum("ArrowEvalPython" in x for x in lines) == 1 and sum("Generate posexplode" in x for x in lines) == 2
     behind = lines[: max(i for i, x in enumerate(lines) if "Generate posexplode" in x)]
     assert not any("isActive" in x for x in behind)
+
+
+@pytest.mark.parametrize("name", ["symmetric_pair_join"])
+def test_blocks_are_made_once(spark, sf, name):
+    """Both sides of the join of blocks read one shuffle of them, and no two blocks make more rows than generated code should hold."""
+    df = catalogue.queries()[name](spark, sf)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("Window [" in x for x in final.splitlines()) == 1 and joins.BLOCK**2 <= 2**14
+
+
+def test_rematches_come_in_order(spark, sf):
+    """Blocks in the units' order make pairs with the lower one first: nothing is turned pair by pair. The rebalancing shuffle sorts no blocks, as a round robin does."""
+    got = plan(spark, sf, "symmetric_pair_join")
+    assert "REBALANCE_PARTITIONS_BY_COL" in got and "least(low" not in got and "least(_a" not in got
+
+
+@pytest.mark.parametrize("seconds", [None, 10])
+def test_pairs_of_keys_with_one_hash(spark, monkeypatch, seconds):
+    """All keys share one hash, units come twice (also across blocks): each pair as often as rows make it, none of a unit with itself."""
+    monkeypatch.setattr(joins, "BLOCK", 3)
+    monkeypatch.setattr(joins.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    data = [(i // 2, "abc"[i % 3], (i * 7) % 31 - 9) for i in range(60)] + [(None, "a", 3), (70, None, 3)]
+    rows = spark.createDataFrame(data, "id long, k string, t long")
+    got = joins.pairs_among(rows, ["k"], "id", *(("t", seconds) if seconds else ())).collect()
+    want = [(i, j) for i, k, s in data for j, m, t in data if None not in (i, j, k) and k == m and i < j and (not seconds or abs(s - t) <= seconds)]
+    assert sorted((r.low, r.high) for r in got) == sorted(want)
